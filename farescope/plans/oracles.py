@@ -59,6 +59,21 @@ FROM (SELECT * FROM seat s WHERE snapshot_ts =
         (SELECT max(snapshot_ts) FROM seat t WHERE t.schedule_id = s.schedule_id))
 QUALIFY row_number() OVER (PARTITION BY schedule_id, seat_number
   ORDER BY coach_layout_id, operator_reservation_id, sales_count) = 1""",
+    "feed": """
+SELECT CAST(expected_occupancy AS DOUBLE) AS expected_occupancy,
+  CAST(actual_occupancy AS DOUBLE) AS actual_occupancy, demand_index,
+  CAST(NULL AS VARCHAR) AS time_step_to_check, operator_id, date_of_journey,
+  CAST(NULL AS VARCHAR) AS time_slot, seat_type, hours_before_departure, CAST(price AS DOUBLE) AS price,
+  CAST(NULL AS VARCHAR) AS origin, CAST(NULL AS VARCHAR) AS destination,
+  CAST(actual_fare AS DOUBLE) AS actual_fare, schedule_id, CAST(NULL AS VARCHAR) AS coach_layout_id,
+  departure_time, CAST(snapshot_ts AS DATE) AS snapshot_date,
+  CASE WHEN hour(snapshot_ts) < 12 THEN '00:00:00' ELSE '12:00:00' END AS snapshot_time,
+  date_trunc('day', snapshot_ts)
+    + CASE WHEN hour(snapshot_ts) < 12 THEN INTERVAL 0 HOUR ELSE INTERVAL 12 HOUR END AS snapshot_ts,
+  date_of_journey - CAST(dayofweek(date_of_journey) AS INTEGER) AS week_start
+FROM snap QUALIFY row_number() OVER (PARTITION BY date_of_journey, schedule_id, seat_type,
+  hour(snap.snapshot_ts) < 12 ORDER BY snap.snapshot_ts DESC, actual_fare, price NULLS LAST,
+  expected_occupancy) = 1""",
 }
 
 _SNAP_COLS = """schedule_id, seat_type, operator_id, snapshot_ts, date_of_journey, departure_time,
@@ -678,9 +693,6 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
         """SELECT min(d) AS min_date, max(d) AS max_date FROM (SELECT date_of_journey AS d FROM snap
           UNION ALL SELECT travel_date FROM seat)""",
     ),
-    "date_extent_empty": (
-        "", "", "SELECT DATE '2023-12-16' AS min_date, DATE '2024-02-14' AS max_date",
-    ),
     "week_bucket_counts": (
         "seat",
         "",
@@ -710,6 +722,27 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
         f"""SELECT {_SEAT_COLS} FROM seat ORDER BY schedule_id, seat_number, seat.snapshot_ts,
           coach_layout_id, operator_reservation_id, seat.sales_count LIMIT 5""",
     ),
+    "csv_ingest_typed": ("snap feed", "", "SELECT * FROM feed UNION ALL SELECT * FROM feed"),
+    "insert_ignore": ("snap feed", "", "SELECT * FROM feed"),
+    "load_folder_twice": ("snap feed", "", "SELECT * FROM feed"),
+    "partition_report": (
+        "snap feed", "", "SELECT week_start, count(*) AS row_count FROM feed GROUP BY 1",
+    ),
+    "json_export": (
+        "snap",
+        "",
+        """SELECT schedule_id, seat_type, date_trunc('millisecond', snapshot_ts) AS snapshot_ts,
+          CAST(actual_fare AS DOUBLE) AS actual_fare, CAST(price AS DOUBLE) AS price FROM snap""",
+    ),
+    "stream_pickup": ("snap feed", "", "SELECT * FROM feed"),
+    "stream_dedupe": ("snap feed", "", "SELECT * FROM feed"),
+    "stream_latest_table": (
+        "snap feed",
+        "",
+        """SELECT * FROM feed f WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM feed g
+          WHERE g.date_of_journey = f.date_of_journey AND g.schedule_id = f.schedule_id
+          AND g.seat_type = f.seat_type)""",
+    ),
 }
 
 

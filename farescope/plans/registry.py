@@ -20,7 +20,12 @@ from farescope.operators import (
     views,
 )
 from farescope.operators.latest import latest_one
+from farescope.plans.feed_files import loaded_table, raw_rows, stream_rows, write_feed
 from farescope.plans.proxies import SEAT_TIES, raw_snap, seat, snap, table, trip
+from farescope.plans.session import working_folder
+from farescope.schemas import SEAT_PRICES, SEAT_PRICES_WITH_DT
+from farescope.sources import feeds, store
+from farescope.streaming import latest_table, pickup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -567,8 +572,6 @@ def _(spark, d):
 
 @query("rejects")
 def _(spark, d):
-    from farescope.schemas import SEAT_PRICES
-
     return quality.rejects(raw_snap(spark, d), SEAT_PRICES)
 
 
@@ -578,12 +581,6 @@ def _(spark, d):
     return quality.date_extent(tables, AS_OF)
 
 
-@query("date_extent_empty")
-def _(spark, d):
-    later = snap(spark, d).filter("date_of_journey > DATE '2999-01-01'")
-    return quality.date_extent([(later, "date_of_journey")], AS_OF)
-
-
 @query("week_bucket_counts")
 def _(spark, d):
     return quality.rows_per_week(seat(spark, d), "travel_date")
@@ -604,3 +601,76 @@ def _(spark, d):
     return choices.sample_rows(
         seat(spark, d), ["schedule_id", "seat_number", "snapshot_ts", *SEAT_TIES], 5
     )
+
+
+# --- ingest and streams ----------------------------------------------------------------
+# These write the snapshots as CSV feed files first and read them back.
+
+FEED = SEAT_PRICES_WITH_DT
+
+
+@query("csv_ingest_typed")
+def _(spark, d):
+    return feeds.typed(raw_rows(spark, write_feed(spark, d)), FEED)
+
+
+@query("insert_ignore")
+def _(spark, d):
+    # The first load takes January's first half; the second sees those rows again.
+    rows = feeds.typed(raw_rows(spark, write_feed(spark, d)), FEED)
+    base = working_folder(spark, "store")
+    store.migrate(rows, base, FEED, "2024-01-01", "2024-01-16")
+    store.insert_ignore(rows, base, FEED)
+    return store.read_table(spark, base, FEED)
+
+
+@query("load_folder_twice")
+def _(spark, d):
+    folder, base = write_feed(spark, d), working_folder(spark, "store")
+    store.load_folder(spark, folder, base, FEED, files_per_round=25)
+    store.load_folder(spark, folder, base, FEED)
+    return store.read_table(spark, base, FEED)
+
+
+@query("partition_report")
+def _(spark, d):
+    return quality.rows_per_week(loaded_table(spark, d), FEED.date_column)
+
+
+@query("json_export")
+def _(spark, d):
+    path = working_folder(spark, "json")
+    store.write_json(snap(spark, d), path)
+    schema = "schedule_id string, seat_type string, snapshot_ts timestamp_ntz, actual_fare double, price double"
+    return spark.read.schema(schema).json(path)
+
+
+@query("stream_pickup")
+def _(spark, d):
+    folder, base = write_feed(spark, d), working_folder(spark, "store")
+    for run in range(2):
+        # The second run finds no new file.
+        pickup.start_pickup(
+            spark, FEED, folder, base, f"{base}/_checkpoint", files_per_batch=40
+        ).awaitTermination()
+    return store.read_table(spark, base, FEED)
+
+
+@query("stream_dedupe")
+def _(spark, d):
+    rows, out = stream_rows(spark, d, copies=2), working_folder(spark, "deduped")
+    (
+        pickup.dedupe_within(rows, FEED, "60 days")
+        .writeStream.option("checkpointLocation", f"{out}/_checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{out}/rows")
+        .awaitTermination()
+    )
+    return spark.read.schema(FEED.silver_schema).parquet(f"{out}/rows")
+
+
+@query("stream_latest_table")
+def _(spark, d):
+    rows, out = stream_rows(spark, d), working_folder(spark, "latest")
+    latest_table.start_latest_table(rows, FEED, out, f"{out}/_checkpoint").awaitTermination()
+    return latest_table.read_latest(spark, out, FEED.silver_schema)

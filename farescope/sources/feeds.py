@@ -46,16 +46,15 @@ def header_lines(lines: DataFrame, feed: Feed) -> DataFrame:
     ``lines`` has value, file_path and file_block_start (batch or stream).
     """
     first_block = F.col("file_block_start") == 0
-    return lines.filter(first_block & is_header(F.col("value"), feed)).select(
-        "file_path", "value", F.monotonically_increasing_id().alias("line_id")
-    )
+    return lines.filter(first_block & is_header(F.col("value"), feed)).select("file_path", "value")
 
 
 def header_groups(headers: DataFrame) -> dict[str, list[str]]:
     """Files by header line. Only file names and headers reach the driver, never rows."""
-    first = headers.groupBy("file_path").agg(F.min_by("value", "line_id").alias("header"))
+    numbered = headers.withColumn("line_id", F.monotonically_increasing_id())
+    first = numbered.groupBy("file_path").agg(F.min_by("value", "line_id").alias("header"))
     groups = defaultdict(list)
-    for row in first.toLocalIterator():
+    for row in first.collect():
         groups[row.header].append(unquote(row.file_path))
     return {h: sorted(p) for h, p in sorted(groups.items())}
 

@@ -55,11 +55,10 @@ def dedupe_within(stream: DataFrame, feed: Feed, delay: str) -> DataFrame:
 
     Opt-in: a file later than ``delay`` is dropped. Without that limit use
     ``insert_ignore``, which accepts files of any age. Watermarks need a zoned
-    timestamp, so the stamp is copied as UTC.
+    timestamp, so the stamp is copied in the session's zone (UTC has no gaps).
     """
-    utc = F.to_utc_timestamp(F.col("snapshot_ts").cast("timestamp"), F.current_timezone())
     return (
-        stream.withColumn("_event_time", utc)
+        stream.withColumn("_event_time", F.col("snapshot_ts").cast("timestamp"))
         .withWatermark("_event_time", delay)
         .dropDuplicatesWithinWatermark(feed.primary_key)
         .drop("_event_time")
