@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farescope.operators.filters import in_date_range
@@ -88,15 +88,16 @@ def insert_ignore(new: DataFrame, base: str, feed: Feed) -> int:
 
     Running it again with the same rows adds nothing, so a retried load is safe.
     """
-    spark = new.sparkSession
     new = new.persist(StorageLevel.DISK_ONLY)
+    target = only_weeks_of(read_table(new.sparkSession, base, feed), new)
+    fresh = new_rows(new, target, feed.primary_key).persist(StorageLevel.DISK_ONLY)
     try:
-        target = only_weeks_of(read_table(spark, base, feed), new)
-        seen = Observation()
-        fresh = new_rows(new, target, feed.primary_key)
-        append(fresh.observe(seen, F.count(F.lit(1)).alias("n")), base, feed)
-        return seen.get["n"]
+        n = fresh.count()
+        if n:
+            append(fresh, base, feed)
+        return n
     finally:
+        fresh.unpersist()
         new.unpersist()
 
 
