@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farescope.operators.latest import latest_all
+from farescope.operators.views import seat_wise_prices_latest
 
 SLOT = ("date_of_journey", "departure_time")
 
@@ -123,7 +124,7 @@ def seat_offers(
         .select(*SLOT, "operator_id", "schedule_id")
         .distinct()
     )
-    newest = latest_all(seats, ["travel_date", "schedule_id", "seat_number"]).select(
+    newest = seat_wise_prices_latest(seats).select(
         F.col("travel_date").alias("date_of_journey"),
         "schedule_id",
         "seat_number",

@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farescope.functions import scalars as S
-from farescope.operators.latest import latest_all
+from farescope.operators.latest import latest_all, latest_one
 
 SCHEDULE_KEY = ("date_of_journey", "schedule_id", "seat_type")
 SEAT_KEY = ("travel_date", "schedule_id", "seat_number")
 
 
-def seat_prices_latest(snaps: DataFrame) -> DataFrame:
-    """Newest rows per (date, schedule, seat type)."""
-    return latest_all(snaps, SCHEDULE_KEY)
+def seat_prices_latest(snaps: DataFrame, unique: bool = False) -> DataFrame:
+    """Newest rows per (date, schedule, seat type).
+
+    ``unique`` says that key and stamp identify a row, as they do in a table
+    filled by insert-or-ignore: then one scan and one reduced shuffle suffice.
+    """
+    return _newest(snaps, SCHEDULE_KEY, unique)
+
 
+def seat_wise_prices_latest(seats: DataFrame, unique: bool = False) -> DataFrame:
+    """Newest rows per (date, schedule, seat); ``unique`` as above."""
+    return _newest(seats, SEAT_KEY, unique)
 
-def seat_wise_prices_latest(seats: DataFrame) -> DataFrame:
-    """Newest rows per (date, schedule, seat)."""
-    return latest_all(seats, SEAT_KEY)
+
+def _newest(df: DataFrame, keys: Sequence[str], unique: bool) -> DataFrame:
+    if unique:
+        return latest_one(df.dropna(subset=[*keys, "snapshot_ts"]), keys)
+    return latest_all(df, keys)
 
 
 def newest_first(df: DataFrame) -> DataFrame:
@@ -110,10 +122,14 @@ def register_views(
     seat_wise_prices: DataFrame,
     seat_prices_with_dt: DataFrame,
     seat_wise_prices_with_dt: DataFrame,
+    unique: bool = False,
 ) -> list[str]:
-    """Create every temp view over the four tables; returns the names."""
-    latest = seat_prices_latest(seat_prices)
-    latest_dt = seat_prices_latest(seat_prices_with_dt)
+    """Create every temp view over the four tables; returns the names.
+
+    Pass ``unique=True`` for tables filled by insert-or-ignore.
+    """
+    latest = seat_prices_latest(seat_prices, unique)
+    latest_dt = seat_prices_latest(seat_prices_with_dt, unique)
     views = {
         "seat_prices_partitioned": seat_prices,
         "seat_wise_prices_partitioned": seat_wise_prices,
@@ -124,9 +140,9 @@ def register_views(
         "seat_prices_with_dt_view": seat_prices_with_dt,
         "seat_wise_prices_with_dt_view": seat_wise_prices_with_dt,
         "seat_prices_latest": latest,
-        "seat_wise_prices_latest": seat_wise_prices_latest(seat_wise_prices),
+        "seat_wise_prices_latest": seat_wise_prices_latest(seat_wise_prices, unique),
         "seat_prices_with_dt_latest": latest_dt,
-        "seat_wise_prices_with_dt_latest": seat_wise_prices_latest(seat_wise_prices_with_dt),
+        "seat_wise_prices_with_dt_latest": seat_wise_prices_latest(seat_wise_prices_with_dt, unique),
         "fngethoursbeforedeparture": hours_view(seat_prices),
         "computed_hours": computed_hours(latest_dt),
         "occupancies": occupancy_view(seat_prices, "actual_occupancy"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 VIEWS = {
     "snap": """
-SELECT CAST(user_id AS VARCHAR) AS schedule_id, event_type AS seat_type,
+SELECT user_id AS schedule_id, event_type AS seat_type,
   CAST(user_id % 3 AS INTEGER) AS operator_id, ts AS snapshot_ts, CAST(ts AS DATE) AS date_of_journey,
   '0' || CAST(hour(ts) % 4 AS VARCHAR) || ':00:00' AS departure_time,
   CAST(3 * (23 - hour(ts)) AS DOUBLE) AS hours_before_departure,
@@ -25,19 +25,19 @@ SELECT CAST(user_id AS VARCHAR) AS schedule_id, event_type AS seat_type,
   strftime(ts, '%d-%m-%Y %H:%M:%S') AS stamp_text
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""",
     "seat": """
-SELECT CAST(l_orderkey AS VARCHAR) AS schedule_id, CAST(l_linenumber AS VARCHAR) AS seat_number,
+SELECT l_orderkey AS schedule_id, l_linenumber AS seat_number,
   l_returnflag AS seat_type,
   CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS final_price,
   CAST(l_extendedprice AS DECIMAL(18,2)) AS actual_fare,
-  CAST(l_partkey AS VARCHAR) AS coach_layout_id, CAST(l_quantity AS INTEGER) AS sales_count,
+  l_partkey AS coach_layout_id, CAST(l_quantity AS INTEGER) AS sales_count,
   CAST(CAST(l_discount AS DECIMAL(4,2)) * 100 AS DECIMAL(10,2)) AS sales_percentage,
-  CAST(l_suppkey AS VARCHAR) AS operator_reservation_id,
+  l_suppkey AS operator_reservation_id,
   CAST(CASE WHEN o_custkey % 2 = 0 THEN 1646 ELSE 7 END AS INTEGER) AS origin_id,
   CAST(CASE WHEN o_custkey % 3 = 0 THEN 1821 ELSE 8 END AS INTEGER) AS destination_id,
   CAST(o_orderdate AS DATE) AS travel_date, l_shipdate AS snapshot_ts
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "trip": """
-SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS schedule_id, l_returnflag AS seat_type,
+SELECT DISTINCT l_orderkey AS schedule_id, l_returnflag AS seat_type,
   l_shipdate AS snapshot_ts, CAST(month(l_shipdate) AS DOUBLE) AS hours_before_departure,
   CAST(o_orderdate AS DATE) AS date_of_journey, CAST(o_custkey % 3 AS INTEGER) AS operator_id,
   '0' || CAST(l_orderkey % 4 AS VARCHAR) || ':00:00' AS departure_time
@@ -65,7 +65,7 @@ SELECT CAST(expected_occupancy AS DOUBLE) AS expected_occupancy,
   CAST(NULL AS VARCHAR) AS time_step_to_check, operator_id, date_of_journey,
   CAST(NULL AS VARCHAR) AS time_slot, seat_type, hours_before_departure, CAST(price AS DOUBLE) AS price,
   CAST(NULL AS VARCHAR) AS origin, CAST(NULL AS VARCHAR) AS destination,
-  CAST(actual_fare AS DOUBLE) AS actual_fare, schedule_id, CAST(NULL AS VARCHAR) AS coach_layout_id,
+  CAST(actual_fare AS DOUBLE) AS actual_fare, CAST(schedule_id AS VARCHAR) AS schedule_id, CAST(NULL AS VARCHAR) AS coach_layout_id,
   departure_time, CAST(snapshot_ts AS DATE) AS snapshot_date,
   CASE WHEN hour(snapshot_ts) < 12 THEN '00:00:00' ELSE '12:00:00' END AS snapshot_time,
   date_trunc('day', snapshot_ts)
@@ -263,7 +263,7 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
         "trip", "", "SELECT DISTINCT date_of_journey, schedule_id, snapshot_ts FROM trip",
     ),
     "schedule_id_text": (
-        "snap", "", "SELECT DISTINCT schedule_id, schedule_id AS schedule_id_text FROM snap",
+        "snap", "", "SELECT DISTINCT schedule_id, CAST(schedule_id AS VARCHAR) AS schedule_id_text FROM snap",
     ),
     "actual_price_view": (
         "snap",
@@ -354,7 +354,7 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
     "nearest_hour_requests": (
         "snap",
         "",
-        _nearest("SELECT DISTINCT CAST(user_id AS VARCHAR) AS schedule_id, value AS x FROM events"),
+        _nearest("SELECT DISTINCT user_id AS schedule_id, value AS x FROM events"),
     ),
     "seats_by_hour": (
         "seat trip",

@@ -1,7 +1,8 @@
 """The driver's tables read as fare snapshots.
 
 There is no fare data among the driver's tables, so three views stand in for
-the silver tables. The same definitions, as SQL, are in ``oracles.py``.
+the silver tables, with the tables' own integer keys as ids. The same
+definitions, as SQL, are in ``oracles.py``.
 
 * ``snap``: schedule-level snapshots, from ``events``
 * ``seat``: seat-level snapshots, from ``lineitem`` and ``orders``
@@ -39,7 +40,7 @@ def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "events")
         .withColumn("k", _k())
         .select(
-            F.col("user_id").cast("string").alias("schedule_id"),
+            F.col("user_id").alias("schedule_id"),
             F.col("event_type").alias("seat_type"),
             (F.col("user_id") % 3).cast("int").alias("operator_id"),
             F.col("ts").alias("snapshot_ts"),
@@ -91,15 +92,15 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seat(spark: SparkSession, sf_dir: str) -> DataFrame:
     fare = F.col("l_extendedprice").cast("decimal(18,2)")
     return _lines(spark, sf_dir).select(
-        F.col("l_orderkey").cast("string").alias("schedule_id"),
-        F.col("l_linenumber").cast("string").alias("seat_number"),
+        F.col("l_orderkey").alias("schedule_id"),
+        F.col("l_linenumber").alias("seat_number"),
         F.col("l_returnflag").alias("seat_type"),
         (fare * (1 - F.col("l_discount").cast("decimal(4,2)"))).alias("final_price"),
         fare.alias("actual_fare"),
-        F.col("l_partkey").cast("string").alias("coach_layout_id"),
+        F.col("l_partkey").alias("coach_layout_id"),
         F.col("l_quantity").cast("int").alias("sales_count"),
         (F.col("l_discount").cast("decimal(4,2)") * 100).cast("decimal(10,2)").alias("sales_percentage"),
-        F.col("l_suppkey").cast("string").alias("operator_reservation_id"),
+        F.col("l_suppkey").alias("operator_reservation_id"),
         F.when(F.col("o_custkey") % 2 == 0, 1646).otherwise(7).alias("origin_id"),
         F.when(F.col("o_custkey") % 3 == 0, 1821).otherwise(8).alias("destination_id"),
         F.col("o_orderdate").cast("date").alias("travel_date"),
@@ -111,7 +112,7 @@ def trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _lines(spark, sf_dir)
         .select(
-            F.col("l_orderkey").cast("string").alias("schedule_id"),
+            F.col("l_orderkey").alias("schedule_id"),
             F.col("l_returnflag").alias("seat_type"),
             F.col("l_shipdate").alias("snapshot_ts"),
             F.month("l_shipdate").cast("double").alias("hours_before_departure"),

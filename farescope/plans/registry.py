@@ -200,7 +200,7 @@ def _(spark, d):
 @query("nearest_hour_requests")
 def _(spark, d):
     requests = table(spark, d, "events").select(
-        F.col("user_id").cast("string").alias("schedule_id"),
+        F.col("user_id").alias("schedule_id"),
         F.col("value").alias("requested_hours"),
     )
     return lookups.nearest_snapshots_for(snap(spark, d), requests)
@@ -425,7 +425,7 @@ def _(spark, d):
 @query("seat_type_choices")
 def _(spark, d):
     # A schedule without seat rows is offered every seat type of the feed.
-    return choices.seat_type_choices(seat(spark, d), snap(spark, d), "none")
+    return choices.seat_type_choices(seat(spark, d), snap(spark, d), "-1")
 
 
 @query("seat_types_union")
@@ -641,7 +641,7 @@ def _(spark, d):
 def _(spark, d):
     path = working_folder(spark, "json")
     store.write_json(snap(spark, d), path)
-    schema = "schedule_id string, seat_type string, snapshot_ts timestamp_ntz, actual_fare double, price double"
+    schema = "schedule_id bigint, seat_type string, snapshot_ts timestamp_ntz, actual_fare double, price double"
     return spark.read.schema(schema).json(path)
 
 

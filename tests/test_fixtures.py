@@ -38,6 +38,7 @@ def test_typed_rows(snaps):
 def test_latest_is_by_time_not_text(snaps):
     got = rows(views.seat_prices_latest(snaps), "seat_type", "snapshot_ts")
     assert got == [("A", T2), ("B", T3)]
+    assert rows(views.seat_prices_latest(snaps, unique=True), "seat_type", "snapshot_ts") == got
 
 
 def test_second_load_adds_nothing(spark, feed_folders, store_base, snaps):
