@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from farescope.functions import scalars as S
 from farescope.operators.filters import on_date
+from farescope.operators.joins import one_value
 
 # Names by id.
 OPERATOR_NAMES = {191: "Pullman San Andreas", 296: "Pullman Bus TS"}
@@ -122,7 +123,8 @@ def with_name(
     The dimension is made unique on its key so that the join cannot fan out.
     Spark broadcasts it only while it is under the configured size.
     """
-    names = dimension.groupBy(F.col(dim_key).alias(key)).agg(F.min(dim_name).alias(alias))
+    pairs = dimension.select(F.col(dim_key).alias(key), F.col(dim_name).alias(alias))
+    names = one_value(pairs, key, alias)
     return df.join(names, key, "left").withColumn(alias, F.coalesce(alias, F.lit(default)))
 
 

@@ -68,7 +68,7 @@ def match_counts(snaps: DataFrame, model_operators: Sequence[int]) -> DataFrame:
 
 def common_slots(snaps: DataFrame, operator1: int, operator2: int) -> DataFrame:
     """(time, date) sets of two operators, intersected."""
-    slots = snaps.select("operator_id", "departure_time", "date_of_journey")
+    slots = snaps.select("operator_id", "departure_time", "date_of_journey").distinct()
 
     def of(operator: int) -> DataFrame:
         return slots.filter(F.col("operator_id") == F.lit(int(operator))).drop("operator_id")

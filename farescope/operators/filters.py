@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farescope.functions import scalars as S
+from farescope.operators.joins import rows_in, rows_not_in
 from farescope.operators.latest import latest_all
 
 
@@ -81,7 +82,7 @@ def other_operators(df: DataFrame, operator_id: int) -> DataFrame:
 
 def of_schedules(df: DataFrame, schedules: DataFrame) -> DataFrame:
     """Rows whose schedule appears in ``schedules`` (never fans out)."""
-    return df.join(schedules.select("schedule_id").distinct(), "schedule_id", "left_semi")
+    return rows_in(df, schedules, ["schedule_id"])
 
 
 def at_latest_snapshot(df: DataFrame, keys: Sequence[str] = ("schedule_id",)) -> DataFrame:
@@ -102,8 +103,7 @@ def snapshots_in_month_at_zero_hour(df: DataFrame, month_day: str | dt.date) ->
 
 def with_fallback(primary: DataFrame, fallback: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``primary`` plus the ``fallback`` rows of keys that ``primary`` lacks altogether."""
-    have = primary.select(*keys).distinct()
-    rest = fallback.join(have, list(keys), "left_anti")
+    rest = rows_not_in(fallback, primary, keys)
     return primary.unionByName(rest, allowMissingColumns=True)
 
 

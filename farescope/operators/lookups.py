@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from farescope.functions import scalars as S
 from farescope.operators.filters import on_date
+from farescope.operators.joins import rows_in
 from farescope.operators.latest import first_per_key, latest_all, latest_one
 
 HOUR_KEY = ("schedule_id", "seat_type", "hours_before_departure")
@@ -129,22 +130,19 @@ def seat_rows(
 ) -> DataFrame:
     """Seat rows restricted through the snapshot's hour and journey date.
 
-    A filter that matches nothing yields nothing. The right sides are distinct
-    on the join key and the one filtered column, so no row is repeated.
+    A filter that matches nothing yields nothing, and no row is repeated.
     """
     if schedule_id is not None:
         seats = seats.filter(F.col("schedule_id") == F.lit(str(schedule_id)))
         snaps = snaps.filter(F.col("schedule_id") == F.lit(str(schedule_id)))
     if hours is not None:
         at_hour = snaps.filter(S.near_hour(F.col("hours_before_departure"), float(hours)))
-        at_hour = at_hour.select("schedule_id", "snapshot_ts").distinct()
-        seats = seats.join(at_hour, ["schedule_id", "snapshot_ts"], "left_semi").withColumn(
+        seats = rows_in(seats, at_hour, ["schedule_id", "snapshot_ts"]).withColumn(
             "hours_before_departure", F.lit(float(hours))
         )
     if date_of_journey is not None:
         on_day = on_date(snaps, "date_of_journey", date_of_journey)
-        on_day = on_day.select("schedule_id", "snapshot_ts").distinct()
-        seats = seats.join(on_day, ["schedule_id", "snapshot_ts"], "left_semi").withColumn(
+        seats = rows_in(seats, on_day, ["schedule_id", "snapshot_ts"]).withColumn(
             "date_of_journey", F.lit(str(date_of_journey)).cast("date")
         )
     return seats
@@ -299,8 +297,7 @@ def nearest_hour_prices(
         [F.col(c).asc_nulls_last() for c in ties],
     ).select("schedule_id", "seat_type", "snapshot_ts", "actual_fare", "price")
     if seats is not None:
-        listed = seats.select("schedule_id", "seat_type").distinct()
-        one = one.join(listed, ["schedule_id", "seat_type"], "left_semi")
+        one = rows_in(one, seats, ["schedule_id", "seat_type"])
     return one.join(chosen, ["schedule_id", "snapshot_ts"]).select(
         "schedule_id",
         "requested_hours",

@@ -8,7 +8,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from farescope.operators import lookups, rollups, trends
+from farescope.operators import choices, filters, lookups, rollups, trends
+from farescope.operators.joins import rows_not_in
 from farescope.operators.latest import first_per_key, latest_all, latest_one, number_in_group
 
 BASE = dt.datetime(2025, 1, 1)
@@ -166,6 +167,45 @@ def test_price_sum_equals_sum_over_seats(spark):
     assert {tuple(r[:3]): list(r[3:]) for r in got.collect()} == dict(want)
 
 
+@pytest.fixture
+def splitting(spark):
+    """Thresholds so low that AQE treats the hot key of ``history`` as skewed."""
+    low = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.shuffle.partitions": "32",
+    }
+    before = {k: spark.conf.get(k, None) for k in low}
+    for k, v in low.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_keys_are_split_in_joins(spark, history, splitting):
+    df, data = history
+    parts = [(str(i), f"name {i}") for i in range(300)]
+    names = spark.createDataFrame(parts, "id string, name string")
+    half = df.filter("schedule_id <> '0' AND n % 2 = 0")
+    cases = {
+        "latest_all": (latest_all(df, ["schedule_id"], "date_of_journey"), 20_000),
+        "with_name": (choices.with_name(df, names, "schedule_id", "id", "name", "label"), 20_000),
+        "of_schedules": (filters.of_schedules(df, df), 20_000),
+        "not_in": (rows_not_in(df, half, ["schedule_id"]), None),
+    }
+    for name, (result, count) in cases.items():
+        run = result.select("n", "actual_fare", "price", "snapshot_ts")
+        got = run.collect()
+        assert "skew=true" in plan_of(run), name
+        assert count in (None, len(got)), name
+    gone = {r[0] for r in data if r[0] != "0" and r[6] % 2 == 0}
+    assert cases["not_in"][0].count() == sum(r[0] not in gone for r in data)
+
+
 def test_first_per_key_orders_nulls_last(spark):
     df = spark.createDataFrame([("a", None), ("a", BASE)], "k string, snapshot_ts timestamp_ntz")
     got = first_per_key(df, ["k"], [F.col("snapshot_ts").desc_nulls_last()])
