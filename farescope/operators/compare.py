@@ -14,8 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farescope.operators.latest import latest_all
-from farescope.operators.views import seat_wise_prices_latest
+from farescope.operators.latest import latest_all, latest_one
+from farescope.operators.views import SEAT_KEY, seat_wise_prices_latest
 
 SLOT = ("date_of_journey", "departure_time")
 
@@ -116,15 +116,24 @@ def seat_offers(
     snaps: DataFrame,
     model_operator: int,
     actual_operator: int | None = None,
+    one_row_ties: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Newest price per seat of every schedule in each slot, by operator role."""
+    """Newest price per seat of every schedule in each slot, by operator role.
+
+    Rows with equal stamps are all kept, unless ``one_row_ties`` names the
+    columns that pick one of them.
+    """
     schedules = (
         _sides(snaps, model_operator, actual_operator)
         .filter(F.col("departure_time").isNotNull())
         .select(*SLOT, "operator_id", "schedule_id")
         .distinct()
     )
-    newest = seat_wise_prices_latest(seats).select(
+    if one_row_ties is None:
+        newest = seat_wise_prices_latest(seats)
+    else:
+        newest = latest_one(seats, SEAT_KEY, ties=one_row_ties)
+    newest = newest.select(
         F.col("travel_date").alias("date_of_journey"),
         "schedule_id",
         "seat_number",

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farescope.functions import scalars as S
-from farescope.operators.filters import past_only
+from farescope.operators.filters import on_date, past_only
+from farescope.operators.joins import rows_in
 from farescope.operators.latest import first_per_key
 from farescope.operators.views import schedule_dates
 
@@ -118,25 +119,38 @@ def date_summary(per_schedule: DataFrame, dates: DataFrame) -> DataFrame:
     )
 
 
-def date_summary_schedule(snaps: DataFrame, as_of: str | None = None) -> DataFrame:
-    """Date totals from each (schedule, seat type) at its lowest hour."""
+def _dates(snaps: DataFrame, day: str | None, as_of: str | None) -> DataFrame:
+    if day is not None:
+        snaps = on_date(snaps, "date_of_journey", day)
+    if as_of is not None:
+        snaps = past_only(snaps, "date_of_journey", as_of)
+    return schedule_dates(snaps)
+
+
+def date_summary_schedule(
+    snaps: DataFrame, day: str | None = None, as_of: str | None = None
+) -> DataFrame:
+    """Date totals from each (schedule, seat type) at its lowest hour.
+
+    For all dates, or one ``day``, or those before ``as_of``.
+    """
+    dates = _dates(snaps, day, as_of)
+    if day is not None:
+        snaps = rows_in(snaps, dates, ["schedule_id"])
     keys = ("schedule_id", "seat_type")
     chosen = nearest_departure(snapshot_sums(snaps, keys, "price", hours=True), keys)
-    dates = schedule_dates(snaps)
-    if as_of is not None:
-        dates = past_only(dates, "date_of_journey", as_of)
     return date_summary(_per_schedule(chosen), dates)
 
 
 def date_summary_seat(
-    seats: DataFrame, snaps: DataFrame, as_of: str | None = None
+    seats: DataFrame, snaps: DataFrame, day: str | None = None, as_of: str | None = None
 ) -> DataFrame:
     """Date totals from each (schedule, seat) at its newest snapshot."""
+    dates = _dates(snaps, day, as_of)
+    if day is not None:
+        seats = rows_in(seats, dates, ["schedule_id"])
     keys = ("schedule_id", "seat_number")
     chosen = newest(snapshot_sums(seats, keys, "final_price", hours=False), keys)
-    dates = schedule_dates(snaps)
-    if as_of is not None:
-        dates = past_only(dates, "date_of_journey", as_of)
     return date_summary(_per_schedule(chosen), dates)
 
 
@@ -164,18 +178,40 @@ def _monthly(per_schedule: DataFrame, months: DataFrame) -> DataFrame:
     )
 
 
-def monthly_delta_schedule(snaps: DataFrame) -> DataFrame:
-    """Month totals of each schedule's rows at its lowest-hour snapshot."""
+def _months(snaps: DataFrame, year: int | None, month: int | None) -> DataFrame:
+    months = schedule_months(snaps)
+    if year is not None:
+        months = months.filter(F.col("year") == year)
+    if month is not None:
+        months = months.filter(F.col("month") == month)
+    return months
+
+
+def monthly_delta_schedule(
+    snaps: DataFrame, year: int | None = None, month: int | None = None
+) -> DataFrame:
+    """Month totals of each schedule's rows at its lowest-hour snapshot.
+
+    With ``year`` or ``month`` only the schedules running then are read on.
+    """
+    months = _months(snaps, year, month)
+    if year is not None or month is not None:
+        snaps = rows_in(snaps, months, ["schedule_id"])
     keys = ("schedule_id",)
     chosen = nearest_departure(snapshot_sums(snaps, keys, "price", hours=True), keys)
-    return _monthly(chosen, schedule_months(snaps))
+    return _monthly(chosen, months)
 
 
-def monthly_delta_seat(seats: DataFrame, snaps: DataFrame) -> DataFrame:
+def monthly_delta_seat(
+    seats: DataFrame, snaps: DataFrame, year: int | None = None, month: int | None = None
+) -> DataFrame:
     """Month totals of each seat at its lowest-hour snapshot.
 
     Seat rows carry no hours; they come from the schedule feed by snapshot.
     """
+    months = _months(snaps, year, month)
+    if year is not None or month is not None:
+        seats = rows_in(seats, months, ["schedule_id"])
     keys = ("schedule_id", "seat_number")
     at = snaps.groupBy("schedule_id", "snapshot_ts").agg(
         F.min("hours_before_departure").alias("hours")
@@ -183,7 +219,7 @@ def monthly_delta_seat(seats: DataFrame, snaps: DataFrame) -> DataFrame:
     sums = snapshot_sums(seats, keys, "final_price", hours=False).join(
         at, ["schedule_id", "snapshot_ts"], "left"
     )
-    return _monthly(_per_schedule(nearest_departure(sums, keys)), schedule_months(snaps))
+    return _monthly(_per_schedule(nearest_departure(sums, keys)), months)
 
 
 def total_seat_prices(seats: DataFrame, snaps: DataFrame) -> DataFrame:

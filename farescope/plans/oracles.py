@@ -527,6 +527,14 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
         f"offers AS ({_OFFER_SEAT})",
         """SELECT * REPLACE (CAST(price AS DOUBLE) AS price) FROM offers WHERE operator_id IN (0, 1)""",
     ),
+    "operator_compare_seat_one": (
+        "seat trip",
+        f"""seat_day_latest AS (SELECT * FROM seat QUALIFY row_number() OVER (
+            PARTITION BY travel_date, schedule_id, seat_number
+            ORDER BY snapshot_ts DESC, coach_layout_id, operator_reservation_id, sales_count) = 1),
+          offers AS ({_OFFER_SEAT})""",
+        """SELECT * REPLACE (CAST(price AS DOUBLE) AS price) FROM offers WHERE operator_id IN (0, 1)""",
+    ),
     "operator_compare_stats": ("snap", f"offers AS ({_OFFER_TYPE}), {_STATS}", _OFFER_STATS),
     "operator_compare_seat_stats": (
         "seat trip seat_day_latest", f"offers AS ({_OFFER_SEAT}), {_STATS}", _OFFER_STATS,
@@ -724,6 +732,13 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
     ),
     "csv_ingest_typed": ("snap feed", "", "SELECT * FROM feed UNION ALL SELECT * FROM feed"),
     "insert_ignore": ("snap feed", "", "SELECT * FROM feed"),
+    "append_frame": (
+        "snap",
+        "",
+        """SELECT CAST(schedule_id AS VARCHAR) AS schedule_id, seat_type, date_of_journey,
+          CAST(actual_fare AS DOUBLE) AS actual_fare, CAST(NULL AS DOUBLE) AS price, snapshot_ts,
+          date_of_journey - CAST(dayofweek(date_of_journey) AS INTEGER) AS week_start FROM snap""",
+    ),
     "load_folder_twice": ("snap feed", "", "SELECT * FROM feed"),
     "partition_report": (
         "snap feed", "", "SELECT week_start, count(*) AS row_count FROM feed GROUP BY 1",

@@ -354,6 +354,11 @@ def _(spark, d):
     return compare.seat_offers(seat(spark, d), trip(spark, d), 0, 1)
 
 
+@query("operator_compare_seat_one")
+def _(spark, d):
+    return compare.seat_offers(seat(spark, d), trip(spark, d), 0, 1, one_row_ties=SEAT_TIES)
+
+
 @query("operator_compare_stats")
 def _(spark, d):
     return compare.compare_stats(compare.seat_type_offers(snap(spark, d), 0))
@@ -624,6 +629,20 @@ def _(spark, d):
     return store.read_table(spark, base, FEED)
 
 
+@query("append_frame")
+def _(spark, d):
+    # Odd column case, an extra column, most of the feed's columns missing.
+    base = working_folder(spark, "store")
+    frame = snap(spark, d).select(
+        F.col("schedule_id").alias("SCHEDULE_ID"), F.col("seat_type").alias(" Seat_Type "),
+        "date_of_journey", "actual_fare", "snapshot_ts", F.lit(1).alias("extra"),
+    )
+    store.append(store.conform(frame, SEAT_PRICES), base, SEAT_PRICES)
+    return store.read_table(spark, base, SEAT_PRICES).select(
+        "schedule_id", "seat_type", "date_of_journey", "actual_fare", "price", "snapshot_ts", "week_start"
+    )
+
+
 @query("load_folder_twice")
 def _(spark, d):
     folder, base = write_feed(spark, d), working_folder(spark, "store")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import islice
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from farescope.functions import scalars as S
 from farescope.operators.filters import in_date_range
 from farescope.operators.latest import first_per_key
 from farescope.schemas import FEEDS, Feed
@@ -45,6 +47,30 @@ def common_columns(df: DataFrame, target: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{have[c.lower()]}`").alias(c) for c in target if c.lower() in have])
 
 
+def conform(df: DataFrame, feed: Feed) -> DataFrame:
+    """A typed frame in the table's shape.
+
+    Columns are matched without regard to case; others are dropped, absent ones
+    are NULL, and the week follows from the date.
+    """
+    schema = [f for f in feed.silver_schema.fields if f.name != "week_start"]
+    rows = common_columns(df, [f.name for f in schema])
+    rows = rows.select(
+        *[
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema
+        ]
+    )
+    return rows.withColumn("week_start", S.week_start(F.col(feed.date_column)))
+
+
+def with_columns_of(df: DataFrame, other: DataFrame) -> DataFrame:
+    """``df`` plus the columns only ``other`` has, as NULL text."""
+    have = {c.lower() for c in df.columns}
+    unseen = {c: F.lit(None).cast("string") for c in other.columns if c.lower() not in have}
+    return df.withColumns(unseen) if unseen else df
+
+
 def append(df: DataFrame, base: str, feed: Feed) -> None:
     """Add rows to the feed's table, one folder per week.
 
@@ -118,18 +144,17 @@ def load_folder(
 ) -> int:
     """Load every new file, oldest name first, in rounds of bounded size.
 
+    The folder is listed once; the driver holds one round's file names at a time.
     The ledger is written after the rows. A failure in between makes the next
     run read those files again, and insert-or-ignore then adds nothing twice.
     """
     total = 0
-    while True:
-        todo = new_files(spark, folder, base, feed).orderBy("path").limit(files_per_round)
-        paths = [r.path for r in todo.collect()]
-        if not paths:
-            return total
+    todo = (r.path for r in new_files(spark, folder, base, feed).orderBy("path").toLocalIterator())
+    while paths := list(islice(todo, files_per_round)):
         total += insert_ignore(typed(read_feed(spark, feed, paths), feed), base, feed)
         done = spark.createDataFrame([(feed.name, p) for p in paths], LEDGER_SCHEMA)
         done.coalesce(1).write.mode("append").parquet(ledger_path(base))
+    return total
 
 
 def load_all(spark: SparkSession, folders: dict[str, str], base: str) -> dict[str, int]:

@@ -125,6 +125,10 @@ def test_date_summaries(snaps, seats):
     assert rows(rollups.date_summary_schedule(snaps), "actual_sum", "model_sum") == [(D("120.00"), D("195.00"))]
     assert rollups.date_summary_schedule(snaps, as_of="2025-08-06").count() == 0
     assert rollups.date_summary_schedule(snaps, as_of="2025-08-07").count() == 1
+    assert rollups.date_summary_schedule(snaps, day="2025-08-06").count() == 1
+    assert rollups.date_summary_schedule(snaps, day="2025-08-07").count() == 0
+    one_day = rollups.date_summary_seat(seats, snaps, day="2025-08-06")
+    assert rows(one_day, "actual_sum") == [(D("300.00"),)]
     nothing = rollups.date_summary_seat(seats.filter("false"), snaps)
     assert rows(nothing, "actual_sum", "model_sum", "status") == [(D("0.00"), D("0.00"), "neutral")]
 
@@ -135,6 +139,12 @@ def test_monthly(snaps, seats):
     assert rows(rollups.monthly_delta_seat(seats, snaps)) == [(2025, 8, 1, D("300.00"), D("310.00"), D("-10.00"))]
 
 
+def test_monthly_of_one_month(snaps, seats):
+    for year, month, n in ((2025, 8, 1), (2025, 7, 0), (None, 8, 1), (2024, None, 0)):
+        assert rollups.monthly_delta_schedule(snaps, year, month).count() == n
+        assert rollups.monthly_delta_seat(seats, snaps, year, month).count() == n
+
+
 def test_totals(snaps, seats):
     got = rows(rollups.total_seat_prices(seats, snaps))
     assert got == [
@@ -292,6 +302,11 @@ def test_common_columns(snaps):
     assert store.common_columns(odd, SEAT_PRICES.columns).columns == ["seat_type", "price"]
 
 
+def test_columns_of_another_frame_are_added(snaps):
+    wider = store.with_columns_of(snaps.select("price"), snaps.select("PRICE", "seat_type"))
+    assert wider.dtypes == [("price", "decimal(18,2)"), ("seat_type", "string")]
+
+
 def test_views_and_sql(spark, snaps, seats):
     names = views.register_views(spark, snaps, seats, snaps.withColumn("departure_time", F.lit("10:00:00")), seats)
     assert "dateofjourney" in names

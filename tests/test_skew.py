@@ -216,7 +216,7 @@ def test_no_query_pairs_rows_without_a_key(spark):
     import __spark_entry__ as entry
     from conftest import SMALL
 
-    skip = {"csv_ingest_typed", "insert_ignore", "load_folder_twice", "partition_report", "json_export"}
+    skip = {"csv_ingest_typed", "insert_ignore", "load_folder_twice", "partition_report", "json_export", "append_frame"}
     for name, query in entry.queries().items():
         if name in skip or name.startswith("stream"):
             continue
