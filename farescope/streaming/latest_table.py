@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from farescope.operators.latest import latest_all
+from farescope.operators.latest import latest_one
 from farescope.schemas import Feed
 from farescope.sources.store import only_weeks_of, read_or_empty
 
@@ -43,16 +43,23 @@ def read_latest(
     return rows.join(current, ["week_start", "batch_id"], "left_semi").select(*schema.names)
 
 
-def merge_batch(
-    batch: DataFrame, batch_id: int, path: str, keys: Sequence[str]
-) -> None:
-    """Fold one micro-batch into the table."""
+def _newest(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    rest = [c for c in df.columns if c not in (*keys, "snapshot_ts")]
+    return latest_one(df.dropna(subset=[*keys, "snapshot_ts"]), keys, ties=rest)
+
+
+def merge_batch(batch: DataFrame, batch_id: int, path: str, keys: Sequence[str]) -> None:
+    """Fold one micro-batch into the table, one row per key.
+
+    Key and stamp identify a row of a feed's table; should two rows share both,
+    the remaining columns decide, so a repeated batch gives the same table.
+    """
     spark = batch.sparkSession
-    batch = latest_all(batch, keys).persist()
+    batch = _newest(batch, keys).persist()
     try:
         weeks = batch.select("week_start").distinct()
         touched = only_weeks_of(read_latest(spark, path, batch.schema, before=batch_id), batch)
-        merged = latest_all(touched.unionByName(batch).distinct(), keys)
+        merged = _newest(touched.unionByName(batch), keys)
         (
             merged.hint("rebalance", "week_start")
             .write.mode("overwrite")
