@@ -83,6 +83,44 @@ def distinct_prices(
     )
 
 
+def kpi_cards(
+    snaps: DataFrame, hours: Sequence[float], ties: Sequence[str] = SNAP_TIES
+) -> DataFrame:
+    """Prices, occupancies and demand per schedule, seat type and requested hour.
+
+    Prices come from the nearest snapshot; occupancies (0 when missing) and
+    demand from the newest row at the hour itself, within 0.01.
+    """
+    h, wanted = F.col("hours_before_departure"), [float(x) for x in hours]
+    key = ["schedule_id", "seat_type", "requested_hours"]
+    close = F.filter(
+        F.array(*[F.lit(x) for x in wanted]), lambda x: F.abs(h - x) < S.HOUR_TOLERANCE
+    )
+    at_hour = latest_one(snaps.withColumn("requested_hours", F.explode(close)), key, ties=ties)
+    at_hour = at_hour.select(*key, "actual_occupancy", "expected_occupancy", "demand_index")
+    actual, model = F.col("actual_price"), F.col("model_price")
+    both = F.col("actual_occupancy").isNotNull() & F.col("expected_occupancy").isNotNull()
+    zero = F.lit(0).cast("decimal(10,2)")
+    return (
+        nearest_hour_prices(snaps, wanted)
+        .join(at_hour, key, "left")
+        .select(
+            *key,
+            "matched_hours",
+            actual,
+            model,
+            F.abs(actual - model).alias("abs_delta"),
+            S.status(actual, model).alias("status"),
+            *[
+                F.when(both, F.col(c)).otherwise(zero).alias(c)
+                for c in ("actual_occupancy", "expected_occupancy")
+            ],
+            S.demand_grade(F.col("demand_index")).alias("demand_grade"),
+            S.demand_value(F.col("demand_index")).alias("demand_value"),
+        )
+    )
+
+
 def departure_times(snaps: DataFrame) -> DataFrame:
     """One departure time per schedule."""
     return snaps.groupBy("schedule_id").agg(F.min("departure_time").alias("departure_time"))

@@ -227,6 +227,7 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
         f"""SELECT {_SEAT_COLS} FROM seat s WHERE snapshot_ts =
           (SELECT max(snapshot_ts) FROM seat t WHERE t.schedule_id = s.schedule_id)""",
     ),
+    "newest_first": ("snap", "", f"SELECT {_SNAP_COLS} FROM snap"),
     "hours_view": (
         "snap", "", "SELECT DISTINCT hours_before_departure, schedule_id, snapshot_ts FROM snap",
     ),
@@ -351,6 +352,31 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
             ORDER BY date_of_journey, hours_before_departure, actual_fare, price NULLS LAST) = 1) s
           ON n.schedule_id = s.schedule_id AND n.snapshot_ts = s.snapshot_ts""",
     ),
+    "kpi_cards": (
+        "snap",
+        "near AS ("
+        + _nearest(f"SELECT DISTINCT schedule_id, x FROM snap CROSS JOIN ({_HOURS}) h(x)")
+        + f"""), prices AS (SELECT n.schedule_id, n.requested_hours, n.matched_hours, s.seat_type,
+            s.actual_fare AS a, s.price AS m
+            FROM near n JOIN (SELECT * FROM snap QUALIFY row_number() OVER (
+              PARTITION BY schedule_id, seat_type, snapshot_ts
+              ORDER BY date_of_journey, hours_before_departure, actual_fare, price NULLS LAST) = 1) s
+            ON n.schedule_id = s.schedule_id AND n.snapshot_ts = s.snapshot_ts),
+          at_hour AS (SELECT * FROM snap JOIN ({_HOURS}) h(x) ON abs(hours_before_departure - x) < 0.01
+            QUALIFY row_number() OVER (PARTITION BY schedule_id, seat_type, x
+              ORDER BY snapshot_ts DESC, actual_fare, price NULLS LAST, expected_occupancy) = 1)""",
+        f"""SELECT p.schedule_id, p.seat_type, p.requested_hours, p.matched_hours,
+          CAST(a AS DOUBLE) AS actual_price, CAST(m AS DOUBLE) AS model_price,
+          CAST(abs(a - m) AS DOUBLE) AS abs_delta, {_STATUS.format(a="a", m="m")} AS status,
+          CASE WHEN actual_occupancy IS NULL OR expected_occupancy IS NULL THEN 0.0
+            ELSE CAST(actual_occupancy AS DOUBLE) END AS actual_occupancy,
+          CASE WHEN actual_occupancy IS NULL OR expected_occupancy IS NULL THEN 0.0
+            ELSE CAST(expected_occupancy AS DOUBLE) END AS expected_occupancy,
+          CASE WHEN TRY_CAST(demand_index AS DOUBLE) IS NULL THEN demand_index END AS demand_grade,
+          TRY_CAST(demand_index AS DOUBLE) AS demand_value
+          FROM prices p LEFT JOIN at_hour q ON p.schedule_id = q.schedule_id
+            AND p.seat_type = q.seat_type AND p.requested_hours = q.x""",
+    ),
     "nearest_hour_requests": (
         "snap",
         "",
@@ -481,17 +507,17 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
     ),
     "matching_times": (
         "snap",
-        "",
+        "o AS (SELECT DISTINCT operator_id, date_of_journey, departure_time FROM snap)",
         """SELECT DISTINCT CAST(1 AS INTEGER) AS actual_operator, a.date_of_journey, a.departure_time
-          FROM snap a JOIN snap b ON a.departure_time = b.departure_time
+          FROM o a JOIN o b ON a.departure_time = b.departure_time
             AND a.date_of_journey = b.date_of_journey
           WHERE a.operator_id = 0 AND b.operator_id = 1""",
     ),
     "matching_times_seat_type": (
         "snap",
-        "",
+        "o AS (SELECT DISTINCT operator_id, date_of_journey, departure_time, seat_type FROM snap)",
         """SELECT DISTINCT CAST(1 AS INTEGER) AS actual_operator, a.date_of_journey, a.departure_time
-          FROM snap a JOIN snap b ON a.departure_time = b.departure_time
+          FROM o a JOIN o b ON a.departure_time = b.departure_time
             AND a.date_of_journey = b.date_of_journey AND a.seat_type = b.seat_type
           WHERE a.operator_id = 0 AND b.operator_id = 1""",
     ),
@@ -653,6 +679,13 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
           CAST(abs(actual_fare - final_price) AS DOUBLE) AS abs_delta,
           {_STATUS.format(a="actual_fare", m="final_price")} AS status FROM seats_newest""",
     ),
+    "seat_order": (
+        "seat seats_newest",
+        "",
+        """SELECT schedule_id, TRY_CAST(seat_number AS BIGINT) AS seat_no,
+          CAST(actual_fare AS DOUBLE) AS actual_fare, CAST(final_price AS DOUBLE) AS final_price
+          FROM seats_newest""",
+    ),
     "seat_details": (
         "seat seats_newest",
         "",

@@ -77,6 +77,11 @@ def _(spark, d):
     return filters.at_latest_snapshot(seat(spark, d))
 
 
+@query("newest_first")
+def _(spark, d):
+    return views.newest_first(snap(spark, d))
+
+
 @query("hours_view")
 def _(spark, d):
     return views.hours_view(snap(spark, d))
@@ -206,6 +211,11 @@ def _(spark, d):
     return lookups.nearest_snapshots_for(snap(spark, d), requests)
 
 
+@query("kpi_cards")
+def _(spark, d):
+    return lookups.kpi_cards(snap(spark, d), REQUESTED_HOURS, SNAP_TIES)
+
+
 @query("seats_by_hour")
 def _(spark, d):
     return lookups.seats_by_hour(seat(spark, d), trip(spark, d), SEAT_TIES)
@@ -538,6 +548,12 @@ def _(spark, d):
     return seats.seat_price_table(lookups.seats_latest(seat(spark, d), SEAT_TIES))
 
 
+@query("seat_order")
+def _(spark, d):
+    table = seats.seat_price_table(lookups.seats_latest(seat(spark, d), SEAT_TIES))
+    return seats.in_seat_order(table).select("schedule_id", "seat_no", "actual_fare", "final_price")
+
+
 @query("seat_details")
 def _(spark, d):
     return seats.seat_details(lookups.seats_latest(seat(spark, d), SEAT_TIES))

@@ -26,6 +26,8 @@ MISSING_TEXT = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# A quote inside a quoted value is doubled.
+CSV = {"header": "true", "escape": '"'}
 LISTING = {"recursiveFileLookup": "true", "pathGlobFilter": "*.csv"}
 
 
@@ -68,7 +70,7 @@ def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 def _read_group(spark: SparkSession, feed: Feed, header: str, paths: Sequence[str]) -> DataFrame:
     names = [c.strip().lower() for c in next(csv.reader([header.lstrip("﻿")]))]
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    rows = spark.read.schema(schema).option("header", "true").csv(list(paths))
+    rows = spark.read.schema(schema).options(**CSV).csv(list(paths))
 
     def cell(name: str) -> Column:
         if name not in names:

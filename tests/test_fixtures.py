@@ -260,6 +260,39 @@ def test_header_traps(spark, tmp_path):
     )
 
 
+def test_quoted_values(spark, tmp_path):
+    (tmp_path / "seat_wise_prices_2025-01-01_06-30.csv").write_text(
+        'schedule_id,seat_type,actual_fare\n"S,1","Semi ""A"", low",7\nS2,NA,NaN\n\n'
+    )
+    raw = feeds.read_feed(spark, SEAT_WISE_PRICES, [str(tmp_path / "seat_wise_prices_2025-01-01_06-30.csv")])
+    assert rows(raw, "schedule_id", "seat_type", "actual_fare") == [
+        ("S,1", 'Semi "A", low', "7"), ("S2", None, None),
+    ]
+
+
+def test_filters_reach_the_scan(spark, snaps):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    picked = filters.filtered(snaps, schedule_id="S1", hours=2, date_of_journey="2025-08-06")
+    plan = picked.select("actual_fare")._jdf.queryExecution().executedPlan().toString()
+    for part in (
+        "GreaterThan(hours_before_departure,1.99)", "LessThan(hours_before_departure,2.01)",
+        "EqualTo(schedule_id,S1)", "EqualTo(date_of_journey,2025-08-06)", "week_start#",
+    ):
+        assert part in plan, part
+    assert "seat_type" not in plan.split("ReadSchema")[1]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_kpi_cards(snaps):
+    columns = ("requested_hours", "seat_type", "actual_price", "model_price", "actual_occupancy", "demand_grade")
+    assert rows(lookups.kpi_cards(snaps, [2, 9.5]), *columns) == [
+        (2.0, "A", D("120.00"), D("125.00"), D("70.00"), None),
+        (2.0, "B", D("60.00"), None, D("40.00"), None),
+        (9.5, "A", D("100.00"), D("90.00"), D("0.00"), None),
+        (9.5, "B", None, D("80.00"), D("0.00"), None),
+    ]
+
+
 def test_unparsable_name_gives_no_stamp_and_no_row(spark, tmp_path):
     (tmp_path / "seat_wise_prices_latest.csv").write_text("schedule_id,seat_number,travel_date\nS1,1,2025-01-01\n")
     raw = feeds.read_feed(spark, SEAT_WISE_PRICES, [str(tmp_path / "seat_wise_prices_latest.csv")])
