@@ -22,7 +22,7 @@ MAX_SHUFFLE_PARTITIONS = 100_000
 def tune(spark: SparkSession) -> SparkSession:
     """Set the runtime options the operators expect, keeping any the caller has set."""
     for key, value in SETTINGS.items():
-        if not _is_set(spark, key):
+        if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
     return spark
 
@@ -36,24 +36,22 @@ def size_shuffles(*tables: DataFrame) -> None:
     spark = tables[0].sparkSession
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     now = int(spark.conf.get(key, None) or spark.conf.get("spark.sql.shuffle.partitions"))
-    size = sum(int(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for t in tables)
+    size = sum(int(t._jdf.queryExecution().analyzed().stats().sizeInBytes()) for t in tables)
     wanted = min(size // BYTES_PER_SHUFFLE_PARTITION + 1, MAX_SHUFFLE_PARTITIONS)
     if wanted > now:
         spark.conf.set(key, str(wanted))
 
 
-def _is_set(spark: SparkSession, key: str) -> bool:
-    return key in spark.conf.getAll
-
-
 def working_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder all executors can reach, under the session's checkpoint folder.
 
-    Without ``spark.checkpoint.dir``, as in a local test, a temporary folder
-    takes its place.
+    Only a local session may leave ``spark.checkpoint.dir`` unset; a temporary
+    folder takes its place there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="farescope-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
