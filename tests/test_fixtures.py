@@ -177,6 +177,8 @@ def test_filters(snaps):
     assert filters.filtered(snaps, "S1", 191, "A", 2, "2025-08-06").count() == 1
     assert filters.filtered(snaps, date_of_journey="2025-08-07").count() == 0
     assert filters.of_schedule_text(snaps, "  S1 ").count() == 5
+    assert filters.of_seat(snaps.withColumn("seat_number", F.lit(7)), "7").count() == 5
+    assert filters.filtered(snaps, departure_time=None, operator_id=296).count() == 0
     newest = filters.filtered(snaps, newest_first=True).first()
     assert newest.snapshot_ts == T3
     plan = filters.on_date(snaps, "date_of_journey", "2025-08-06")._jdf.queryExecution().toString()
