@@ -41,27 +41,46 @@ def latest_all(df: DataFrame, keys: Sequence[str], stamp: str = "snapshot_ts") -
     return df.join(best, cond, "left_semi")
 
 
+BLOCK = 1024
+
+
 def number_in_group(df: DataFrame, keys: Sequence[str], number: str, alias: str) -> DataFrame:
     """0-based position of each row by the integer column ``number`` within ``keys``.
 
     ``number`` must be unique per key. Positions are counted inside blocks of
     1024 consecutive numbers, so a task never sorts more than one block of a
-    key; the blocks' row counts, one row each, give the offset to add.
+    key; the rows before the block come from counts per block.
     """
-    blocks = df.withColumn("_block", F.floor(F.col(number) / 1024))
+    rows = df.withColumn("_block", F.floor(F.col(number) / BLOCK))
+    counts = rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     in_block = Window.partitionBy(*keys, "_block").orderBy(number)
-    before = (
-        Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        rows.withColumn("_pos", F.row_number().over(in_block) - 1)
+        .join(_counted_before(counts, keys, levels=2), [*keys, "_block"])
+        .withColumn(alias, F.col("_pos") + F.col("_before"))
+        .drop("_block", "_pos", "_before")
     )
-    offsets = (
-        blocks.groupBy(*keys, "_block")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+
+
+def _counted_before(counts: DataFrame, keys: Sequence[str], levels: int) -> DataFrame:
+    """(keys, _block, _before): the sum of ``_n`` over the key's earlier blocks.
+
+    Blocks are grouped 1024 to 1 and summed the same way, ``levels`` times, so
+    that a key with many blocks is not summed in one task either. What is left
+    for one task is one row per 1024 ** (levels + 1) numbers.
+    """
+    so_far = (Window.unboundedPreceding, -1)
+    if levels == 0:
+        w = Window.partitionBy(*keys).orderBy("_block").rowsBetween(*so_far)
+        return counts.select(*keys, "_block", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    grouped = counts.withColumn("_group", F.floor(F.col("_block") / BLOCK))
+    w = Window.partitionBy(*keys, "_group").orderBy("_block").rowsBetween(*so_far)
+    totals = grouped.groupBy(*keys, F.col("_group").alias("_block")).agg(F.sum("_n").alias("_n"))
+    earlier = _counted_before(totals, keys, levels - 1).select(
+        *keys, F.col("_block").alias("_group"), F.col("_before").alias("_base")
     )
     return (
-        blocks.withColumn("_pos", F.row_number().over(in_block) - 1)
-        .join(offsets, [*keys, "_block"])
-        .withColumn(alias, F.col("_pos") + F.col("_offset"))
-        .drop("_block", "_pos", "_offset")
+        grouped.withColumn("_in_group", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+        .join(earlier, [*keys, "_group"])
+        .select(*keys, "_block", (F.col("_base") + F.col("_in_group")).alias("_before"))
     )

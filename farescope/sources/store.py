@@ -114,7 +114,8 @@ def insert_ignore(new: DataFrame, base: str, feed: Feed) -> int:
 
     Running it again with the same rows adds nothing, so a retried load is safe.
     """
-    new = new.persist(StorageLevel.DISK_ONLY)
+    held = new.is_cached
+    new = new if held else new.persist(StorageLevel.DISK_ONLY)
     target = only_weeks_of(read_table(new.sparkSession, base, feed), new)
     fresh = new_rows(new, target, feed.primary_key).persist(StorageLevel.DISK_ONLY)
     try:
@@ -124,7 +125,8 @@ def insert_ignore(new: DataFrame, base: str, feed: Feed) -> int:
         return n
     finally:
         fresh.unpersist()
-        new.unpersist()
+        if not held:
+            new.unpersist()
 
 
 def migrate(source: DataFrame, base: str, feed: Feed, start: str, end: str) -> int:

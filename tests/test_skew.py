@@ -118,11 +118,13 @@ def test_exact_hour_prefers_the_later_stamp_within_tolerance(spark):
 
 
 def test_number_in_group_counts_across_blocks(spark):
-    numbers = [("hot", n) for n in range(-3000, 9000, 3)] + [("cold", n) for n in (5, 1023, 1024, 90_000)]
+    wide = [n * n * n * 1000 for n in range(-300, 900)]
+    numbers = [("hot", n) for n in range(-3000, 9000, 3)] + [("wide", n) for n in wide]
+    numbers += [("cold", n) for n in (5, 1023, 1024, 90_000)]
     df = spark.createDataFrame(numbers, "k string, n bigint").repartition(4)
     got = {(r.k, r.n): r.position for r in number_in_group(df, ["k"], "n", "position").collect()}
     want = {}
-    for key in ("hot", "cold"):
+    for key in ("hot", "wide", "cold"):
         for i, n in enumerate(sorted(n for k, n in numbers if k == key)):
             want[key, n] = i
     assert got == want
