@@ -121,17 +121,36 @@ def seat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        _lines(spark, sf_dir)
-        .select(
-            F.col("l_orderkey").alias("schedule_id"),
-            F.col("l_returnflag").alias("seat_type"),
-            F.col("l_shipdate").alias("snapshot_ts"),
-            F.month("l_shipdate").cast("double").alias("hours_before_departure"),
-            F.col("o_orderdate").cast("date").alias("date_of_journey"),
-            (F.col("o_custkey") % 3).cast("int").alias("operator_id"),
-            _slot(F.col("l_orderkey") % 4).alias("departure_time"),
-        )
-        .distinct()
-    )
+# Columns of ``trip`` and the lineitem column each needs, if any.
+TRIP_COLUMNS = {
+    "schedule_id": None,
+    "seat_type": "l_returnflag",
+    "snapshot_ts": "l_shipdate",
+    "hours_before_departure": "l_shipdate",
+    "date_of_journey": None,
+    "operator_id": None,
+    "departure_time": None,
+}
+
+
+def trip(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Distinct snapshots of the trips in ``seat``, in the given columns (default all).
+
+    Lines shrink to distinct values before they meet the orders, so an order
+    with very many lines is small by then.
+    """
+    columns = columns or tuple(TRIP_COLUMNS)
+    needed = sorted({c for c in map(TRIP_COLUMNS.get, columns) if c})
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *needed).distinct()
+    orders = table(spark, sf_dir, "orders")
+    made = {
+        "schedule_id": F.col("l_orderkey"),
+        "seat_type": F.col("l_returnflag"),
+        "snapshot_ts": F.col("l_shipdate"),
+        "hours_before_departure": F.month("l_shipdate").cast("double"),
+        "date_of_journey": F.col("o_orderdate").cast("date"),
+        "operator_id": (F.col("o_custkey") % 3).cast("int"),
+        "departure_time": _slot(F.col("l_orderkey") % 4),
+    }
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.select(*[made[c].alias(c) for c in columns]).distinct()

@@ -112,7 +112,7 @@ def _(spark, d):
 
 @query("date_of_journey_view")
 def _(spark, d):
-    return views.date_of_journey_view(trip(spark, d))
+    return views.date_of_journey_view(trip(spark, d, "date_of_journey", "schedule_id", "snapshot_ts"))
 
 
 @query("schedule_id_text")
@@ -218,7 +218,8 @@ def _(spark, d):
 
 @query("seats_by_hour")
 def _(spark, d):
-    return lookups.seats_by_hour(seat(spark, d), trip(spark, d), SEAT_TIES)
+    snaps = trip(spark, d, "schedule_id", "snapshot_ts", "hours_before_departure")
+    return lookups.seats_by_hour(seat(spark, d), snaps, SEAT_TIES)
 
 
 @query("seats_latest")
@@ -228,12 +229,14 @@ def _(spark, d):
 
 @query("seat_rows_at_hour")
 def _(spark, d):
-    return lookups.seat_rows(seat(spark, d), trip(spark, d), hours=6)
+    snaps = trip(spark, d, "schedule_id", "snapshot_ts", "hours_before_departure")
+    return lookups.seat_rows(seat(spark, d), snaps, hours=6)
 
 
 @query("journey_dates")
 def _(spark, d):
-    return lookups.journey_dates(seat(spark, d), trip(spark, d))
+    snaps = trip(spark, d, "schedule_id", "snapshot_ts", "date_of_journey")
+    return lookups.journey_dates(seat(spark, d), snaps)
 
 
 # --- roll-ups --------------------------------------------------------------------------
@@ -241,7 +244,7 @@ def _(spark, d):
 
 @query("date_summary_seat")
 def _(spark, d):
-    return rollups.date_summary_seat(seat(spark, d), trip(spark, d))
+    return rollups.date_summary_seat(seat(spark, d), trip(spark, d, "schedule_id", "date_of_journey"))
 
 
 @query("date_summary_schedule")
@@ -261,12 +264,14 @@ def _(spark, d):
 
 @query("monthly_delta_seat")
 def _(spark, d):
-    return rollups.monthly_delta_seat(seat(spark, d), trip(spark, d))
+    snaps = trip(spark, d, "schedule_id", "snapshot_ts", "hours_before_departure", "date_of_journey")
+    return rollups.monthly_delta_seat(seat(spark, d), snaps)
 
 
 @query("total_seat_prices")
 def _(spark, d):
-    return rollups.total_seat_prices(seat(spark, d), trip(spark, d))
+    snaps = trip(spark, d, "schedule_id", "snapshot_ts", "hours_before_departure")
+    return rollups.total_seat_prices(seat(spark, d), snaps)
 
 
 @query("seat_totals")
@@ -301,7 +306,8 @@ def _(spark, d):
 
 @query("price_sum_by_hour")
 def _(spark, d):
-    return trends.price_sum_by_hour(seat(spark, d), trip(spark, d), SEAT_TIES)
+    snaps = trip(spark, d, "schedule_id", "seat_type", "snapshot_ts", "hours_before_departure")
+    return trends.price_sum_by_hour(seat(spark, d), snaps, SEAT_TIES)
 
 
 @query("occupancy_trend")
@@ -341,7 +347,8 @@ def _(spark, d):
 
 @query("matching_times_all_others")
 def _(spark, d):
-    return compare.matching_times(trip(spark, d), 2, same_seat_type=True)
+    snaps = trip(spark, d, "operator_id", "date_of_journey", "departure_time", "seat_type")
+    return compare.matching_times(snaps, 2, same_seat_type=True)
 
 
 @query("operator_match_counts")
@@ -361,12 +368,14 @@ def _(spark, d):
 
 @query("operator_compare_seat")
 def _(spark, d):
-    return compare.seat_offers(seat(spark, d), trip(spark, d), 0, 1)
+    snaps = trip(spark, d, "operator_id", "date_of_journey", "departure_time", "schedule_id")
+    return compare.seat_offers(seat(spark, d), snaps, 0, 1)
 
 
 @query("operator_compare_seat_one")
 def _(spark, d):
-    return compare.seat_offers(seat(spark, d), trip(spark, d), 0, 1, one_row_ties=SEAT_TIES)
+    snaps = trip(spark, d, "operator_id", "date_of_journey", "departure_time", "schedule_id")
+    return compare.seat_offers(seat(spark, d), snaps, 0, 1, one_row_ties=SEAT_TIES)
 
 
 @query("operator_compare_stats")
@@ -376,7 +385,8 @@ def _(spark, d):
 
 @query("operator_compare_seat_stats")
 def _(spark, d):
-    return compare.compare_stats(compare.seat_offers(seat(spark, d), trip(spark, d), 0))
+    snaps = trip(spark, d, "operator_id", "date_of_journey", "departure_time", "schedule_id")
+    return compare.compare_stats(compare.seat_offers(seat(spark, d), snaps, 0))
 
 
 # --- distinct values, dimensions, scalars ----------------------------------------------
@@ -384,32 +394,32 @@ def _(spark, d):
 
 @query("distinct_schedules")
 def _(spark, d):
-    return choices.distinct_values(trip(spark, d), "schedule_id")
+    return choices.distinct_values(trip(spark, d, "schedule_id"), "schedule_id")
 
 
 @query("distinct_operators")
 def _(spark, d):
-    return choices.distinct_values(trip(spark, d), "operator_id")
+    return choices.distinct_values(trip(spark, d, "operator_id"), "operator_id")
 
 
 @query("distinct_seat_types")
 def _(spark, d):
-    return choices.distinct_values(trip(spark, d), "seat_type")
+    return choices.distinct_values(trip(spark, d, "seat_type"), "seat_type")
 
 
 @query("journey_dates_distinct")
 def _(spark, d):
-    return choices.distinct_values(trip(spark, d), "date_of_journey")
+    return choices.distinct_values(trip(spark, d, "date_of_journey"), "date_of_journey")
 
 
 @query("schedule_dim")
 def _(spark, d):
-    return choices.schedule_dimension(trip(spark, d))
+    return choices.schedule_dimension(trip(spark, d, "schedule_id", "operator_id", "departure_time"))
 
 
 @query("schedule_operators")
 def _(spark, d):
-    return choices.schedule_operators(trip(spark, d))
+    return choices.schedule_operators(trip(spark, d, "schedule_id", "operator_id"))
 
 
 @query("seat_types_per_schedule")
@@ -429,7 +439,8 @@ def _(spark, d):
 
 @query("schedules_by_date")
 def _(spark, d):
-    return choices.distinct_values(trip(spark, d), "date_of_journey", "schedule_id")
+    snaps = trip(spark, d, "date_of_journey", "schedule_id")
+    return choices.distinct_values(snaps, "date_of_journey", "schedule_id")
 
 
 @query("schedule_choices")
@@ -454,15 +465,15 @@ def _(spark, d):
 
 @query("other_operators")
 def _(spark, d):
-    return filters.other_operators(trip(spark, d), 1)
+    return filters.other_operators(trip(spark, d, "operator_id"), 1)
 
 
 @query("operator_names")
 def _(spark, d):
     suppliers = table(spark, d, "supplier").filter("s_acctbal > 0")
-    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("operator_id"))
-    named = choices.with_name(lines, suppliers, "operator_id", "s_suppkey", "s_name", "operator_name")
-    return named.groupBy("operator_id", "operator_name").agg(F.count(F.lit(1)).alias("n"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("operator_id"))
+    counts = lines.agg(F.count(F.lit(1)).alias("n"))
+    return choices.with_name(counts, suppliers, "operator_id", "s_suppkey", "s_name", "operator_name")
 
 
 @query("operator_names_fixed")
@@ -614,7 +625,8 @@ def _(spark, d):
 
 @query("month_zero_hour_fallback")
 def _(spark, d):
-    return quality.month_hour_fallback(trip(spark, d))
+    snaps = trip(spark, d, "schedule_id", "snapshot_ts", "hours_before_departure")
+    return quality.month_hour_fallback(snaps)
 
 
 @query("sample_rows")
