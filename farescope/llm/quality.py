@@ -32,10 +32,10 @@ ACCURACY = 2000
 # Measure: narrowest half-width of its fence. Rates that are zero nearly everywhere
 # have no quartile range of their own.
 MEASURES = {
-    "word_length": 1.0,
-    "symbol_rate": 0.05,
-    "line_repeat_rate": 0.1,
-    "word_repeat_rate": 0.05,
+    "word_length": 3.0,
+    "symbol_rate": 0.1,
+    "line_repeat_rate": 0.4,
+    "word_repeat_rate": 0.2,
 }
 
 

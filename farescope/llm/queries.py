@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farescope.llm import line_dedup, mixing, packing, quality, secret_ledger, topk
+from farescope.llm import line_dedup, mixing, packing, quality, secret_ledger, topk, toxicity
 from farescope.llm.common import read_table
 
 
@@ -13,6 +13,12 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op2_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model)
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_ledger.find_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -60,6 +66,7 @@ def op10_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_lexicon_toxicity": op2_lexicon_toxicity,
     "op4_secret_ledger": op4_secret_ledger,
     "op5_pareto_mix": op5_pareto_mix,
     "op6_bin_slack_packing": op6_bin_slack_packing,
@@ -67,3 +74,5 @@ QUERIES = {
     "op9_adaptive_quality": op9_adaptive_quality,
     "op10_histogram_topk": op10_histogram_topk,
 }
+
+ORACLE_SQL: dict[str, str] = {}
