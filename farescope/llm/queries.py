@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farescope.llm import line_dedup, mixing, packing, quality, secret_ledger, topk, toxicity
+from farescope.llm import language, line_dedup, mixing, packing, quality, secret_ledger, topk, toxicity
 from farescope.llm.common import read_table
 
 
@@ -56,6 +56,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "n_lines", "n_dropped", sha256(F.col("text")).alias("kept_sha256"))
 
 
+def op8_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
 def op9_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op5_pareto_mix": op5_pareto_mix,
     "op6_bin_slack_packing": op6_bin_slack_packing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_word_backoff_language": op8_word_backoff_language,
     "op9_adaptive_quality": op9_adaptive_quality,
     "op10_histogram_topk": op10_histogram_topk,
 }
