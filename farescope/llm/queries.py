@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farescope.llm import language, line_dedup, mixing, packing, quality, secret_ledger, topk, toxicity
+from farescope.llm import language, line_dedup, mixing, ngram_join, packing, quality, secret_ledger, topk, toxicity
 from farescope.llm.common import read_table
 
 
@@ -19,6 +19,10 @@ def op2_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model)
 
 
+def op3_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(read_table(spark, sf_dir, "documents"))
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_ledger.find_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ def op10_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_lexicon_toxicity": op2_lexicon_toxicity,
+    "op3_signature_tree_join": op3_signature_tree_join,
     "op4_secret_ledger": op4_secret_ledger,
     "op5_pareto_mix": op5_pareto_mix,
     "op6_bin_slack_packing": op6_bin_slack_packing,
