@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farescope.llm import language, line_dedup, mixing, ngram_join, packing, quality, secret_ledger, topk, toxicity
+from farescope.llm import language, line_dedup, mixing, ngram_join, packing, quality, secret_ledger, suffix_dedup, topk, toxicity
 from farescope.llm.common import read_table
 
 
@@ -13,6 +13,19 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(
+            "spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"]
+        ).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, read_table(spark, sf_dir, "labels"))
@@ -75,6 +88,7 @@ def op10_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_lexicon_toxicity": op2_lexicon_toxicity,
     "op3_signature_tree_join": op3_signature_tree_join,
     "op4_secret_ledger": op4_secret_ledger,
