@@ -94,23 +94,22 @@ def kept(place: Column, keep: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
-    """Every row of ``docs`` with its lines kept (``text``), n_lines and n_dropped."""
-    bitmaps = keep_bitmaps(docs, doc_id=doc_id, text=text, **limits).select(
-        F.col("doc").alias("b_doc"), F.col("row").alias("b_row"), F.col("keep").alias("b_keep")
+    """Every row of ``docs`` with its lines kept (``text``), n_lines and n_dropped.
+
+    Columns of those two names that ``docs`` brings give way.
+    """
+    bitmaps = keep_bitmaps(docs, doc_id=doc_id, text=text, **limits)
+    own = F.col("own")
+    left = F.filter("lines", lambda line, i: kept(i, F.col("keep")))
+    out = (
+        docs.select(F.struct("*").alias("own"))
+        .join(bitmaps, (own[doc_id] == F.col("doc")) & (F.xxhash64(own[text]) == F.col("row")), "left")
+        .withColumn("lines", lines_of(own[text]))
+        .withColumn("left", F.when(F.col("keep").isNull(), F.col("lines")).otherwise(left))
     )
-    lines = F.split(F.col("b_text"), "\n")
-    left = F.filter("b_lines", lambda line, i: kept(i, F.col("b_keep")))
-    return (
-        docs.join(
-            bitmaps,
-            (F.col(doc_id) == F.col("b_doc")) & (F.xxhash64(F.col(text)) == F.col("b_row")),
-            "left",
-        )
-        .withColumn("b_text", F.coalesce(F.col(text), F.lit("")))
-        .withColumn("b_lines", lines)
-        .withColumn("b_left", F.when(F.col("b_keep").isNull(), F.col("b_lines")).otherwise(left))
-        .withColumn("n_lines", F.size("b_lines").cast("long"))
-        .withColumn("n_dropped", (F.size("b_lines") - F.size("b_left")).cast("long"))
-        .withColumn(text, F.array_join("b_left", "\n"))
-        .drop("b_doc", "b_row", "b_keep", "b_text", "b_lines", "b_left")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(
+        *[F.array_join("left", "\n").alias(c) if c == text else own[c].alias(c) for c in columns],
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size("left")).cast("long").alias("n_dropped"),
     )

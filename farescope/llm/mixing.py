@@ -169,26 +169,29 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         .withColumn("m_number", F.row_number().over(alike.orderBy("m_taken")))
         .where("m_taken > 0")
     )
-    columns = [F.col(c) for c in docs.columns]
-    numbered = docs.withColumn("d_words", word_count(F.col("text"))).withColumn(
-        "d_number",
-        F.row_number().over(Window.partitionBy("doc_id", "source", "d_words").orderBy("text")),
+    own = F.col("own")
+    numbered = docs.select(F.struct("*").alias("own")).withColumn("words", word_count(own["text"]))
+    numbered = numbered.withColumn(
+        "number",
+        F.row_number().over(
+            Window.partitionBy(own["doc_id"], own["source"], "words").orderBy(own["text"])
+        ),
     )
     part = F.transform(
         F.sequence(F.lit(1), F.ceil(F.col("m_taken") / F.col("m_size")).cast("int")),
         lambda k: F.least(F.col("m_size"), F.col("m_taken") - (k - 1) * F.col("m_size")),
     )
-    cut = F.array_join(F.slice(words(F.col("text")), 1, F.col("m_part").cast("int")), " ")
+    cut = F.array_join(F.slice(words(own["text"]), 1, F.col("part").cast("int")), " ")
+    text = F.when(F.col("part") == F.col("m_size"), own["text"]).otherwise(cut)
+    changed = {"text": text, "n_chars": F.length(text).cast("long")}
     return (
         numbered.join(
             taken,
-            F.col("doc_id").eqNullSafe(F.col("m_id"))
-            & F.col("source").eqNullSafe(F.col("m_source"))
-            & (F.col("d_words") == F.col("m_size"))
-            & (F.col("d_number") == F.col("m_number")),
+            own["doc_id"].eqNullSafe(F.col("m_id"))
+            & own["source"].eqNullSafe(F.col("m_source"))
+            & (F.col("words") == F.col("m_size"))
+            & (F.col("number") == F.col("m_number")),
         )
-        .withColumn("m_part", F.explode(part))
-        .withColumn("text", F.when(F.col("m_part") == F.col("m_size"), F.col("text")).otherwise(cut))
-        .withColumn("n_chars", F.length("text").cast("long"))
-        .select(*columns)
+        .withColumn("part", F.explode(part))
+        .select(*[changed.get(c, own[c]).alias(c) for c in docs.columns])
     )

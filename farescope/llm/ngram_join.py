@@ -326,6 +326,11 @@ def _round(shared, wanted, comps, sources, depth, words, percent) -> DataFrame:
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest; NULL ids stay."""
-    found = link_components(docs, doc_id=doc_id, text=text).select(F.col("doc_id").alias("c_id"), "component_id")
-    later = found.where(F.col("c_id") != F.col("component_id")).select("c_id").distinct()
-    return docs.join(later, F.col(doc_id) == F.col("c_id"), "left_anti")
+    found = link_components(docs, doc_id=doc_id, text=text)
+    later = found.where("doc_id <> component_id").select(F.col("doc_id").alias("later")).distinct()
+    own = F.col("own")
+    return (
+        docs.select(F.struct("*").alias("own"))
+        .join(later, own[doc_id] == F.col("later"), "left_anti")
+        .select(*[own[c].alias(c) for c in docs.columns])
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from farescope.llm import language, line_dedup, mixing, ngram_join, packing, quality, secret_ledger, suffix_dedup, topk, toxicity
 from farescope.llm.common import read_table
+from farescope.llm.oracles import ORACLE_SQL  # noqa: F401  (registered beside QUERIES)
 
 
 def sha256(text: Column) -> Column:
@@ -99,5 +100,3 @@ QUERIES = {
     "op9_adaptive_quality": op9_adaptive_quality,
     "op10_histogram_topk": op10_histogram_topk,
 }
-
-ORACLE_SQL: dict[str, str] = {}

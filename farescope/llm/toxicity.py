@@ -190,8 +190,11 @@ def is_quoted(words: list[str], i: int) -> bool:
 
 
 def units(text: str) -> set[str]:
-    """What may become a lexicon entry: words, and word beginnings marked by a hyphen."""
-    words = {w.strip(EDGES) for w in forms(text)}
+    """What may become a lexicon entry: words outside quotations, and word beginnings marked by a hyphen."""
+    words = forms(text)
+    if any(q in text for q in QUOTES):
+        words = [w for i, w in enumerate(words) if not is_quoted(words, i)]
+    words = {w.strip(EDGES) for w in words}
     out = {w for w in words if 3 <= len(w) <= 30}
     for n in STEMS:
         out |= {w[:n] + "-" for w in words if len(w) > n}
