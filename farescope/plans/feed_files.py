@@ -1,6 +1,7 @@
 """The ``snap`` view written out as snapshot CSV files, for the ingest queries.
 
-Each half-day is one snapshot. Morning and afternoon files have different
+Every row is written; each half-day is one snapshot, so rows of one key can meet
+in it, and insert-or-ignore chooses. Morning and afternoon files have different
 headers: other column order, other case, blanks around names, an extra column.
 Every row is written twice, so that the loads have duplicates to ignore.
 """
@@ -10,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farescope.operators.latest import latest_one
 from farescope.plans.proxies import snap
 from farescope.plans.session import working_folder
 from farescope.schemas import SEAT_PRICES_WITH_DT
@@ -29,11 +29,7 @@ def write_feed(spark: SparkSession, sf_dir: str) -> str:
     """Write the files and return their folder."""
     folder = working_folder(spark, "feed")
     half = F.when(F.hour("snapshot_ts") < 12, "00-00").otherwise("12-00")
-    rows = latest_one(
-        snap(spark, sf_dir).withColumn("half", half),
-        ["date_of_journey", "schedule_id", "seat_type", "half"],
-        ties=("actual_fare", "price", "expected_occupancy"),
-    )
+    rows = snap(spark, sf_dir).withColumn("half", half)
     file = F.concat(F.lit(f"{FEED.name}_"), F.col("date_of_journey").cast("string"), F.lit("_"), "half", F.lit(".csv"))
     rows = rows.withColumn("file", file).hint("rebalance", "file")
     rows = rows.unionAll(rows)

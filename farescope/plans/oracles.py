@@ -71,9 +71,12 @@ SELECT CAST(expected_occupancy AS DOUBLE) AS expected_occupancy,
   date_trunc('day', snapshot_ts)
     + CASE WHEN hour(snapshot_ts) < 12 THEN INTERVAL 0 HOUR ELSE INTERVAL 12 HOUR END AS snapshot_ts,
   date_of_journey - CAST(dayofweek(date_of_journey) AS INTEGER) AS week_start
-FROM snap QUALIFY row_number() OVER (PARTITION BY date_of_journey, schedule_id, seat_type,
-  hour(snap.snapshot_ts) < 12 ORDER BY snap.snapshot_ts DESC, actual_fare, price NULLS LAST,
-  expected_occupancy) = 1""",
+FROM snap""",
+    "feed_table": """
+SELECT * FROM feed QUALIFY row_number() OVER (PARTITION BY date_of_journey, schedule_id, seat_type, snapshot_ts
+  ORDER BY expected_occupancy NULLS LAST, actual_occupancy NULLS LAST, demand_index NULLS LAST,
+    operator_id NULLS LAST, hours_before_departure NULLS LAST, price NULLS LAST, actual_fare NULLS LAST,
+    departure_time NULLS LAST) = 1""",
 }
 
 _SNAP_COLS = """schedule_id, seat_type, operator_id, snapshot_ts, date_of_journey, departure_time,
@@ -604,7 +607,7 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
         "",
         "",
         """SELECT l_suppkey AS operator_id, coalesce(s_name, 'Other') AS operator_name, count(*) AS n
-          FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON l_suppkey = s_suppkey
+          FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey
           GROUP BY 1, 2""",
     ),
     "operator_names_fixed": (
@@ -764,7 +767,7 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
           coach_layout_id, operator_reservation_id, seat.sales_count LIMIT 5""",
     ),
     "csv_ingest_typed": ("snap feed", "", "SELECT * FROM feed UNION ALL SELECT * FROM feed"),
-    "insert_ignore": ("snap feed", "", "SELECT * FROM feed"),
+    "insert_ignore": ("snap feed feed_table", "", "SELECT * FROM feed_table"),
     "append_frame": (
         "snap",
         "",
@@ -772,9 +775,9 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
           CAST(actual_fare AS DOUBLE) AS actual_fare, CAST(NULL AS DOUBLE) AS price, snapshot_ts,
           date_of_journey - CAST(dayofweek(date_of_journey) AS INTEGER) AS week_start FROM snap""",
     ),
-    "load_folder_twice": ("snap feed", "", "SELECT * FROM feed"),
+    "load_folder_twice": ("snap feed feed_table", "", "SELECT * FROM feed_table"),
     "partition_report": (
-        "snap feed", "", "SELECT week_start, count(*) AS row_count FROM feed GROUP BY 1",
+        "snap feed feed_table", "", "SELECT week_start, count(*) AS row_count FROM feed_table GROUP BY 1",
     ),
     "json_export": (
         "snap",
@@ -782,12 +785,17 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
         """SELECT schedule_id, seat_type, date_trunc('millisecond', snapshot_ts) AS snapshot_ts,
           CAST(actual_fare AS DOUBLE) AS actual_fare, CAST(price AS DOUBLE) AS price FROM snap""",
     ),
-    "stream_pickup": ("snap feed", "", "SELECT * FROM feed"),
-    "stream_dedupe": ("snap feed", "", "SELECT * FROM feed"),
+    "stream_pickup": ("snap feed feed_table", "", "SELECT * FROM feed_table"),
+    "stream_dedupe": ("snap feed feed_table", "", "SELECT * FROM feed_table"),
+    "rejected_files": (
+        "snap",
+        "",
+        "SELECT DISTINCT 'seat_prices_with_dt' AS feed, date_of_journey AS day, 'no header' AS reason FROM snap",
+    ),
     "stream_latest_table": (
-        "snap feed",
+        "snap feed feed_table",
         "",
-        """SELECT * FROM feed f WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM feed g
+        """SELECT * FROM feed_table f WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM feed_table g
           WHERE g.date_of_journey = f.date_of_journey AND g.schedule_id = f.schedule_id
           AND g.seat_type = f.seat_type)""",
     ),

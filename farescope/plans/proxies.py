@@ -34,9 +34,7 @@ SCHEMAS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = tune(spark).read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-    size_shuffles(df)
-    return df
+    return tune(spark).read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _slot(number: Column) -> Column:
@@ -49,9 +47,10 @@ def _k() -> Column:
 
 def snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
+    events = table(spark, sf_dir, "events")
+    size_shuffles(events)
     return (
-        table(spark, sf_dir, "events")
-        .withColumn("k", _k())
+        events.withColumn("k", _k())
         .select(
             F.col("user_id").alias("schedule_id"),
             F.col("event_type").alias("seat_type"),
@@ -96,10 +95,9 @@ def raw_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    return table(spark, sf_dir, "lineitem").join(
-        orders, F.col("l_orderkey") == F.col("o_orderkey")
-    )
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    size_shuffles(orders, lines)
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def seat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +139,9 @@ def trip(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """
     columns = columns or tuple(TRIP_COLUMNS)
     needed = sorted({c for c in map(TRIP_COLUMNS.get, columns) if c})
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *needed).distinct()
-    orders = table(spark, sf_dir, "orders")
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    size_shuffles(lines, orders)
+    lines = lines.select("l_orderkey", *needed).distinct()
     made = {
         "schedule_id": F.col("l_orderkey"),
         "seat_type": F.col("l_returnflag"),

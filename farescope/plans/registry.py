@@ -470,7 +470,7 @@ def _(spark, d):
 
 @query("operator_names")
 def _(spark, d):
-    suppliers = table(spark, d, "supplier").filter("s_acctbal > 0")
+    suppliers = table(spark, d, "supplier")
     lines = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("operator_id"))
     counts = lines.agg(F.count(F.lit(1)).alias("n"))
     return choices.with_name(counts, suppliers, "operator_id", "s_suppkey", "s_name", "operator_name")
@@ -703,17 +703,23 @@ def _(spark, d):
     return store.read_table(spark, base, FEED)
 
 
+@query("rejected_files")
+def _(spark, d):
+    # One file per journey date, without a header line; none of them is loaded.
+    folder, base = working_folder(spark, "headless"), working_folder(spark, "store")
+    rows = snap(spark, d).select("schedule_id", "seat_type", "price", F.col("date_of_journey").alias("day"))
+    rows.hint("rebalance", "day").write.partitionBy("day").csv(folder)
+    for _ in range(2):
+        store.load_folder(spark, folder, base, FEED)
+    day = F.regexp_extract("path", "day=([0-9-]+)", 1).cast("date").alias("day")
+    return store.rejected_files(spark, base).select("feed", day, "reason").distinct()
+
+
 @query("stream_dedupe")
 def _(spark, d):
-    rows, out = stream_rows(spark, d, copies=2), working_folder(spark, "deduped")
-    (
-        pickup.dedupe_within(rows, FEED, "60 days")
-        .writeStream.option("checkpointLocation", f"{out}/_checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{out}/rows")
-        .awaitTermination()
-    )
-    return spark.read.schema(FEED.silver_schema).parquet(f"{out}/rows")
+    rows, base = stream_rows(spark, d, copies=2), working_folder(spark, "deduped")
+    pickup.start_dedupe(rows, FEED, base, f"{base}/_checkpoint").awaitTermination()
+    return store.read_table(spark, base, FEED)
 
 
 @query("stream_latest_table")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,7 +17,8 @@ SETTINGS = {
 }
 
 BYTES_PER_SHUFFLE_PARTITION = 64 << 20
-MAX_SHUFFLE_PARTITIONS = 100_000
+INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+DEFAULT = "farescope.shuffle.default"
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -28,18 +30,24 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def size_shuffles(*tables: DataFrame) -> None:
-    """Start shuffles with enough partitions for the input; AQE merges the small ones.
+    """Start shuffles with enough partitions for these scans; AQE merges the small ones.
 
-    The input size comes from the scans' file sizes, without running a job. The
-    number only ever grows.
+    The number follows the scans' splits, without running a job: up for large tables, and
+    back down to the session's own value for small ones.
     """
     spark = tables[0].sparkSession
-    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    now = int(spark.conf.get(key, None) or spark.conf.get("spark.sql.shuffle.partitions"))
-    size = sum(int(t._jdf.queryExecution().analyzed().stats().sizeInBytes()) for t in tables)
-    wanted = min(size // BYTES_PER_SHUFFLE_PARTITION + 1, MAX_SHUFFLE_PARTITIONS)
-    if wanted > now:
-        spark.conf.set(key, str(wanted))
+    if spark.conf.get(DEFAULT, None) is None:
+        own = spark.conf.get(INITIAL, None) or spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set(DEFAULT, own)
+    splits = sum(t.rdd.getNumPartitions() for t in tables)
+    size = splits * _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    spark.conf.set(INITIAL, str(max(int(spark.conf.get(DEFAULT)), size // BYTES_PER_SHUFFLE_PARTITION)))
+
+
+def _bytes(text: str) -> int:
+    """A size setting such as 134217728b or 128MB in bytes."""
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", text.strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit[:1]]
 
 
 def working_folder(spark: SparkSession, purpose: str) -> str:

@@ -1,23 +1,23 @@
 """Snapshot CSV files to typed rows.
 
-Columns are matched by name per file. Spark's CSV reader matches by position
-once a schema is given, so files are read together only when their header
-lines agree: one scan per distinct header, then a union by name.
+Raw files are read once, as lines, and land in the shared folder. From there lines
+become CSV records, a quoted line break included. Columns are matched by name per
+file: records are parsed by the header of their file, one pass per distinct header,
+then a union by name. A file without a header is reported, never taken as loaded.
 """
 
 from __future__ import annotations
 
 import csv
-from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from functools import reduce
-from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from farescope.functions import scalars as S
+from farescope.plans.session import working_folder
 from farescope.schemas import Feed
 
 # Texts a data-frame CSV reader takes as missing.
@@ -27,10 +27,13 @@ MISSING_TEXT = (
 )
 
 # A quote inside a quoted value is doubled.
-CSV = {"header": "true", "escape": '"'}
+CSV = {"escape": '"'}
 LISTING = {"recursiveFileLookup": "true", "pathGlobFilter": "*.csv"}
 
 
+LINE = ("value", "_metadata.file_path", "_metadata.file_block_start")
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """Paths of all CSV files under ``folder``; the contents are not read."""
     return spark.read.format("binaryFile").options(**LISTING).load(folder).select("path")
@@ -42,60 +45,93 @@ def is_header(line: Column, feed: Feed) -> Column:
     return F.lower(line).rlike(rf'(^|,)[\s"\x{{FEFF}}]*({names})[\s"]*(,|$)')
 
 
-def header_lines(lines: DataFrame, feed: Feed) -> DataFrame:
-    """Header candidates: lines from the first block of each file that name a column.
+def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    return spark.read.text(list(paths)).select(*LINE)
 
-    ``lines`` has value, file_path and file_block_start (batch or stream).
-    """
-    first_block = F.col("file_block_start") == 0
-    return lines.filter(first_block & is_header(F.col("value"), feed)).select("file_path", "value")
 
+def land(lines: DataFrame) -> DataFrame:
+    """Lines of raw files, written to the shared folder and read back: the files themselves are read once."""
+    path = working_folder(lines.sparkSession, "lines")
+    kept = lines.withColumn("line_id", F.monotonically_increasing_id())
+    kept.write.parquet(path)
+    return lines.sparkSession.read.schema(kept.schema).parquet(path)
 
-def header_groups(headers: DataFrame) -> dict[str, list[str]]:
-    """Files by header line. Only file names and headers reach the driver, never rows."""
-    numbered = headers.withColumn("line_id", F.monotonically_increasing_id())
-    first = numbered.groupBy("file_path").agg(F.min_by("value", "line_id").alias("header"))
-    groups = defaultdict(list)
-    for row in first.collect():
-        groups[row.header].append(unquote(row.file_path))
-    return {h: sorted(p) for h, p in sorted(groups.items())}
 
+def records(lines: DataFrame) -> DataFrame:
+    """file_path, record, value: lines joined while a quoted value is open.
 
-def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    return spark.read.text(list(paths)).select(
-        "value", "_metadata.file_path", "_metadata.file_block_start"
+    Quotes are counted from a file's start. In a file whose quotes do not pair up they are
+    plain characters, and every line is a record.
+    """
+    file = Window.partitionBy("file_path")
+    inside = file.orderBy("file_block_start", "line_id")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    numbered = (
+        lines.withColumn("quotes", quotes)
+        .withColumn("paired", F.sum("quotes").over(file) % 2 == 0)
+        .withColumn("open", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1)
+        .withColumn("begins", (~F.col("paired") | ~F.col("open")).cast("int"))
+        .withColumn("record", F.sum("begins").over(inside))
+    )
+    whole = F.array_sort(F.collect_list(F.struct("file_block_start", "line_id", "value")))
+    return numbered.groupBy("file_path", "record").agg(
+        F.array_join(F.transform(whole, lambda x: x["value"]), "\n").alias("value")
     )
 
 
-def _read_group(spark: SparkSession, feed: Feed, header: str, paths: Sequence[str]) -> DataFrame:
-    names = [c.strip().lower() for c in next(csv.reader([header.lstrip("﻿")]))]
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    rows = spark.read.schema(schema).options(**CSV).csv(list(paths))
+def headers(rows: DataFrame, feed: Feed) -> DataFrame:
+    """file_path, header, header_record: the first record of each file that names a column of the feed."""
+    named = rows.filter(is_header(F.col("value"), feed))
+    return named.groupBy("file_path").agg(
+        F.min_by("value", "record").alias("header"), F.min("record").alias("header_record")
+    )
+
+
+def _parsed(rows: DataFrame, feed: Feed, header: str) -> DataFrame:
+    names = [c.strip().lower() for c in next(csv.reader([header.lstrip("\ufeff")]))]
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
 
     def cell(name: str) -> Column:
         if name not in names:
             return F.lit(None).cast("string").alias(name)
-        value = F.col(f"c{names.index(name)}")
+        value = F.col("cells")[f"c{names.index(name)}"]
         return F.when(~value.isin(*MISSING_TEXT), value).alias(name)
 
-    source = F.col("_metadata.file_path").alias("source_file")
-    return rows.select(*[cell(c) for c in feed.columns], source)
+    return (
+        rows.filter(F.col("header") == header)
+        .withColumn("cells", F.from_csv("value", schema, CSV))
+        .select(*[cell(c) for c in feed.columns], F.col("file_path").alias("source_file"))
+    )
+
 
+def parse_lines(lines: DataFrame, feed: Feed) -> tuple[DataFrame, DataFrame]:
+    """(rows of text columns, file_path of the files with a header) of landed lines.
 
-def read_groups(spark: SparkSession, feed: Feed, groups: dict[str, list[str]]) -> DataFrame:
-    """All files as one frame of text columns; expected columns a file lacks are NULL."""
-    parts = [_read_group(spark, feed, h, p) for h, p in groups.items()]
-    if not parts:
-        return spark.createDataFrame([], feed.raw_schema)
-    return reduce(DataFrame.unionByName, parts)
+    Expected columns a file lacks are NULL. Only the distinct header lines reach the driver.
+    """
+    spark = lines.sparkSession
+    whole = records(lines)
+    found = headers(whole, feed)
+    rows = whole.join(found, "file_path").filter(
+        (F.col("record") > F.col("header_record")) & (F.trim("value") != "")
+    )
+    distinct = sorted(r.header for r in found.select("header").distinct().collect())
+    parts = [_parsed(rows, feed, h) for h in distinct]
+    empty = spark.createDataFrame([], feed.raw_schema)
+    return (reduce(DataFrame.unionByName, parts) if parts else empty), found.select("file_path")
 
 
 def read_feed(spark: SparkSession, feed: Feed, paths: Iterable[str]) -> DataFrame:
     paths = list(paths)
     if not paths:
         return spark.createDataFrame([], feed.raw_schema)
-    headers = header_lines(read_lines(spark, paths), feed)
-    return read_groups(spark, feed, header_groups(headers))
+    return parse_lines(land(read_lines(spark, paths)), feed)[0]
+
+
+def plain_path(file_path: Column) -> Column:
+    """The path of a file as a listing names it."""
+    return F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
 
 
 def typed(raw: DataFrame, feed: Feed) -> DataFrame:

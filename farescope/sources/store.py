@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from farescope.functions import scalars as S
 from farescope.operators.filters import in_date_range
 from farescope.operators.latest import first_per_key
+from farescope.plans.session import size_shuffles, tune
 from farescope.schemas import FEEDS, Feed
-from farescope.sources.feeds import list_files, read_feed, typed
+from farescope.sources.feeds import land, list_files, parse_lines, plain_path, read_lines, typed
 
-MAX_LISTED_WEEKS = 520
 LEDGER_SCHEMA = "feed string, path string"
+REJECTED_SCHEMA = "feed string, path string, reason string"
 
 
 def table_path(base: str, feed: Feed) -> str:
@@ -28,6 +29,10 @@ def ledger_path(base: str) -> str:
     return f"{base.rstrip('/')}/_ledger"
 
 
+def rejected_path(base: str) -> str:
+    return f"{base.rstrip('/')}/_rejected_files"
+
+
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
@@ -38,7 +43,9 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def read_table(spark: SparkSession, base: str, feed: Feed) -> DataFrame:
-    return read_or_empty(spark, table_path(base, feed), feed.silver_schema)
+    rows = read_or_empty(tune(spark), table_path(base, feed), feed.silver_schema)
+    size_shuffles(rows)
+    return rows
 
 
 def common_columns(df: DataFrame, target: Sequence[str]) -> DataFrame:
@@ -87,18 +94,11 @@ def append(df: DataFrame, base: str, feed: Feed) -> None:
 
 
 def only_weeks_of(target: DataFrame, new: DataFrame) -> DataFrame:
-    """``target`` limited to partitions that ``new`` touches.
-
-    The weeks are read as at most ``MAX_LISTED_WEEKS`` values; beyond that
-    their range is used, which keeps more partitions but loses none.
-    """
-    weeks = [
-        r[0] for r in new.select("week_start").distinct().limit(MAX_LISTED_WEEKS + 1).collect()
-    ]
-    if len(weeks) <= MAX_LISTED_WEEKS:
-        return target.filter(F.col("week_start").isin(weeks) if weeks else F.lit(False))
-    lo, hi = new.agg(F.min("week_start"), F.max("week_start")).first()
-    return target.filter(F.col("week_start").between(lo, hi))
+    """``target`` limited to the partitions between the first and last week of ``new``."""
+    first, last = new.agg(F.min("week_start"), F.max("week_start")).first()
+    if first is None:
+        return target.filter(F.lit(False))
+    return target.filter(F.col("week_start").between(first, last))
 
 
 def new_rows(new: DataFrame, target: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -141,6 +141,24 @@ def new_files(spark: SparkSession, folder: str, base: str, feed: Feed) -> DataFr
     return found.join(done, ["feed", "path"], "left_anti").select("feed", "path")
 
 
+def rejected_files(spark: SparkSession, base: str) -> DataFrame:
+    """Files that were read and not loaded, with the reason; each run looks at them again."""
+    return read_or_empty(spark, rejected_path(base), REJECTED_SCHEMA).distinct()
+
+
+def load_lines(lines: DataFrame, paths: DataFrame, base: str, feed: Feed) -> int:
+    """Insert the rows of landed lines, then note each of ``paths`` (path) as loaded or rejected."""
+    raw, with_header = parse_lines(lines, feed)
+    total = insert_ignore(typed(raw, feed), base, feed)
+    named = with_header.select(plain_path(F.col("file_path")).alias("path")).distinct()
+    files = paths.select(F.lit(feed.name).alias("feed"), "path").distinct()
+    done = files.join(named, "path", "left_semi").select("feed", "path")
+    done.coalesce(1).write.mode("append").parquet(ledger_path(base))
+    bad = files.join(named, "path", "left_anti").select("feed", "path", F.lit("no header").alias("reason"))
+    bad.coalesce(1).write.mode("append").parquet(rejected_path(base))
+    return total
+
+
 def load_folder(
     spark: SparkSession, folder: str, base: str, feed: Feed, files_per_round: int = 10_000
 ) -> int:
@@ -149,13 +167,13 @@ def load_folder(
     The folder is listed once; the driver holds one round's file names at a time.
     The ledger is written after the rows. A failure in between makes the next
     run read those files again, and insert-or-ignore then adds nothing twice.
+    A file without a header goes to the table of rejected files.
     """
     total = 0
     todo = (r.path for r in new_files(spark, folder, base, feed).orderBy("path").toLocalIterator())
     while paths := list(islice(todo, files_per_round)):
-        total += insert_ignore(typed(read_feed(spark, feed, paths), feed), base, feed)
-        done = spark.createDataFrame([(feed.name, p) for p in paths], LEDGER_SCHEMA)
-        done.coalesce(1).write.mode("append").parquet(ledger_path(base))
+        names = spark.createDataFrame([(p,) for p in paths], "path string")
+        total += load_lines(land(read_lines(spark, paths)), names, base, feed)
     return total
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from farescope.schemas import Feed
-from farescope.sources.feeds import LISTING, header_groups, header_lines, read_groups, typed
-from farescope.sources.store import insert_ignore
+from farescope.sources.feeds import LINE, LISTING, land, plain_path
+from farescope.sources.store import insert_ignore, load_lines
 
 
 def start_pickup(
@@ -22,34 +22,41 @@ def start_pickup(
 ) -> StreamingQuery:
     """Load each new file of ``folder`` once into the feed's table.
 
-    The stream carries header lines only, one per new file; each micro-batch
-    then reads those files and inserts or ignores by key. A batch that is
-    repeated after a failure adds nothing, so the table sees every row once.
-    A late file is accepted whenever it appears.
+    Each micro-batch lands the lines of its files, then inserts or ignores their rows
+    by key. A batch that is repeated after a failure adds nothing, so the table sees
+    every row once. A late file is accepted whenever it appears; one without a header
+    is noted among the rejected files.
     """
     lines = (
         spark.readStream.options(**LISTING)
         .option("maxFilesPerTrigger", files_per_batch)
         .text(folder)
-        .select("value", "_metadata.file_path", "_metadata.file_block_start")
+        .select(*LINE)
     )
 
     def load(batch: DataFrame, _: int) -> None:
-        groups = header_groups(batch)
-        if groups:
-            raw = read_groups(batch.sparkSession, feed, groups)
-            insert_ignore(typed(raw, feed), base, feed)
+        landed = land(batch)
+        paths = landed.select(plain_path(F.col("file_path")).alias("path"))
+        load_lines(landed, paths, base, feed)
 
-    writer = (
-        header_lines(lines, feed)
-        .writeStream.foreachBatch(load)
-        .option("checkpointLocation", checkpoint)
-    )
+    writer = lines.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     if continuous:
         return writer.start()
     return writer.trigger(availableNow=True).start()
 
 
+def start_dedupe(
+    stream: DataFrame, feed: Feed, base: str, checkpoint: str, continuous: bool = False
+) -> StreamingQuery:
+    """Keep the first row per key of a stream of silver rows in the feed's table, whatever its age."""
+
+    def load(batch: DataFrame, _: int) -> None:
+        insert_ignore(batch, base, feed)
+
+    writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+    return writer.start() if continuous else writer.trigger(availableNow=True).start()
+
+
 def dedupe_within(stream: DataFrame, feed: Feed, delay: str) -> DataFrame:
     """First row per key, remembering keys for ``delay`` after their stamp.
 

@@ -320,14 +320,13 @@ def test_migrate_takes_a_half_open_window(spark, snaps, tmp_path):
     assert store.migrate(snaps, base, SEAT_PRICES, "2025-08-01", "2025-09-01") == 0
 
 
-def test_many_weeks_fall_back_to_their_range(spark, snaps, monkeypatch, tmp_path):
+def test_weeks_between_the_first_and_last_are_compared(spark, snaps, tmp_path):
     base = str(tmp_path)
     store.insert_ignore(snaps, base, SEAT_PRICES)
     later = snaps.withColumn("week_start", F.date_add("week_start", 7)).withColumn(
         "date_of_journey", F.date_add("date_of_journey", 7)
     )
     both = snaps.unionByName(later)
-    monkeypatch.setattr(store, "MAX_LISTED_WEEKS", 1)
     assert store.insert_ignore(both, base, SEAT_PRICES) == 5
     assert store.insert_ignore(both, base, SEAT_PRICES) == 0
 
@@ -403,3 +402,34 @@ def test_monthly_card_sample(spark):
 def test_feed_keys():
     assert FEEDS["seat_prices"].primary_key == ["date_of_journey", "schedule_id", "seat_type", "snapshot_ts"]
     assert len(FEEDS["seat_prices_with_dt"].columns) == 16
+
+
+def test_quoted_line_breaks_stay_in_their_value(spark, tmp_path):
+    path = tmp_path / "seat_wise_prices_2025-01-01_06-30.csv"
+    path.write_text('schedule_id,seat_type,seat_number\n"S\n1","two\n""lines"",\n",7\nS2,B,8\n')
+    raw = feeds.read_feed(spark, SEAT_WISE_PRICES, [str(path)])
+    got = rows(raw, "schedule_id", "seat_type", "seat_number")
+    assert got == sorted([("S\n1", 'two\n"lines",\n', "7"), ("S2", "B", "8")])
+
+
+def test_unpaired_quotes_are_plain_characters(spark, tmp_path):
+    path = tmp_path / "seat_wise_prices_2025-01-01_06-30.csv"
+    path.write_text('schedule_id,seat_type,seat_number\nS1,5" wide,7\nS2,B,8\n')
+    raw = feeds.read_feed(spark, SEAT_WISE_PRICES, [str(path)])
+    assert rows(raw, "schedule_id", "seat_type", "seat_number") == [("S1", '5" wide', "7"), ("S2", "B", "8")]
+
+
+def test_files_without_a_header_are_rejected(spark, tmp_path):
+    folder, base = tmp_path / "in", str(tmp_path / "store")
+    folder.mkdir()
+    (folder / "seat_wise_prices_2025-01-01_06-30.csv").write_text("1,2,3\n4,5,6\n")
+    (folder / "seat_wise_prices_2025-01-01_07-30.csv").write_text("")  # holds nothing, is not listed
+    (folder / "seat_wise_prices_2025-01-01_08-30.csv").write_text(
+        "schedule_id,seat_number,travel_date\nS1,1,2025-01-02\n"
+    )
+    assert store.load_folder(spark, str(folder), base, SEAT_WISE_PRICES) == 1
+    assert store.load_folder(spark, str(folder), base, SEAT_WISE_PRICES) == 0
+    bad = sorted(r.path[-9:] for r in store.rejected_files(spark, base).collect())
+    assert bad == ["06-30.csv"]
+    done = spark.read.parquet(store.ledger_path(base))
+    assert [r.path[-9:] for r in done.collect()] == ["08-30.csv"]

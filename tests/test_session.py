@@ -19,19 +19,21 @@ def test_tune_keeps_the_callers_values(spark):
 
 
 def test_shuffles_follow_the_input_size(spark, monkeypatch):
-    monkeypatch.setattr(session, "BYTES_PER_SHUFFLE_PARTITION", 1 << 30)
     events = proxies.table(spark, SMALL, "events")
-    assert spark.conf.get(INITIAL, None) is None
+    own = spark.conf.get(INITIAL, None)
     try:
-        monkeypatch.setattr(session, "BYTES_PER_SHUFFLE_PARTITION", 1000)
+        monkeypatch.setattr(session, "BYTES_PER_SHUFFLE_PARTITION", 1 << 20)
         session.size_shuffles(events)
-        grown = int(spark.conf.get(INITIAL))
-        assert grown > 20
-        monkeypatch.setattr(session, "BYTES_PER_SHUFFLE_PARTITION", 10_000)
+        assert int(spark.conf.get(INITIAL)) >= 100
+        monkeypatch.setattr(session, "BYTES_PER_SHUFFLE_PARTITION", 1 << 30)
         session.size_shuffles(events)
-        assert int(spark.conf.get(INITIAL)) == grown
+        assert spark.conf.get(INITIAL) == spark.conf.get(session.DEFAULT)
     finally:
-        spark.conf.unset(INITIAL)
+        spark.conf.set(INITIAL, own) if own else spark.conf.unset(INITIAL)
+
+
+def test_size_settings():
+    assert [session._bytes(x) for x in ("1024", "134217728b", "16m", "128MB", "1g")] == [1024, 1 << 27, 1 << 24, 1 << 27, 1 << 30]
 
 
 def test_working_folders_lie_in_the_shared_folder(spark):

@@ -52,6 +52,14 @@ def test_dedupe_within(spark, tmp_path, snaps):
     assert rows(spark.read.parquet(out), *COLUMNS) == rows(snaps, *COLUMNS)
 
 
+def test_start_dedupe_accepts_any_age(spark, tmp_path, snaps):
+    path, base = str(tmp_path / "silver"), str(tmp_path / "store")
+    for part in (snaps.orderBy(snaps.snapshot_ts.desc()).limit(2), snaps, snaps):
+        part.write.mode("append").parquet(path)
+    run(pickup.start_dedupe(silver_stream(spark, path), SEAT_PRICES, base, str(tmp_path / "cp")))
+    assert rows(store.read_table(spark, base, SEAT_PRICES), *COLUMNS) == rows(snaps, *COLUMNS)
+
+
 def test_latest_table_follows_the_stream(spark, tmp_path, snaps):
     path, out = str(tmp_path / "silver"), str(tmp_path / "latest")
     stamps = sorted({r.snapshot_ts for r in snaps.collect()})
