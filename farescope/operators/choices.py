@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farescope.functions import scalars as S
@@ -39,13 +39,19 @@ def seat_types_count(seats: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def distinct_hours(snaps: DataFrame, by_schedule: bool = True) -> DataFrame:
-    """Distinct hours with their label; sort by the number, descending, to list them."""
+    """Distinct hours with their label; ``listed_hours`` gives their order."""
     hours = F.col("hours_before_departure")
     keys = ["schedule_id"] if by_schedule else []
     values = snaps.filter(hours.isNotNull()).select(*keys, hours).distinct()
     return values.withColumn("hours_label", S.hour_label(hours))
 
 
+def listed_hours(snaps: DataFrame) -> DataFrame:
+    """Distinct hours per schedule with their place in the list, the largest first."""
+    order = Window.partitionBy("schedule_id").orderBy(F.col("hours_before_departure").desc())
+    return distinct_hours(snaps).withColumn("position", F.row_number().over(order))
+
+
 def schedules_on(snaps: DataFrame, day: str | None = None) -> DataFrame:
     """Schedules of one date; all of them when no date is chosen."""
     if day is not None:

@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farescope.operators.latest import latest_all, latest_one
+from farescope.operators.latest import latest_one, latest_ties
 from farescope.operators.views import SEAT_KEY, seat_wise_prices_latest
 
 SLOT = ("date_of_journey", "departure_time")
@@ -99,7 +99,7 @@ def seat_type_offers(
     timed = _sides(snaps, model_operator, actual_operator).filter(
         F.col("departure_time").isNotNull()
     )
-    newest = latest_all(timed, [*SLOT, "operator_id", "schedule_id", "seat_type"])
+    newest = latest_ties(timed, [*SLOT, "operator_id", "schedule_id", "seat_type"])
     return newest.select(
         *SLOT,
         "operator_id",
@@ -164,22 +164,23 @@ def offer_stats(offers: DataFrame) -> DataFrame:
 
 
 def compare_stats(offers: DataFrame) -> DataFrame:
-    """The model operator's statistics beside each other operator's, per shared slot."""
-    stats = offer_stats(offers)
-
-    def side(role: str) -> DataFrame:
-        return stats.filter(F.col("role") == role).select(
-            *SLOT,
-            F.col("operator_id").alias(f"{role}_operator"),
-            F.col("offer_count").alias(f"{role}_count"),
-            F.col("total_price").alias(f"{role}_total"),
-            F.col("avg_price").alias(f"{role}_avg"),
-        )
+    """The model operator's statistics beside each other operator's, per shared slot.
 
-    diff = F.col("actual_total") - F.col("model_total")
-    return (
-        side("model")
-        .join(side("actual"), list(SLOT))
-        .withColumn("price_diff", diff)
-        .withColumn("abs_price_diff", F.abs(diff))
+    Statistics are taken once; a slot has one row per operator, and the model's is
+    spread over its slot.
+    """
+    names = {"operator": "operator_id", "count": "offer_count", "total": "total_price", "avg": "avg_price"}
+    values = F.struct(*[F.col(c).alias(n) for n, c in names.items()])
+    model = F.max(F.when(F.col("role") == "model", values)).over(Window.partitionBy(*SLOT))
+    beside = (
+        offer_stats(offers)
+        .withColumn("model", model)
+        .filter((F.col("role") == "actual") & F.col("model").isNotNull())
     )
+    sides = beside.select(
+        *SLOT,
+        *[F.col("model")[n].alias(f"model_{n}") for n in names],
+        *[F.col(c).alias(f"actual_{n}") for n, c in names.items()],
+    )
+    diff = F.col("actual_total") - F.col("model_total")
+    return sides.withColumn("price_diff", diff).withColumn("abs_price_diff", F.abs(diff))

@@ -41,6 +41,16 @@ def latest_all(df: DataFrame, keys: Sequence[str], stamp: str = "snapshot_ts") -
     return df.join(best, cond, "left_semi")
 
 
+def latest_ties(df: DataFrame, keys: Sequence[str], stamp: str = "snapshot_ts") -> DataFrame:
+    """As ``latest_all``, in one scan: for keys that name an item, whose ties are few.
+
+    ``rank() = 1`` is limited on the map side, like ``row_number() = 1``, and keeps ties.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.col(stamp).desc())
+    ranked = df.dropna(subset=[*keys, stamp]).withColumn("_rank", F.rank().over(w))
+    return ranked.filter("_rank = 1").drop("_rank")
+
+
 BLOCK = 1024
 
 

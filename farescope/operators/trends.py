@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from farescope.functions import scalars as S
@@ -56,6 +56,12 @@ def price_sum_by_hour(
     )
 
 
+def in_display_order(trend: DataFrame, keys: Sequence[str] = ("schedule_id",)) -> DataFrame:
+    """``trend`` with each row's place: seat types ascending, hours descending, per ``keys``."""
+    order = [F.col("seat_type").asc_nulls_last(), F.col("hours_before_departure").desc_nulls_last()]
+    return trend.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def price_trend(snaps: DataFrame) -> DataFrame:
     """Every snapshot with blanks as 0 and its delta (order by ``snapshot_ts`` to plot)."""
     zero = F.lit(0).cast("decimal(18,2)")

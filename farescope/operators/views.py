@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farescope.functions import scalars as S
-from farescope.operators.latest import latest_all, latest_one
+from farescope.operators.latest import latest_one, latest_ties
 
 SCHEDULE_KEY = ("date_of_journey", "schedule_id", "seat_type")
 SEAT_KEY = ("travel_date", "schedule_id", "seat_number")
@@ -18,7 +18,7 @@ def seat_prices_latest(snaps: DataFrame, unique: bool = False) -> DataFrame:
     """Newest rows per (date, schedule, seat type).
 
     ``unique`` says that key and stamp identify a row, as they do in a table
-    filled by insert-or-ignore: then one scan and one reduced shuffle suffice.
+    filled by insert-or-ignore: then one of them is kept without looking for ties.
     """
     return _newest(snaps, SCHEDULE_KEY, unique)
 
@@ -31,7 +31,7 @@ def seat_wise_prices_latest(seats: DataFrame, unique: bool = False) -> DataFrame
 def _newest(df: DataFrame, keys: Sequence[str], unique: bool) -> DataFrame:
     if unique:
         return latest_one(df.dropna(subset=[*keys, "snapshot_ts"]), keys)
-    return latest_all(df, keys)
+    return latest_ties(df, keys)
 
 
 def newest_first(df: DataFrame) -> DataFrame:

@@ -802,6 +802,89 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
 }
 
 
+
+def _arm(name: str, condition: str, columns: str = "*") -> tuple[str, str, str]:
+    """An operator's SQL, limited to what one argument chooses."""
+    used, extra, select = _QUERIES[name]
+    return used, extra, f"SELECT {columns} FROM ({select}) WHERE {condition}"
+
+
+_ROUNDED = ", ".join(
+    f"round({c}, 2) AS {c}"
+    for c in (
+        "avg_actual_fare", "avg_model_price", "avg_occupancy", "avg_expected_occupancy", "avg_delta",
+        "avg_delta_pct",
+    )
+)
+_SEAT_ROWS = f"SELECT {_SEAT_COLS} FROM seat"
+_SNAP_ROWS = f"SELECT {_SNAP_COLS} FROM snap"
+
+_QUERIES |= {
+    "kpi_means_rounded": _arm("kpi_means", "true", f"schedule_id, {_ROUNDED}"),
+    "occupancy_trend_listed": _arm(
+        "occupancy_trend",
+        "true",
+        """*, row_number() OVER (PARTITION BY schedule_id
+          ORDER BY seat_type, hours_before_departure DESC)::INTEGER AS position""",
+    ),
+    "hours_listed": _arm(
+        "hours_distinct",
+        "hours_before_departure IS NOT NULL",
+        "*, row_number() OVER (PARTITION BY schedule_id ORDER BY hours_before_departure DESC)::INTEGER AS position",
+    ),
+    "of_seat": ("seat", "", f"{_SEAT_ROWS} WHERE seat_number = 3"),
+    "of_schedule_text": ("snap", "", f"{_SNAP_ROWS} WHERE schedule_id = 7"),
+    "filtered_schedule_date": (
+        "snap", "", f"{_SNAP_ROWS} WHERE schedule_id = 7 AND date_of_journey = DATE '2024-01-10'",
+    ),
+    "schedules_on_date": (
+        "snap", "", "SELECT DISTINCT schedule_id FROM snap WHERE date_of_journey = DATE '2024-01-10'",
+    ),
+    "seat_types_of_schedule": ("seat", "", "SELECT DISTINCT seat_type FROM seat WHERE schedule_id = 7"),
+    "seat_types_until": (
+        "snap",
+        "",
+        """SELECT DISTINCT seat_type FROM snap WHERE (actual_fare IS NOT NULL OR price IS NOT NULL)
+          AND schedule_id = 7 AND snapshot_ts <= TIMESTAMP '2024-01-10 12:00:00'""",
+    ),
+    "date_summary_one_day": _arm("date_summary_schedule", "date_of_journey = DATE '2024-01-10'"),
+    "date_summary_seat_one_day": _arm("date_summary_seat", "date_of_journey = DATE '1996-05-01'"),
+    "monthly_delta_one_month": _arm("monthly_delta_schedule", "year = 2024 AND month = 1"),
+    "monthly_delta_seat_one_month": _arm("monthly_delta_seat", "year = 1996 AND month = 5"),
+    "fallback_without_table": ("snap", "", _SNAP_ROWS),
+    "columns_with_defaults": (
+        "snap",
+        "",
+        """SELECT schedule_id, snapshot_ts, CAST(price AS DOUBLE) AS price, -1 AS occupancy, 'none' AS route
+          FROM snap""",
+    ),
+    "columns_of_both": (
+        "snap",
+        "",
+        """SELECT schedule_id, seat_type, snapshot_ts, CAST(NULL AS VARCHAR) AS seat_number,
+          CAST(NULL AS VARCHAR) AS travel_date FROM snap""",
+    ),
+    "text_defaults": (
+        "raw_snap",
+        "",
+        """SELECT schedule_id, stamp_text, coalesce(nullif(actual_fare, ''), 'missing') AS fare,
+          monthname(CAST(date_of_journey AS DATE)) AS month_name FROM raw_snap""",
+    ),
+    "timed_views": (
+        "snap seat snap_latest seat_day_latest",
+        "",
+        """SELECT 'seat_prices_with_dt_latest' AS view_name, count(*) AS n, max(snapshot_ts) AS newest FROM snap_latest
+          UNION ALL SELECT 'seat_wise_prices_with_dt_latest', count(*), max(snapshot_ts) FROM seat_day_latest
+          UNION ALL SELECT 'seat_prices_with_dt_view', count(*), max(snapshot_ts) FROM snap
+          UNION ALL SELECT 'seat_wise_prices_raw_view', count(*), max(snapshot_ts) FROM seat
+          UNION ALL SELECT 'computed_hours', count(*), max(snapshot_ts) FROM snap_latest
+          UNION ALL SELECT 'dateofjourney', count(*), max(snapshot_ts)
+            FROM (SELECT DISTINCT date_of_journey, schedule_id, snapshot_ts FROM snap)
+          UNION ALL SELECT 'model_price_sp', count(*), max(snapshot_ts)
+            FROM (SELECT DISTINCT seat_type, price, schedule_id, snapshot_ts FROM snap)""",
+    ),
+}
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (used, extra, select) in _QUERIES.items():

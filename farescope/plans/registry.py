@@ -636,6 +636,120 @@ def _(spark, d):
     )
 
 
+# --- single arms of the operators above ------------------------------------------------
+
+
+@query("kpi_means_rounded")
+def _(spark, d):
+    return rollups.kpi_means(snap(spark, d), ["schedule_id"])
+
+
+@query("occupancy_trend_listed")
+def _(spark, d):
+    return trends.in_display_order(trends.occupancy_trend(snap(spark, d)))
+
+
+@query("hours_listed")
+def _(spark, d):
+    return choices.listed_hours(snap(spark, d))
+
+
+@query("of_seat")
+def _(spark, d):
+    return filters.of_seat(seat(spark, d), " 3".strip())
+
+
+@query("of_schedule_text")
+def _(spark, d):
+    return filters.of_schedule_text(snap(spark, d), " 7 ")
+
+
+@query("filtered_schedule_date")
+def _(spark, d):
+    return filters.filtered(snap(spark, d), schedule_id="7", date_of_journey="2024-01-10")
+
+
+@query("schedules_on_date")
+def _(spark, d):
+    return choices.schedules_on(snap(spark, d), "2024-01-10")
+
+
+@query("seat_types_of_schedule")
+def _(spark, d):
+    return choices.seat_type_choices(seat(spark, d), seat(spark, d), "7")
+
+
+@query("seat_types_until")
+def _(spark, d):
+    s = snap(spark, d)
+    return choices.seat_types_until(
+        s.filter("actual_fare IS NOT NULL"), s.filter("price IS NOT NULL"), "7", "2024-01-10 12:00:00"
+    )
+
+
+@query("date_summary_one_day")
+def _(spark, d):
+    return rollups.date_summary_schedule(snap(spark, d), day="2024-01-10")
+
+
+@query("date_summary_seat_one_day")
+def _(spark, d):
+    trips = trip(spark, d, "schedule_id", "date_of_journey")
+    return rollups.date_summary_seat(seat(spark, d), trips, day="1996-05-01")
+
+
+@query("monthly_delta_one_month")
+def _(spark, d):
+    return rollups.monthly_delta_schedule(snap(spark, d), year=2024, month=1)
+
+
+@query("monthly_delta_seat_one_month")
+def _(spark, d):
+    snaps = trip(spark, d, "schedule_id", "snapshot_ts", "hours_before_departure", "date_of_journey")
+    return rollups.monthly_delta_seat(seat(spark, d), snaps, year=1996, month=5)
+
+
+@query("fallback_without_table")
+def _(spark, d):
+    keys = ["schedule_id", "seat_type", "hours_before_departure"]
+    return filters.table_or(spark, "farescope_no_such_table", snap(spark, d), keys)
+
+
+@query("columns_with_defaults")
+def _(spark, d):
+    rows = snap(spark, d).select("schedule_id", "snapshot_ts", "price")
+    return views.with_defaults(rows, {"price": F.lit(0), "occupancy": F.lit(-1), "route": F.lit("none")})
+
+
+@query("columns_of_both")
+def _(spark, d):
+    rows = snap(spark, d).select("schedule_id", "seat_type", "snapshot_ts")
+    return store.with_columns_of(rows, seat(spark, d).select("SEAT_TYPE", "seat_number", "travel_date"))
+
+
+@query("text_defaults")
+def _(spark, d):
+    raw = raw_snap(spark, d)
+    return raw.select(
+        "schedule_id",
+        "stamp_text",
+        S.blank_else(F.col("actual_fare"), F.lit("missing")).alias("fare"),
+        S.month_name(S.parse(F.col("date_of_journey"), "date")).alias("month_name"),
+    )
+
+
+@query("timed_views")
+def _(spark, d):
+    s, t = snap(spark, d), seat(spark, d)
+    views.register_views(spark, s, t, s, t)
+    counts = "SELECT '{0}' AS view_name, count(*) AS n, max(snapshot_ts) AS newest FROM {0}"
+    names = (
+        "seat_prices_with_dt_latest", "seat_wise_prices_with_dt_latest", "seat_prices_with_dt_view",
+        "seat_wise_prices_raw_view", "computed_hours", "dateofjourney", "model_price_sp",
+    )
+    return views.run_sql(spark, " UNION ALL ".join(counts.format(n) for n in names))
+
+
 # --- ingest and streams ----------------------------------------------------------------
 # These write the snapshots as CSV feed files first and read them back.
 
