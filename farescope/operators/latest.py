@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from farescope.plans.session import working_folder
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first under ``order``.
@@ -59,14 +61,18 @@ def number_in_group(df: DataFrame, keys: Sequence[str], number: str, alias: str)
 
     ``number`` must be unique per key. Positions are counted inside blocks of
     1024 consecutive numbers, so a task never sorts more than one block of a
-    key; the rows before the block come from counts per block.
+    key; the rows before the block come from counts per block. The rows are
+    written to the shared folder first, so ``df`` is evaluated once.
     """
+    path = working_folder(df.sparkSession, "numbered")
     rows = df.withColumn("_block", F.floor(F.col(number) / BLOCK))
+    rows.write.parquet(path)
+    rows = df.sparkSession.read.schema(rows.schema).parquet(path)
     counts = rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     in_block = Window.partitionBy(*keys, "_block").orderBy(number)
     return (
         rows.withColumn("_pos", F.row_number().over(in_block) - 1)
-        .join(_counted_before(counts, keys, levels=2), [*keys, "_block"])
+        .join(_counted_before(counts, keys, levels=1), [*keys, "_block"])
         .withColumn(alias, F.col("_pos") + F.col("_before"))
         .drop("_block", "_pos", "_before")
     )

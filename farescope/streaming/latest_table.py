@@ -3,7 +3,8 @@
 Each batch rewrites only the weeks it touches, as a new version: rows go to
 ``rows/batch_id=N/week_start=W`` and then ``versions`` records (W, N). A reader
 takes the highest recorded version of each week, so it never sees a half-written
-batch, and a repeated batch replaces its own output.
+batch, and a repeated batch replaces its own output. Batches that no week needs are
+emptied.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from farescope.schemas import Feed
 from farescope.sources.store import only_weeks_of, read_or_empty
 
 VERSIONS_SCHEMA = "week_start date, batch_id bigint"
+EMPTIED_SCHEMA = "batch_id bigint"
 
 
 def latest_keys(feed: Feed) -> list[str]:
@@ -68,10 +70,37 @@ def merge_batch(batch: DataFrame, batch_id: int, path: str, keys: Sequence[str])
         )
         done = weeks.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         done.coalesce(1).write.mode("append").parquet(f"{path}/versions")
+        empty_superseded(spark, path, batch_id, batch.schema)
     finally:
         batch.unpersist()
 
 
+def empty_superseded(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> None:
+    """Empty the batches before ``batch_id`` of which no week is current any more.
+
+    What ``batch_id`` itself would read when repeated stays. So the rows on disk are those of
+    the live table, of one batch before, and of batches that still hold a live week.
+    """
+    versions = read_or_empty(spark, f"{path}/versions", VERSIONS_SCHEMA)
+    live = _current_versions(spark, path, batch_id).union(_current_versions(spark, path, None))
+    emptied = read_or_empty(spark, f"{path}/emptied", EMPTIED_SCHEMA)
+    dead = (
+        versions.select("batch_id")
+        .distinct()
+        .join(live, "batch_id", "left_anti")
+        .join(emptied, "batch_id", "left_anti")
+    )
+    ids = [r.batch_id for r in dead.collect()]  # of batches that ended since the last call
+    for dead_id in ids:
+        spark.createDataFrame([], schema).write.mode("overwrite").partitionBy("week_start").parquet(
+            f"{path}/rows/batch_id={dead_id}"
+        )
+    if ids:
+        spark.createDataFrame([(i,) for i in ids], EMPTIED_SCHEMA).coalesce(1).write.mode("append").parquet(
+            f"{path}/emptied"
+        )
+
+
 def start_latest_table(
     stream: DataFrame, feed: Feed, path: str, checkpoint: str, continuous: bool = False
 ) -> StreamingQuery:

@@ -215,14 +215,28 @@ def test_first_per_key_orders_nulls_last(spark):
 
 
 def test_no_query_pairs_rows_without_a_key(spark):
-    import __spark_entry__ as entry
     from conftest import SMALL
 
-    skip = {"csv_ingest_typed", "insert_ignore", "load_folder_twice", "partition_report", "json_export", "append_frame"}
-    for name, query in entry.queries().items():
-        if name in skip or name.startswith("stream"):
-            continue
+    from farescope.plans.registry import QUERIES
+
+    for name, query in QUERIES.items():
         plan = plan_of(query(spark, SMALL))
         assert "CartesianProduct" not in plan, name
         assert "BroadcastNestedLoopJoin" not in plan, name
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+
+
+@pytest.mark.parametrize(
+    "name, scans",
+    [
+        ("latest_seat_type", 1), ("latest_seat", 2), ("operator_compare_seat_type", 2), ("operator_compare_stats", 2),
+        ("operator_compare_seat", 4), ("operator_compare_seat_stats", 4), ("seat_rows_13", 4),
+    ],
+)
+def test_scans_of_a_query(spark, name, scans):
+    """``seat`` and ``trip`` scan two tables each."""
+    from conftest import SMALL
+
+    from farescope.plans.registry import QUERIES
+
+    assert plan_of(QUERIES[name](spark, SMALL)).count("FileScan parquet") <= scans

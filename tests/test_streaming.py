@@ -87,3 +87,13 @@ def test_repeated_batch_changes_nothing(spark, tmp_path, snaps):
     assert rows(got, *COLUMNS) == rows(seat_prices_latest(snaps), *COLUMNS)
     before = latest_table.read_latest(spark, out, SEAT_PRICES.silver_schema, before=1)
     assert rows(before, *COLUMNS) == rows(seat_prices_latest(first), *COLUMNS)
+
+
+def test_superseded_batches_are_emptied(spark, tmp_path, snaps):
+    out, keys = str(tmp_path / "latest"), latest_table.latest_keys(SEAT_PRICES)
+    for batch_id in range(6):
+        latest_table.merge_batch(snaps, batch_id, out, keys)
+    on_disk = spark.read.schema(SEAT_PRICES.silver_schema).parquet(f"{out}/rows").count()
+    live = latest_table.read_latest(spark, out, SEAT_PRICES.silver_schema)
+    assert on_disk == 2 * live.count()
+    assert rows(live, *COLUMNS) == rows(seat_prices_latest(snaps), *COLUMNS)
