@@ -850,6 +850,18 @@ _QUERIES |= {
     "date_summary_one_day": _arm("date_summary_schedule", "date_of_journey = DATE '2024-01-10'"),
     "date_summary_seat_one_day": _arm("date_summary_seat", "date_of_journey = DATE '1996-05-01'"),
     "monthly_delta_one_month": _arm("monthly_delta_schedule", "year = 2024 AND month = 1"),
+    "profile_sketch": (
+        "seat",
+        "",
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count,"
+            " true AS within_bound FROM seat"
+            for c in (
+                "schedule_id", "seat_number", "seat_type", "actual_fare", "coach_layout_id", "travel_date",
+                "seat.snapshot_ts",
+            )
+        ).replace("'seat.snapshot_ts'", "'snapshot_ts'"),
+    ),
     "monthly_delta_seat_one_month": _arm("monthly_delta_seat", "year = 1996 AND month = 5"),
     "fallback_without_table": ("snap", "", _SNAP_ROWS),
     "columns_with_defaults": (

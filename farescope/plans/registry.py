@@ -599,7 +599,18 @@ def _(spark, d):
 
 @query("profile_sketch")
 def _(spark, d):
-    return quality.profile(seat(spark, d))
+    # The sketch of every column beside its exact count: within three standard errors of 5 %.
+    columns = [
+        "schedule_id", "seat_number", "seat_type", "actual_fare", "coach_layout_id", "travel_date", "snapshot_ts",
+    ]
+    rows = seat(spark, d)
+    exact = quality.profile(rows, columns, approximate=False).select(
+        "column_name", F.col("distinct_count").alias("exact_count")
+    )
+    error = F.abs(F.col("distinct_count") - F.col("exact_count"))
+    return quality.profile(rows, columns).join(exact, "column_name").select(
+        "column_name", "row_count", "null_count", (error <= 0.15 * F.col("exact_count")).alias("within_bound")
+    )
 
 
 @query("rejects")
