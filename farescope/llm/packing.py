@@ -17,6 +17,7 @@ so repeated rows are packed each; ids may be NULL; an empty table gives no piece
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 END_ID = 1
 BATCH_TOKENS = 4_000_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
+SLICE_BYTES = 1 << 20
 TOKENIZER = "word_bpe_49k.json"
 
 PIECES = (
@@ -42,42 +44,68 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
-    """Ids of texts as little-endian 32-bit integers, with the ids of seen words kept.
+def byte_letters() -> dict[int, int]:
+    """The tokenizer's letter for each byte: printable ones stand for themselves, others follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: b if b in plain else next(rest) for b in range(256)}
 
-    The tokenizer splits at white space and drops it, so a text's ids are those of
-    its words joined. The memory of seen words starts anew when full.
+
+class WordEncoder(dict):
+    """Ids of texts as little-endian 32-bit integers; a map from words to their ids that fills itself.
+
+    The tokenizer lower-cases, splits at white space and drops it, so a text's ids are those of
+    its words joined, and A-Z may be lowered first unless a special token could be spelled. A run of
+    closing marks after a letter or digit is a word of its own to it. A word of lower-case Latin letters
+    is one word to its merges, which then need no other step. The map starts anew when full.
     """
 
+    MARKS = b".,;:!?"
+    LETTERS = byte_letters()
+
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.cached = cached
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, chunks: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(
-            [c.decode("utf-8") for c in chunks], add_special_tokens=False
-        )
-        for chunk, e in zip(chunks, encoded):
-            self.known[chunk] = np.asarray(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        out = []
-        for text in texts:
-            chunks = text.split()
-            new = set(chunks).difference(self.known)
-            if new:
-                if len(self.known) + len(new) > self.cached:
-                    self.known.clear()
-                    new = set(chunks)
-                self.learn(sorted(new))
-            out.append(b"".join(map(self.known.__getitem__, chunks)))
-        return out
+
+    def __missing__(self, word: bytes) -> bytes:
+        body = word.rstrip(self.MARKS)
+        if body and len(body) < len(word) and body[-1:].isalnum():
+            found = self[body] + self[word[len(body) :]]
+        elif word.isalpha() and word.islower():
+            found = array("I", [t.id for t in self.merge(word.decode("ascii"))]).tobytes()
+        else:
+            text = word.decode("utf-8")
+            if text.isalpha() and text == text.lower() and max(text) < "\u0250":
+                merged = self.merge(word.decode("latin-1").translate(self.LETTERS))
+                found = array("I", [t.id for t in merged]).tobytes()
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                found = array("I", ids).tobytes()
+        self[word] = found
+        return found
+
+    def encode(self, text: bytes) -> bytes:
+        if len(self) > self.cached:
+            self.clear()
+        chunks = (text if b"<|" in text else text.lower()).split()
+        return b"".join(map(self.__getitem__, chunks))
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder per process, so that a worker's later tasks know the words of earlier ones."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def least_slack(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -165,6 +193,13 @@ def plan(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int, int,
     return sequences
 
 
+def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about ``limit`` bytes."""
+    rows = max(1, int(batch.num_rows * limit / max(limit, batch.nbytes)))
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def pack(
     docs: DataFrame,
     *,
@@ -181,7 +216,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer or tokenizer_path())
+        encoder = encoder_for(tokenizer or tokenizer_path())
         end = np.asarray([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 32
 
@@ -204,16 +239,14 @@ def pack(
 
         ids, blobs, held = [], [], 0
         for batch in batches:
-            texts = batch.column(1)
-            for i, key in enumerate(batch.column(0).to_pylist()):
-                (blob,) = encoder.encode([texts[i].as_py() or b""])
-                blob += end
-                ids.append(key)
-                blobs.append(blob)
-                held += len(blob) // 4
-                if held >= batch_tokens:
-                    yield emit(ids, blobs)
-                    ids, blobs, held = [], [], 0
+            for part in slices(batch):
+                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    ids.append(key)
+                    blobs.append(encoder.encode(text or b"") + end)
+                    held += len(blobs[-1]) // 4
+                    if held >= batch_tokens:
+                        yield emit(ids, blobs)
+                        ids, blobs, held = [], [], 0
         if ids:
             yield emit(ids, blobs)
 

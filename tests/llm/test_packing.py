@@ -57,11 +57,22 @@ def test_pieces_give_back_the_ids(spark):
         assert at <= 2048 and (at == 2048 or at & (at - 1) == 0)
 
 
-def test_seen_words_are_forgotten_when_full(monkeypatch):
+def test_seen_words_are_forgotten_when_full():
     encoder = packing.WordEncoder(packing.tokenizer_path(), cached=10)
     text = prose(random.Random(2), 300).encode()
     want = Tokenizer.from_file(packing.tokenizer_path()).encode(text.decode(), add_special_tokens=False).ids
-    assert np.frombuffer(b"".join(encoder.encode([text])), "<u4").tolist() == want
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want and len(encoder) > 10
+
+
+def test_words_are_encoded_as_in_their_text():
+    texts = ["naïve Straße, ÉCOLE... d\u0065\u0301j\u00e0-vu i\u0307 İ ΣΊΣΥΦΟΣ ǅ ﬁ ½ don't we'll 'tis 42nd x<|y <|endoftext|>z",
+             "a\u00a0b\u2028c \x85 d\x1ce “q”. a!?b.c ...! ñ! 日本語, 3.14 ٣ é́ ß SS \U0001d4b3 \u00ad ſ K", "<|ENDOFTEXT|> <|startoftext|>A"]
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    for text in texts + [t for _, t, *_ in corpus()]:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == want, text
 
 
 def test_missing_id_repeats_and_empty(spark):
