@@ -9,6 +9,8 @@ from farescope.schemas import MONEY
 
 NUMERIC_TEXT = r"^[0-9]+(\.[0-9]+)?$"
 HOUR_TOLERANCE = 0.01
+# The largest gap that counts as exact where a bound must be included.
+EXACT_GAP = HOUR_TOLERANCE - 1e-10
 
 GOOD, BAD, NEUTRAL = "favourable", "unfavourable", "neutral"
 

@@ -206,7 +206,7 @@ def nearest_snapshots(snaps: DataFrame, hours: Sequence[float]) -> DataFrame:
 
     def nearest(x: float):
         gap = F.abs(h - F.lit(float(x)))
-        gap = F.when(gap < S.HOUR_TOLERANCE, F.lit(0.0)).otherwise(gap)
+        gap = F.when(gap <= S.EXACT_GAP, F.lit(0.0)).otherwise(gap)
         return F.max(F.struct((-gap).alias("closeness"), ts, h))
 
     wanted = [float(x) for x in hours]
@@ -268,7 +268,7 @@ def nearest_snapshots_for(snaps: DataFrame, requests: DataFrame) -> DataFrame:
     down = in_block.orderBy(F.desc("_h"), "_asked").rowsBetween(*so_far)
     within = F.expr(
         "max(CASE WHEN NOT _asked THEN struct(_known.ts, _known.h) END) OVER (PARTITION BY schedule_id,"
-        " _block ORDER BY _h RANGE BETWEEN 0.0099999999D PRECEDING AND 0.0099999999D FOLLOWING)"
+        f" _block ORDER BY _h RANGE BETWEEN {S.EXACT_GAP!r}D PRECEDING AND {S.EXACT_GAP!r}D FOLLOWING)"
     )
     found = (
         rows.withColumn("_exact", within)

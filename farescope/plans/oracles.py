@@ -832,6 +832,10 @@ _QUERIES |= {
         "hours_before_departure IS NOT NULL",
         "*, row_number() OVER (PARTITION BY schedule_id ORDER BY hours_before_departure DESC)::INTEGER AS position",
     ),
+    "nearest_hour_price_of_seats": _arm(
+        "nearest_hour_price",
+        "(schedule_id, seat_type) IN (SELECT (schedule_id, seat_type) FROM snap WHERE actual_occupancy < 30)",
+    ),
     "of_seat": ("seat", "", f"{_SEAT_ROWS} WHERE seat_number = 3"),
     "of_schedule_text": ("snap", "", f"{_SNAP_ROWS} WHERE schedule_id = 7"),
     "filtered_schedule_date": (

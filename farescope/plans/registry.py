@@ -655,6 +655,13 @@ def _(spark, d):
     return rollups.kpi_means(snap(spark, d), ["schedule_id"])
 
 
+@query("nearest_hour_price_of_seats")
+def _(spark, d):
+    # Only the seat types that the seat feed lists for a schedule.
+    listed = snap(spark, d).filter("actual_occupancy < 30").select("schedule_id", "seat_type")
+    return lookups.nearest_hour_prices(snap(spark, d), REQUESTED_HOURS, seats=listed)
+
+
 @query("occupancy_trend_listed")
 def _(spark, d):
     return trends.in_display_order(trends.occupancy_trend(snap(spark, d)))
