@@ -66,15 +66,17 @@ def keep_bitmaps(
     """doc, row, keep: for documents that lose lines, map of word number -> 64 keep bits; other words keep all."""
     hashes = saved(line_hashes(docs, doc_id, text, least_chars), "line-hashes")
     first = Window.partitionBy("h1", "h2", "doc").orderBy("row", "place")
-    shared = (
+    shared = saved(
         hashes.repartitionByRange("h1", "h2", "doc")
         .withColumn("nth", F.row_number().over(first))
         .where("nth = 1")
         .groupBy("h1", "h2")
         .agg(F.count("*").alias("docs"), F.max("doc").alias("holder"))
         .where(F.col("docs") >= least_docs)
-        .select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), "holder")
+        .select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), "holder"),
+        "shared-lines",
     )
+    # Read back, the shared lines are shuffled for the join as the hashes are, so a hot line can be split.
     bit = F.expr("shiftleft(1L, place % 64)")
     return (
         hashes.join(
