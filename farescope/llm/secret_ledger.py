@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from farescope.llm.common import saved
 from farescope.plans.session import working_folder
 
 
@@ -147,12 +148,14 @@ def find_secrets(
     wanted = F.filter(
         F.array_distinct(F.flatten(F.collect_list("spans"))), lambda x: F.array_contains(names, x["rule"])
     )
-    found = (
+    found = saved(
         spark.read.schema(LEDGER)
         .parquet(ledger)
         .groupBy(F.col("blob").alias("f_blob"))
-        .agg(F.array_sort(wanted).alias("spans"))
+        .agg(F.array_sort(wanted).alias("spans")),
+        "secret-findings",
     )
+    # Read back, the findings are shuffled for the join as the paths are, so a hot blob can be split.
     paths = docs.select(F.col(doc_id).alias("doc_id"), blob_of(F.col(text)).alias("blob"))
     return paths.join(found, F.col("blob") == F.col("f_blob"), "left").select("doc_id", "blob", "spans")
 
