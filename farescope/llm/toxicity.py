@@ -1,9 +1,9 @@
 """Toxicity by a lexicon trie, Levenshtein automata and the words around a hit.
 
 Learning, from a bounded sample of labelled rows (``LEARN_ROWS``, chosen by a hash of the
-id): words and word beginnings that toxic texts hold and clean texts do not are chosen
-greedily by the toxic texts they newly explain, so that chance words of much-copied
-texts stay out. They form the lexicon. A logistic regression then weighs what the
+id): words and word beginnings that toxic texts hold and clean texts do not form the
+lexicon. They must stand in more unlike toxic texts than chance explains, so words of one
+much-copied text stay out. A logistic regression then weighs what the
 lexicon finds.
 
 Scoring: the lexicon is a trie. The Levenshtein automata of its terms are intersected
@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ WINDOW = 6
 REMEMBERED = 400_000
 NO_MODEL = 0.0
 
-EDGES = ".,;:!?()[]{}<>*_~`\"'“”„‘’«»…-"
+EDGES = "#$%&|@=+^/\\.,;:!?()[]{}<>*_~`\"'“”„‘’«»…-"
 QUOTES = "\"“”„«»‘’"
 # Words that introduce what somebody else said.
 REPORTING = frozenset(
@@ -219,41 +220,48 @@ def _count_units(label: int, only: frozenset | None):
 
 
 def _held_units(only: frozenset):
+    """Per toxic text a value that near copies mostly share, and the units of ``only`` that it holds."""
     order = {u: i for i, u in enumerate(sorted(only))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                sorted(order[u] for u in units(text or "") & only)
-                for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist())
-                if toxic == 1
-            ]
-            yield pa.record_batch([pa.array(rows, pa.list_(pa.int32()))], names=["held"])
+            alike, rows = [], []
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                if toxic == 1:
+                    alike.append(min((crc32(w.encode()) for w in set(forms(text or ""))), default=0))
+                    rows.append(sorted(order[u] for u in units(text or "") & only))
+            yield pa.record_batch(
+                [pa.array(alike, pa.int64()), pa.array(rows, pa.list_(pa.int32()))], names=["alike", "held"]
+            )
 
     return run
 
 
-def choose(held: list[list[int]], names: list[str], most: int = LEXICON, least: int = LEAST_TOXIC) -> list[str]:
-    """Greedy cover: the entry that explains most unexplained toxic texts, then the next, and so on.
+def least_support(units_seen: int, toxic: int, clean: int) -> int:
+    """Texts that must hold a unit: so many that chance gives less than a tenth of a unit that only toxic ones hold."""
+    return max(LEAST_TOXIC, math.ceil(math.log(10 * max(units_seen, 1)) / math.log((toxic + clean) / toxic)))
 
-    Among equals whole words go before stems and longer ones before shorter.
+
+def choose(support: dict[str, int], least: int, most: int = LEXICON) -> list[str]:
+    """Entries of the lexicon, from the number of unlike toxic texts that hold each unit.
+
+    Words with enough support are entries. A stem is one if its words are not mostly one entry; it
+    is drawn out while it keeps nine tenths of its support, and then stands for all longer ones.
     """
-    texts: dict[int, set[int]] = {}
-    for t, row in enumerate(held):
-        for u in row:
-            texts.setdefault(u, set()).add(t)
-    chosen = []
-    while texts and len(chosen) < most:
-        best = max(texts, key=lambda u: (len(texts[u]), not names[u].endswith("-"), len(names[u]), names[u]))
-        explained = set(texts.pop(best))
-        if len(explained) < least:
-            break
-        chosen.append(names[best])
-        for u in list(texts):
-            texts[u] -= explained
-            if not texts[u]:
-                del texts[u]
-    return chosen
+    enough = {u for u, n in support.items() if n >= least}
+    entries = [u for u in enough if not u.endswith("-")]
+    covered: list[str] = []
+    for stem in sorted((u for u in enough if u.endswith("-")), key=lambda u: (len(u), u)):
+        start, wanted = stem[:-1], 0.9 * support[stem]
+        if any(start.startswith(c) for c in covered):
+            continue
+        if any(w.startswith(start) and support[w] >= wanted for w in entries if not w.endswith("-")):
+            continue
+        drawn = [u for u in enough if u.endswith("-") and u.startswith(start) and support[u] >= wanted]
+        longest = max(drawn, key=lambda u: (len(u), support[u], u))
+        entries.append(longest)
+        covered.append(longest[:-1])
+    return sorted(entries, key=lambda u: (-support[u], u))[:most]
 
 
 def fit(x: np.ndarray, y: np.ndarray, l2: float = 0.02, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -311,13 +319,10 @@ def learn(
             .agg(F.sum("n").alias("n"))
         )
 
+    toxic_units = counted(1, None).where(F.col("n") >= LEAST_TOXIC)
+    seen_units = toxic_units.count()
     common = frozenset(
-        r.unit
-        for r in counted(1, None)
-        .where(F.col("n") >= LEAST_TOXIC)
-        .orderBy(F.col("n").desc(), "unit")
-        .limit(20 * CANDIDATES)
-        .collect()
+        r.unit for r in toxic_units.orderBy(F.col("n").desc(), "unit").limit(20 * CANDIDATES).collect()
     )
     clean = {r.unit: r["n"] for r in counted(0, common).collect()}
     toxic_rate = {u: clean.get(u, 0) / size[0] for u in common}
@@ -329,8 +334,11 @@ def learn(
     good = [u for u in common if toxic_rate[u] <= MOST_CLEAN * toxic_n[u] / size[1]]
     good = frozenset(sorted(good, key=lambda u: (-weight(u), u))[:CANDIDATES])
     names = sorted(good)
-    held = [r.held for r in sample.mapInArrow(_held_units(good), "held array<int>").collect()]
-    entries = choose(held, names)
+    unlike: dict[str, set[int]] = {u: set() for u in names}
+    for row in sample.mapInArrow(_held_units(good), "alike long, held array<int>").collect():
+        for u in row.held:
+            unlike[names[u]].add(row.alike)
+    entries = choose({u: len(x) for u, x in unlike.items()}, least_support(seen_units, size[1], size[0]))
     terms = [u for u in entries if not u.endswith("-")]
     stems = [u[:-1] for u in entries if u.endswith("-")]
     seen = sample.mapInArrow(_featured(terms, stems), "toxic int, f array<double>").collect()
