@@ -92,33 +92,69 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, np.searchsorted(offsets, s, "right") - 1
 
 
-def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
-    """Per value, the sorted distinct hashes of its runs of ``width`` words.
+UNIT_VALUES = 512
+HASH_BITS = 55  # a set's hashes share a 64-bit word with the value's number in its unit
+_DROPPED = np.uint64(64 - HASH_BITS)
+
+
+def sorted_per_value(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Value number and hash in one word, sorted; one sort serves all values of a unit."""
+    words = (of.astype(np.uint64) << np.uint64(HASH_BITS)) | (hashes >> _DROPPED)
+    words.sort()
+    return words
+
+
+def hash_of(words: np.ndarray) -> np.ndarray:
+    return words & np.uint64((1 << HASH_BITS) - 1)
+
 
-    A value with fewer words has one hash, of all of them; without words it has none.
+def value_of(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(HASH_BITS)).astype(np.int64)
+
+
+def shingle_units(column: pa.Array, width: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first value, bounds, hashes): the distinct hashes of the runs of ``width`` words of each value, sorted.
+
+    Value ``first + i`` has ``hashes[bounds[i]:bounds[i + 1]]``. A value with fewer words has one
+    hash, of all of them; without words it has none.
     """
     data, offsets = raw(column)
     factors = mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
     for a, b in units(offsets):
-        part = offsets[a : b + 1] - offsets[a]
-        w, of = word_hashes(data[offsets[a] : offsets[b]], part)
-        counts = np.bincount(of, minlength=b - a)
-        ends = np.cumsum(counts)
-        runs = np.zeros(max(0, len(w) - width + 1), np.uint64)
-        for k in range(width):
-            runs += w[k : k + len(runs)] * factors[k]
-        runs = mix(runs)
-        for c, e in zip(counts.tolist(), ends.tolist()):
-            if c >= width:
-                yield np.unique(runs[e - c : e - width + 1])
-            elif c:
-                yield mix((w[e - c : e] * factors[:c]).sum(keepdims=True) + np.uint64(c))
-            else:
-                yield runs[:0]
-
-
-def signature(values: np.ndarray) -> tuple[int, int]:
-    """Two signed 64-bit numbers that name a set of hashes."""
-    one = mix(values + np.uint64(1)).sum(dtype=np.uint64)
-    two = mix(values ^ np.uint64(BASE)).sum(dtype=np.uint64)
-    return int(one.astype(np.int64)), int(two.astype(np.int64))
+        for a in range(a, b, UNIT_VALUES):
+            last = min(b, a + UNIT_VALUES)
+            w, of = word_hashes(data[offsets[a] : offsets[last]], offsets[a : last + 1] - offsets[a])
+            counts = np.bincount(of, minlength=last - a)
+            ends = np.cumsum(counts)
+            runs = np.zeros(max(0, len(w) - width + 1), np.uint64)
+            for k in range(width):
+                runs += w[k : k + len(runs)] * factors[k]
+            whole = of[: len(runs)] == of[len(w) - len(runs) :]
+            runs, run_of = mix(runs[whole]), of[: len(runs)][whole]
+            few = np.flatnonzero((counts > 0) & (counts < width))
+            if len(few):
+                short = [
+                    mix((w[ends[i] - counts[i] : ends[i]] * factors[: counts[i]]).sum(keepdims=True) + np.uint64(counts[i]))
+                    for i in few
+                ]
+                runs, run_of = np.concatenate([runs, *short]), np.concatenate([run_of, few])
+            words = sorted_per_value(runs, run_of)
+            new = np.ones(len(words), bool)
+            new[1:] = words[1:] != words[:-1]
+            words = words[new]
+            yield a, np.searchsorted(value_of(words), np.arange(last - a + 1)), hash_of(words)
+
+
+def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
+    for _, bounds, hashes in shingle_units(column, width):
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield hashes[a:b]
+
+
+def signatures(bounds: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers that name each value's set; zero for an empty one."""
+    out = []
+    for scrambled in (mix(hashes + np.uint64(1)), mix(hashes ^ np.uint64(BASE))):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(scrambled)))
+        out.append((sums[bounds[1:]] - sums[bounds[:-1]]).astype(np.int64))
+    return out[0], out[1]

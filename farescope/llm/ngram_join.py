@@ -6,8 +6,12 @@ so classes are grouped by those tokens; tokens that are common in the corpus com
 the order. Inside a group a signature tree is joined with itself (``signature_tree``), and
 each pair that its bounds leave is compared exactly.
 
-Groups are opened in rounds: first by each class's first repeated token, then by the first
-few, then by all. A group is opened only while it still joins two components, so the many
+Prefixes are somewhat longer than that, so that similar sets share several tokens there, and a class with
+fewer repeated ones is left out. A pair need only meet at its first common token, which bounds its overlap by what follows in
+either set; members of a group that no other can satisfy so are left out of it.
+
+Groups are opened in rounds: first by each class's first repeated tokens, then by all. A
+group is opened only while it still joins two components, so the many
 groups that near copies share cost one opening. No round drops a pair that could add
 a link between components: the last one covers every group left.
 
@@ -22,27 +26,54 @@ share an id are one document for components; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from farescope.llm.common import input_tasks, saved
-from farescope.llm.hashing import mix, shingle_sets, signature
+from farescope.llm.hashing import (
+    HASH_BITS,
+    hash_of,
+    mix,
+    shingle_sets,
+    shingle_units,
+    signatures,
+    sorted_per_value,
+    value_of,
+)
+from farescope.llm.signature_tree import bitmap, hopeful
 from farescope.llm.signature_tree import join as tree_join
+from farescope.plans.session import working_folder
 
 WORDS = 5
 PERCENT = 75
-HOT_TOKENS = 1 << 18
+HOT_TOKENS = 1 << 20
+HOT_IN_BATCH = 3
 BLOCK = 4096
-ROUNDS = (1, 3, None)
+ROUNDS = (2, None)
+LOCAL_LINKS = 1 << 20
+STEP = 32
+SIEVE_BITS = 1 << 23
 BUCKETS_PER_TASK = 4
 HOT = np.uint64(1 << 63)
 
 SIGNED = "doc_id long, n long, s1 long, s2 long, token long, times long"
+DEALT = ["bucket", "keys", "classes", "sizes", "rests"]
+SOURCES = "class long, s2 long, doc_id long, n int, bits binary, packed binary"
+
+
+def _new(seen: set, one: np.ndarray, two: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which sets are not empty and were not seen in this batch before."""
+    out = np.zeros(len(sizes), bool)
+    for i, name in enumerate(zip(one.tolist(), two.tolist())):
+        if sizes[i] and name not in seen:
+            seen.add(name)
+            out[i] = True
+    return out
 
 
 def _sign(words: int):
@@ -50,148 +81,296 @@ def _sign(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, seen, kept = [], set(), []
-            for values in shingle_sets(batch.column(1), words):
-                one, two = signature(values)
-                rows.append((len(values), one, two))
-                if len(values) and (one, two) not in seen:
-                    seen.add((one, two))
-                    kept.append(values)
-            tokens, times = np.unique(np.concatenate(kept or [np.zeros(0, np.uint64)]), return_counts=True)
-            many = times >= max(4, len(kept) // 1000)
-            n, one, two = zip(*rows)
-            pad = [None] * int(many.sum())
-            none = [None] * len(rows)
+            sizes, ones, twos, held, seen = [], [], [], [], set()
+            for _, bounds, hashes in shingle_units(batch.column(1), words):
+                n = np.diff(bounds)
+                one, two = signatures(bounds, hashes)
+                held.append(hashes[np.repeat(_new(seen, one, two, n), n)])
+                sizes.append(n)
+                ones.append(one)
+                twos.append(two)
+            tokens, times = np.unique(np.concatenate(held), return_counts=True)
+            many = times >= HOT_IN_BATCH
+            n, one, two = map(np.concatenate, (sizes, ones, twos))
+            yield pa.record_batch(
+                [batch.column(0), pa.array(n), pa.array(one), pa.array(two), pa.nulls(len(n), pa.int64())]
+                + [pa.nulls(len(n), pa.int64())],
+                names=["doc_id", "n", "s1", "s2", "token", "times"],
+            )
+            blank = pa.nulls(int(many.sum()), pa.int64())
             yield pa.record_batch(
-                [
-                    pa.concat_arrays([batch.column(0), pa.array(pad, pa.int64())]),
-                    pa.array(list(n) + pad, pa.int64()),
-                    pa.array(list(one) + pad, pa.int64()),
-                    pa.array(list(two) + pad, pa.int64()),
-                    pa.array(none + tokens[many].astype(np.int64).tolist(), pa.int64()),
-                    pa.array(none + times[many].tolist(), pa.int64()),
-                ],
+                [blank] * 4 + [pa.array(tokens[many].astype(np.int64)), pa.array(times[many].astype(np.int64))],
                 names=["doc_id", "n", "s1", "s2", "token", "times"],
             )
 
     return run
 
 
-def ordered(values: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Keys of tokens in the global order: by hash, then the hot ones by how common they are."""
-    keys = mix(values) >> np.uint64(1)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
-        is_hot = hot[at] == values
-        keys[is_hot] = HOT | (rank[at[is_hot]] << np.uint64(32))
-    return np.sort(keys)
+class TokenOrder:
+    """The global order of tokens: by hash, then the hot ones by how common they are."""
+
+    def __init__(self, hot: np.ndarray, rank: np.ndarray):
+        self.hot, self.rank = hot, rank
+        self.maybe = np.zeros(1 << 23, bool)
+        self.maybe[(hot & np.uint64((1 << 23) - 1)).astype(np.int64)] = True
+
+    def keys(self, hashes: np.ndarray) -> np.ndarray:
+        keys = mix(hashes) >> np.uint64(1)
+        asked = np.flatnonzero(self.maybe[(hashes & np.uint64((1 << 23) - 1)).astype(np.int64)])
+        if len(asked):
+            at = np.minimum(np.searchsorted(self.hot, hashes[asked]), len(self.hot) - 1)
+            is_hot = self.hot[at] == hashes[asked]
+            keys[asked[is_hot]] = HOT | (self.rank[at[is_hot]] << np.uint64(32))
+        return keys
+
+
+def shared_tokens(n, percent: int):
+    """Tokens that two similar sets share at least in their prefixes, one of them of size ``n``.
+
+    A prefix is longer by one token for every ``STEP`` of its set, and every token more is one more that two
+    similar sets share there. The other set may be the smaller one.
+    """
+    if isinstance(n, Column):
+        return F.floor(F.floor(n * percent / 100) / STEP) + 1
+    return n * percent // 100 // STEP + 1
 
 
 def _deal(words: int, percent: int, buckets: int, hot):
-    """(bucket, packed (key, class) pairs) of the prefixes of a batch's distinct sets."""
+    """Per bucket, packed: the keys of the prefixes of a batch's distinct sets, their classes, the sets' sizes, and
+    how many tokens of the set follow, the key's own included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, rank = hot.value
+        order = TokenOrder(*hot.value)
         for batch in batches:
-            keys, classes, seen = [], [], set()
-            for values in shingle_sets(batch.column(1), words):
-                if not len(values):
-                    continue
-                name = signature(values)
-                if name in seen:
-                    continue
-                seen.add(name)
-                n = len(values)
-                prefix = n - -(-percent * n // 100) + 1
-                keys.append(ordered(values, tokens, rank)[:prefix])
-                classes.append(np.full(len(keys[-1]), name[0], np.int64))
-            if not keys:
-                continue
-            k, c = np.concatenate(keys), np.concatenate(classes)
+            keys, classes, sizes, rests, seen = [], [], [], [], set()
+            for _, bounds, hashes in shingle_units(batch.column(1), words):
+                n = np.diff(bounds)
+                one, two = signatures(bounds, hashes)
+                new = _new(seen, one, two, n)
+                of = np.repeat(np.arange(len(n)), n)
+                use = new[of]
+                ordered = sorted_per_value(order.keys(hashes[use]), of[use])
+                of = value_of(ordered)
+                nth = np.arange(len(of)) - np.searchsorted(of, np.arange(len(n)))[of]
+                prefix = nth < (n + (-percent * n // 100) + 1 + n // STEP)[of]
+                of, nth = of[prefix], nth[prefix]
+                keys.append(hash_of(ordered[prefix]))
+                classes.append(one[of])
+                sizes.append(n[of])
+                rests.append(n[of] - nth)
+            k, c, n, rest = map(np.concatenate, (keys, classes, sizes, rests))
             bucket = (mix(k) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((k, bucket))
-            k, c, bucket = (k[order] >> np.uint64(32)).astype("<u4"), c[order], bucket[order]
+            by = np.argsort(bucket, kind="stable")
+            k, bucket = (k[by] >> np.uint64(HASH_BITS - 32)).astype("<u4"), bucket[by]
+            kind = "<u2" if n.max(initial=0) < 1 << 16 else "<u4"
+            packed = k, c[by], n[by].astype(kind), rest[by].astype(kind)
             edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+            if len(edges) > 1:
+                yield pa.record_batch(
+                    [pa.array(bucket[edges[:-1]].astype(np.int32))]
+                    + [pa.array([v[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()) for v in packed],
+                    names=DEALT,
+                )
+
+    return run
+
+
+def satisfiable(k: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
+    """Which members have another one in their group that a first common token here could link.
+
+    Members are in order of group ``k`` and size ``n``; ``rest`` tokens are left in each. Two may be linked if
+    the smaller rest is enough for both sizes: if each size is within the other's reach. The sizes
+    within a member's reach are a run of its group, so the longest reach over that run decides.
+    """
+    start = np.flatnonzero(np.diff(k, prepend=-1))
+    counts = np.diff(np.append(start, len(k)))
+    group = np.repeat(np.arange(len(start)), counts)
+    first = np.repeat(start, counts)
+    reach = np.minimum((100 + percent) * rest // percent - n, (1 << 31) - 1)
+    stop = np.searchsorted((group << 32) | n, (group << 32) | np.maximum(reach, 0), "right")
+    longest = [reach.astype(np.int32)]  # over 1, 2, 4, ... members from each place
+    while 2 << (len(longest) - 1) <= counts.max(initial=0):
+        half = 1 << (len(longest) - 1)
+        longest.append(np.maximum(longest[-1][:-half], longest[-1][half:]))
+
+    def over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.full(len(a), -1, np.int64)
+        some = np.flatnonzero(b > a)
+        level = np.frexp((b - a)[some])[1] - 1
+        for x in np.unique(level):
+            at = some[level == x]
+            out[at] = np.maximum(longest[x][a[at]], longest[x][b[at] - (1 << x)])
+        return out
+
+    me = np.arange(len(k))
+    return (over(first, np.minimum(me, stop)) >= n) | (over(me + 1, stop) >= n)
+
+
+def _repeated(percent: int):
+    """(gid, class, fits) of the keys that two classes or more share, per bucket.
+
+    ``fits`` tells whether another class of the key may be linked with this one by a first common token here.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = [[], [], [], []]
+        for batch in batches:
+            for bucket, k, c, n, rest in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                parts[0].append(np.frombuffer(k, "<u4").astype(np.int64) | (bucket << 32))
+                parts[1].append(np.frombuffer(c, np.int64))
+                kind = "<u2" if len(n) * 2 == len(k) else "<u4"
+                parts[2].append(np.frombuffer(n, kind).astype(np.int64))
+                parts[3].append(np.frombuffer(rest, kind).astype(np.int64))
+        if not parts[0]:
+            return
+        k, c, n, rest = map(np.concatenate, parts)
+        order = np.lexsort((c, n, k))
+        k, c, n, rest = k[order], c[order], n[order], rest[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+        k, c, n, rest = k[new], c[new], n[new], rest[new]
+        if not len(k):
+            return
+        counts = np.diff(np.append(np.flatnonzero(np.diff(k, prepend=-1)), len(k)))
+        many = np.repeat(counts > 1, counts)
+        k, c, fits = k[many], c[many], satisfiable(k[many], n[many], rest[many], percent)
+        for i in range(0, len(k), 100_000):
             yield pa.record_batch(
-                [
-                    pa.array(bucket[edges[:-1]].astype(np.int32)),
-                    pa.array([k[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
-                    pa.array([c[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
-                ],
-                names=["bucket", "keys", "classes"],
+                [pa.array(x[i : i + 100_000]) for x in (k, c, fits)], names=["gid", "class", "fits"]
             )
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gid, class) of the keys that two classes or more share, per bucket."""
-    keys, classes = [], []
+def sieve(classes: DataFrame) -> np.ndarray:
+    """A bitmap of ``SIEVE_BITS`` in which every class's bit is set, so that most others can be left out early."""
+    bit = F.expr(f"w_class & {SIEVE_BITS - 1}L")
+    words = (
+        classes.groupBy((bit / 64).cast("int").alias("word"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, int((w_class & {SIEVE_BITS - 1}L) % 64))")).alias("bits"))
+        .toPandas()  # at most SIEVE_BITS / 64 rows
+    )
+    out = np.zeros(SIEVE_BITS // 64, np.int64)
+    out[words.word.to_numpy(int)] = words.bits.to_numpy(np.int64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _sources(words: int, sifted):
+    """Per wanted set of a batch: class, second signature, smallest id, size, bitmap and packed text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = sifted.value
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            best: dict[tuple, tuple] = {}
+            for first, bounds, hashes in shingle_units(texts, words):
+                one, two = signatures(bounds, hashes)
+                for i in np.flatnonzero((np.diff(bounds) > 0) & maybe[one & (SIEVE_BITS - 1)]).tolist():
+                    a, b = bounds[i], bounds[i + 1]
+                    name, doc = (int(one[i]), int(two[i])), ids[first + i]
+                    if name in best and best[name][0] <= doc:
+                        continue
+                    packed = zlib.compress(texts[first + i].as_py(), 1)
+                    best[name] = (doc, int(b - a), bitmap(hashes[a:b]), packed)
+            if best:
+                one, two = zip(*best)
+                columns = [one, two, *zip(*best.values())]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.record_batch(
+                    [pa.array(v, k) for v, k in zip(columns, kinds)],
+                    names=["class", "s2", "doc_id", "n", "bits", "packed"],
+                )
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
+    """(task, rows) of batches whose rows are in order of their task."""
+    task, held = None, []
     for batch in batches:
-        for bucket, k, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            keys.append(np.frombuffer(k, "<u4").astype(np.int64) | (bucket << 32))
-            classes.append(np.frombuffer(c, np.int64))
-    if not keys:
-        return
-    k, c = np.concatenate(keys), np.concatenate(classes)
-    order = np.lexsort((c, k))
-    k, c = k[order], c[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    k, c = k[new], c[new]
-    start = np.flatnonzero(np.diff(k, prepend=-1))
-    size = np.diff(np.append(start, len(k)))
-    many = np.repeat(size > 1, size)
-    for i in range(0, len(k), 100_000):
-        part = many[i : i + 100_000]
-        yield pa.record_batch(
-            [pa.array(k[i : i + 100_000][part]), pa.array(c[i : i + 100_000][part])], names=["gid", "class"]
-        )
+        for t, *row in zip(batch.column("task").to_pylist(), *(batch.column(n).to_pylist() for n in names)):
+            if t != task:
+                if len(held) > 1:
+                    yield task, held
+                task, held = t, []
+            held.append(row)
+    if len(held) > 1:
+        yield task, held
+
+
+def _hope(percent: int):
+    """(task, class, comp) of the members that may link two components, by sizes and bitmaps alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for task, rows in _groups(batches, ("class", "comp", "n", "bits")):
+            classes, comps, sizes, bits = zip(*rows)
+            if len(set(comps)) > 1:
+                out += [(task, classes[i], comps[i]) for i in hopeful(bits, sizes, comps, percent)]
+            if len(out) > 10_000:
+                yield _rows(out)
+                out = []
+        if out:
+            yield _rows(out)
+
+    return run
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(v, pa.int64()) for v in zip(*out)], names=["task", "class", "comp"])
 
 
 def _open(words: int, percent: int):
-    """Links between components, from rows (task, gid, comp, class, text) in order of (task, gid)."""
+    """Links between components, from texts in order of their task."""
 
-    def close(held) -> list[tuple[int, int]]:
-        comps = [c for c, _ in held]
-        if len(set(comps)) < 2:
-            return []
-        return [(comps[a], comps[b]) for a, b in tree_join([s for _, s in held], comps, percent)]
+    def sets(texts: list[bytes]) -> list[np.ndarray]:
+        return list(shingle_sets(pa.array([zlib.decompress(t) for t in texts], pa.binary()), words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
-        for batch in batches:
-            out = []
-            groups = batch.column("task").to_pylist()
-            comps, classes = batch.column("comp").to_pylist(), batch.column("class").to_pylist()
-            for g, comp, name, values in zip(groups, comps, classes, shingle_sets(batch.column("text"), words)):
-                if g != group:
-                    out += close(held)
-                    group, held = g, []
-                if signature(values)[0] == name:
-                    held.append((comp, values))
-            if out:
-                yield _links(out)
-        if out := close(held):
-            yield _links(out)
+        for _, rows in _groups(batches, ("comp", "packed")):
+            comps = [r[0] for r in rows]
+            if len(set(comps)) < 2:
+                continue
+            made = tree_join(sets([r[1] for r in rows]), comps, percent)
+            if made:
+                yield pa.record_batch(
+                    [pa.array([comps[p[i]] for p in made], pa.int64()) for i in (0, 1)], names=["a", "b"]
+                )
 
     return run
 
 
-def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*pairs)
-    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    if root:
+        nodes = list(root)
+        yield pa.record_batch(
+            [pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "comp"]
+        )
 
 
 def smallest_reachable(links: DataFrame) -> DataFrame:
     """node, comp: the smallest node that links (a, b) reach from each node that has one.
 
-    Large-star and small-star steps in turn until nothing changes; each step is written out.
+    Up to ``LOCAL_LINKS`` links are united in one task, which that number bounds. Beyond it, large-star and
+    small-star steps alternate until nothing changes; each step is written out.
     """
-    edges = saved(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-        "links",
-    )
+    if links.count() <= LOCAL_LINKS:
+        return saved(links.coalesce(1).mapInArrow(_united, "node long, comp long"), "reached")
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges, before = saved(edges.distinct(), "links"), None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -199,17 +378,36 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        small = (
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(small.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
+            small.select("u", F.col("m").alias("v"))
         )
-        after = saved(small, "links")
-        same = after.count() == edges.count() and after.exceptAll(edges).isEmpty()
-        edges = after
-        if same:
+        edges = saved(small.where("u <> v").distinct(), "links")
+        after = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first()
+        if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+        before = after
+
+
+def commonest(common: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens with the largest counts, ``most`` of them at most, in order, and their ranks by count.
+
+    How many tokens have each count tells from which count on they fit.
+    """
+    sizes = sorted(common.groupBy("times").count().collect(), key=lambda r: -r.times)
+    total, cut = 0, None
+    for row in sizes:
+        total += row["count"]
+        if total > most:
+            break
+        cut = row.times
+    if cut is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    rows = common.where(F.col("times") >= cut).toPandas()
+    tokens, times = rows.token.to_numpy(np.int64), rows.times.to_numpy(np.int64)
+    rank = np.empty(len(tokens), np.uint64)
+    rank[np.lexsort((tokens, times))] = np.arange(len(tokens), dtype=np.uint64)
+    order = np.argsort(tokens.astype(np.uint64))
+    return tokens.astype(np.uint64)[order], rank[order]
 
 
 def link_components(
@@ -231,14 +429,9 @@ def link_components(
         signed.where("token is not null")
         .groupBy("token")
         .agg(F.sum("times").alias("times"))
-        .orderBy(F.col("times").desc(), "token")
-        .limit(HOT_TOKENS)
-        .toPandas()  # at most HOT_TOKENS rows
     )
-    tokens = common.token.to_numpy(np.int64).astype(np.uint64)
-    rank = np.arange(len(tokens), 0, -1).astype(np.uint64)  # the commonest has the largest
-    order = np.argsort(tokens)
-    hot = spark.sparkContext.broadcast((tokens[order], rank[order]))
+    common = saved(common, "ngram-common")
+    hot = spark.sparkContext.broadcast(commonest(common, HOT_TOKENS))
 
     # A class is a distinct set, named by its first signature; its representative is its smallest id.
     classes = saved(
@@ -247,36 +440,56 @@ def link_components(
         .agg(F.min("doc_id").alias("rep")),
         "ngram-classes",
     )
-    buckets = BUCKETS_PER_TASK * input_tasks(texts)
+    tasks = input_tasks(texts)
+    buckets = BUCKETS_PER_TASK * tasks
+    known = texts.where("doc_id is not null")
     shared = (
-        texts.mapInArrow(_deal(words, percent, buckets, hot), "bucket int, keys binary, classes binary")
+        known.mapInArrow(
+            _deal(words, percent, buckets, hot),
+            "bucket int, keys binary, classes binary, sizes binary, rests binary",
+        )
         .repartitionById(buckets, F.col("bucket"))
-        .mapInArrow(_repeated, "gid long, class long")
+        .mapInArrow(_repeated(percent), "gid long, class long, fits boolean")
     )
-    nth = F.row_number().over(Window.partitionBy("class").orderBy(F.expr("gid & 4294967295L"), "gid"))
-    shared = saved(shared.withColumn("nth", nth), "ngram-groups")
-    wanted = shared.select("class").distinct().join(classes, "class").select("class", F.col("rep").alias("r_id"))
-    sources = saved(
-        texts.join(wanted, F.col("doc_id") == F.col("r_id")).select("class", "text"), "ngram-texts"
+    # A class without enough repeated tokens in its prefix is like no other: chance repeats a token or two.
+    mine = Window.partitionBy("class")
+    nth = F.row_number().over(mine.orderBy(~F.col("fits"), F.expr("gid & 4294967295L"), "gid"))
+    shared = saved(
+        shared.withColumn("repeated", F.count("*").over(mine)).withColumn("nth", nth).where("fits").drop("fits"),
+        "ngram-groups",
     )
-    comps = wanted.select(F.col("r_id").alias("node"), F.col("r_id").alias("comp"))
+    enough = F.col("repeated") >= shared_tokens(F.col("n"), percent)
+    wanted = saved(
+        shared.select("class", "repeated")
+        .distinct()
+        .join(classes, "class")
+        .where(enough)
+        .select(F.col("class").alias("w_class"), "s2", "rep"),
+        "ngram-wanted",
+    )
+    shared = shared.join(wanted.select(F.col("w_class").alias("class")).distinct(), "class", "left_semi")
+    parts = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sifted = spark.sparkContext.broadcast(sieve(wanted))
+    name = _bucketed(known.mapInArrow(_sources(words, sifted), SOURCES), wanted, parts)
+    comps = wanted.select(F.col("rep").alias("node"), F.col("rep").alias("comp")).distinct()
     found = None
     for depth in ROUNDS:
-        links = saved(_round(shared, wanted, comps, sources, depth, words, percent), "ngram-links")
+        links = saved(_round(shared, wanted, comps, spark.table(name), depth, words, percent), "ngram-links")
         found = links if found is None else found.union(links)
         reached = smallest_reachable(found)
-        comps = (
-            wanted.select(F.col("r_id").alias("node"))
-            .distinct()
-            .join(reached, "node", "left")
-            .select("node", F.coalesce("comp", "node").alias("comp"))
+        nodes = wanted.select(F.col("rep").alias("node")).distinct()
+        comps = saved(
+            nodes.join(reached, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")),
+            "ngram-components",
         )
+    spark.sql(f"DROP TABLE {name}")
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("class").alias("c_class"),
         F.col("s2").alias("c_s2"),
         F.col("n").alias("c_n"),
         F.coalesce("comp", "rep").alias("comp"),
     )
+    named = saved(named, "ngram-named")
     same = (F.col("s1") == F.col("c_class")) & (F.col("s2") == F.col("c_s2")) & (F.col("n") == F.col("c_n"))
     return rows.join(named, same, "left").select(
         "doc_id",
@@ -285,11 +498,31 @@ def link_components(
     )
 
 
+def _bucketed(sources: DataFrame, wanted: DataFrame, parts: int) -> str:
+    """The representatives' sources as a table bucketed by class, so that no round shuffles it; its name."""
+    spark = sources.sparkSession
+    path = working_folder(spark, "ngram-sources")
+    name = "ngram_sources_" + path.rpartition("-")[2]
+    keys = wanted.withColumnRenamed("s2", "w_s2")
+    # Both sides are dealt by class alone, so only the class may be a join key; the rest is compared after.
+    same = (F.col("s2").bitwiseXOR(F.col("w_s2")) == 0) & (F.col("doc_id").bitwiseXOR(F.col("rep")) == 0)
+    (
+        sources.repartition(parts, "class")
+        .join(keys.repartition(parts, "w_class"), (F.col("class") == F.col("w_class")) & same)
+        .select("class", "rep", "n", "bits", "packed")
+        .dropDuplicates(["class", "rep"])
+        .write.bucketBy(parts, "class")
+        .option("path", path)
+        .saveAsTable(name)
+    )
+    return name
+
+
 def _round(shared, wanted, comps, sources, depth, words, percent) -> DataFrame:
     """Links from the groups of tokens up to ``depth`` in their classes' order that join two components."""
     members = shared if depth is None else shared.where(F.col("nth") <= depth)
-    labelled = wanted.join(comps, F.col("r_id") == F.col("node")).select(F.col("class").alias("l_class"), "comp")
-    members = members.join(labelled, F.col("class") == F.col("l_class")).select("gid", "class", "comp")
+    labelled = wanted.join(comps, F.col("rep") == F.col("node")).select("w_class", "comp")
+    members = members.join(labelled, F.col("class") == F.col("w_class")).select("gid", "class", "comp")
     # Groups with the same members are opened once: count and two sums of hashes name the members.
     open_groups = (
         members.groupBy("gid")
@@ -315,9 +548,17 @@ def _round(shared, wanted, comps, sources, depth, words, percent) -> DataFrame:
         .withColumn("task", F.explode(tasks))
         .select("task", "comp", F.col("class").alias("m_class"))
     )
+    hopeful_rows = saved(
+        asked.join(sources.select("class", "n", "bits"), F.col("m_class") == F.col("class"))
+        .select("task", "comp", "class", "n", "bits")
+        .repartition("task")
+        .sortWithinPartitions("task", "class")
+        .mapInArrow(_hope(percent), "task long, class long, comp long"),
+        "ngram-hopeful",
+    ).withColumnRenamed("class", "m_class")
     return (
-        asked.join(sources, F.col("m_class") == F.col("class"))
-        .select("task", "comp", "class", "text")
+        hopeful_rows.join(sources.select("class", "packed"), F.col("m_class") == F.col("class"))
+        .select("task", "comp", "class", "packed")
         .repartition("task")
         .sortWithinPartitions("task", "class")
         .mapInArrow(_open(words, percent), "a long, b long")

@@ -51,14 +51,23 @@ class Links:
         return all(self.find(x) == want for x in others) and all(self.find(x) == want for x in members)
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of 64-bit words per set; four bits a token of the largest set, within limits."""
-    most = max(len(s) for s in sets)
-    bits = min(1 << 16, max(256, 1 << (4 * most - 1).bit_length()))
-    out = np.zeros((len(sets), bits), bool)
-    for row, s in zip(out, sets):
-        row[(s & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(out, axis=1).view(np.uint64)
+def width(size: int) -> int:
+    """Bits for a set of ``size``: two to four for each token, within limits."""
+    return min(1 << 16, max(256, 1 << (2 * size - 1).bit_length()))
+
+
+def bitmap(values: np.ndarray) -> bytes:
+    """The low bits of every hash as a position in a bitmap of the set's own width."""
+    bits = width(len(values))
+    out = np.zeros(bits, np.uint8)
+    out[(values & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def folded(bits: bytes, to: int) -> np.ndarray:
+    """A bitmap at a smaller width: halves laid over each other."""
+    words = np.frombuffer(bits, "<u8")
+    return np.bitwise_or.reduce(words.reshape(-1, to // 64), 0)
 
 
 def ones(words: np.ndarray) -> int:
@@ -71,17 +80,12 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def grow(sets: list[np.ndarray]) -> tuple[Node, np.ndarray, list[int]]:
-    maps = bitmaps(sets)
-    lost = [len(s) - ones(m) for s, m in zip(sets, maps)]
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0]) if len(sets[i]) else 0))
+def grow(maps: np.ndarray, sizes: list[int], lost: list[int], order: list[int]) -> Node:
     level = []
     for i in range(0, len(order), LEAF):
         m = order[i : i + LEAF]
-        sizes = [len(sets[x]) for x in m]
-        level.append(
-            Node(np.bitwise_or.reduce(maps[m], 0), min(sizes), max(sizes), max(lost[x] for x in m), m, [])
-        )
+        n = [sizes[x] for x in m]
+        level.append(Node(np.bitwise_or.reduce(maps[m], 0), min(n), max(n), max(lost[x] for x in m), m, []))
     while len(level) > 1:
         above = []
         for i in range(0, len(level), FAN):
@@ -97,49 +101,46 @@ def grow(sets: list[np.ndarray]) -> tuple[Node, np.ndarray, list[int]]:
                 )
             )
         level = above
-    return level[0], maps, lost
+    return level[0]
 
 
-def join(sets: list[np.ndarray], labels: list[int], percent: int = 75) -> list[tuple[int, int]]:
-    """Links between positions of ``sets`` that connect all that similarity connects.
+def traverse(maps: np.ndarray, sizes: list[int], percent: int, settled, pair) -> None:
+    """Call ``pair`` for the pairs of members whose bounds allow the similarity.
 
-    Sets with equal labels count as linked already. A pair is compared unless a bound rules
-    it out or both are in one component by then.
+    ``settled(a, b)`` tells of two lists of members that no pair between them matters any more.
     """
-    links = Links(labels)
-    if len(sets) < 2:
-        return []
-    root, maps, lost = grow(sets)
+    lost = [n - ones(m) for n, m in zip(sizes, maps)]
 
-    def may(least_a, most_a, lost_a, bits_a, least_b, most_b, lost_b, bits_b) -> bool:
-        if 100 * most_a < percent * least_b or 100 * most_b < percent * least_a:
+    def may(x, y) -> bool:
+        if 100 * x.most < percent * y.least or 100 * y.most < percent * x.least:
             return False
-        most_common = min(ones(bits_a & bits_b) + min(lost_a, lost_b), most_a, most_b)
-        return (100 + percent) * most_common >= percent * (least_a + least_b)
-
-    def pair(a: int, b: int) -> None:
-        if links.find(a) == links.find(b):
-            return
-        m, n = len(sets[a]), len(sets[b])
-        if may(m, m, lost[a], maps[a], n, n, lost[b], maps[b]) and similar(sets[a], sets[b], percent):
-            links.add(a, b)
+        common = min(ones(x.bits & y.bits) + min(x.lost, y.lost), x.most, y.most)
+        return (100 + percent) * common >= percent * (x.least + y.least)
+
+    def leaf(members: list[int], others: list[int]) -> None:
+        """All pairs of two leaves, or of one with itself, by their own bounds."""
+        a, b = np.array(members), np.array(others)
+        n, k = np.array(sizes), np.array(lost)
+        common = np.bitwise_count(maps[a][:, None] & maps[b][None]).sum(2, dtype=np.int64)
+        common = np.minimum(common + np.minimum(k[a][:, None], k[b][None]), np.minimum(n[a][:, None], n[b][None]))
+        d = n[a][:, None] + n[b][None]
+        for i, j in zip(*np.nonzero((100 + percent) * common >= percent * d)):
+            x, y = members[i], others[j]
+            if members is not others or i < j:
+                pair(x, y)
 
     def cross(x: Node, y: Node) -> None:
         todo = [(x, y)]
         while todo:
             x, y = todo.pop()
-            if links.one(x.members, y.members):
-                continue
-            if not may(x.least, x.most, x.lost, x.bits, y.least, y.most, y.lost, y.bits):
+            if settled(x.members, y.members) or not may(x, y):
                 continue
             if x.children and (len(x.members) >= len(y.members) or not y.children):
                 todo += [(c, y) for c in x.children]
             elif y.children:
                 todo += [(x, c) for c in y.children]
             else:
-                for a in x.members:
-                    for b in y.members:
-                        pair(a, b)
+                leaf(x.members, y.members)
 
     def own(node: Node) -> None:
         for c in node.children:
@@ -147,10 +148,67 @@ def join(sets: list[np.ndarray], labels: list[int], percent: int = 75) -> list[t
         for i, c in enumerate(node.children):
             for d in node.children[:i]:
                 cross(d, c)
-        if not node.children:
-            for i, a in enumerate(node.members):
-                for b in node.members[:i]:
-                    pair(b, a)
+        if not node.children and not settled(node.members, node.members):
+            leaf(node.members, node.members)
+
+    own(grow(maps, sizes, lost, sorted(range(len(sizes)), key=sizes.__getitem__)))
+
+
+def by_width(sizes: list[int]):
+    """Members in classes of bitmap width, each with the class of the next width: others are too unlike in size."""
+    classes: dict[int, list[int]] = {}
+    for i, n in enumerate(sizes):
+        classes.setdefault(width(n), []).append(i)
+    for w in sorted(classes):
+        yield w, classes[w], classes.get(2 * w, [])
 
-    own(root)
+
+def hopeful(maps: list[bytes], sizes: list[int], labels: list[int], percent: int = 75) -> list[int]:
+    """Members that may be similar to one with another label, as far as bitmaps and sizes tell."""
+    found: set[int] = set()
+    for w, same, next_ in by_width(sizes):
+        members = same + next_
+        if len(members) < 2:
+            continue
+        at = [labels[m] for m in members]
+
+        def settled(a: list[int], b: list[int], at=at, members=members) -> bool:
+            if all(members[x] in found for x in a) and all(members[x] in found for x in b):
+                return True
+            first = at[a[0]]
+            return all(at[x] == first for x in a) and all(at[x] == first for x in b)
+
+        def pair(a: int, b: int, at=at, members=members) -> None:
+            if at[a] != at[b]:
+                found.update((members[a], members[b]))
+
+        wide = np.stack([folded(maps[m], w) for m in members])
+        traverse(wide, [sizes[m] for m in members], percent, settled, pair)
+    return sorted(found)
+
+
+def join(sets: list[np.ndarray], labels: list[int], percent: int = 75) -> list[tuple[int, int]]:
+    """Links between positions of ``sets`` that connect all that similarity connects.
+
+    Sets with equal labels count as linked already. A pair is compared unless a bound rules
+    it out or both are in one component by then.
+    """
+    links = Links(labels)
+    sizes = [len(s) for s in sets]
+    maps = [bitmap(s) for s in sets]
+    for w, same, next_ in by_width(sizes):
+        members = same + next_
+        if len(members) < 2:
+            continue
+
+        def settled(a: list[int], b: list[int], members=members) -> bool:
+            return links.one([members[x] for x in a], [members[x] for x in b])
+
+        def pair(a: int, b: int, members=members) -> None:
+            a, b = members[a], members[b]
+            if links.find(a) != links.find(b) and similar(sets[a], sets[b], percent):
+                links.add(a, b)
+
+        wide = np.stack([folded(maps[m], w) for m in members])
+        traverse(wide, [sizes[m] for m in members], percent, settled, pair)
     return links.made

@@ -42,16 +42,29 @@ def test_tree_connects_what_similarity_connects():
         assert [find(x) for x in range(len(sets))] == [found(x) for x in range(len(sets))]
 
 
+def test_members_without_a_partner_are_left_out():
+    rng = random.Random(5)
+    for _ in range(300):
+        rows = sorted((rng.randint(0, 3), n := rng.randint(1, 60), n - rng.randint(0, n // 4)) for _ in range(rng.randint(1, 30)))
+        k, n, rest = (np.array(x, np.int64) for x in zip(*rows))
+        want = [
+            any(i != j and k[i] == k[j] and 175 * min(rest[i], rest[j]) >= 75 * (n[i] + n[j]) for j in range(len(k)))
+            for i in range(len(k))
+        ]
+        assert ngram_join.satisfiable(k, n, rest, 75).tolist() == want
+
+
 def test_equals_brute_force(spark):
     rows = corpus() + AWKWARD
     got = by_id(ngram_join.link_components(table(spark)), "n_shingles", "component_id")
     assert got == brute.linked_components([r[:2] for r in rows])
 
 
-@pytest.mark.parametrize("block", [3, 4096])
-def test_chain_and_large_group(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, local", [(3, 0), (4096, 1 << 20)])
+def test_chain_and_large_group(spark, monkeypatch, block, local):
     """Near copies of one text, a chain of ever further texts, and blocks of a few."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "LOCAL_LINKS", local)
     rng = random.Random(9)
     base = prose(rng, 120).split(" ")
     rows = []
