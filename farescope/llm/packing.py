@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 2048
 END_ID = 1
-BATCH_TOKENS = 4_000_000
-CACHED_WORDS = 1_000_000
+BATCH_TOKENS = 2_000_000
+CACHED_WORDS = 300_000
 SLICE_BYTES = 1 << 20
 TOKENIZER = "word_bpe_49k.json"
 
@@ -216,6 +216,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what a worker's earlier tasks have left
         encoder = encoder_for(tokenizer or tokenizer_path())
         end = np.asarray([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 32
@@ -247,6 +248,7 @@ def pack(
                     if held >= batch_tokens:
                         yield emit(ids, blobs)
                         ids, blobs, held = [], [], 0
+                        pa.default_memory_pool().release_unused()
         if ids:
             yield emit(ids, blobs)
 
