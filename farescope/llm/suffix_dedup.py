@@ -16,8 +16,11 @@ smaller id, or earlier in the same one.
    written one after another as 64-bit words, aligned to their anchors, and sorted as one suffix
    array (``suffix_array``). Suffixes that agree for long enough hold the same string; the earliest
    stays and the others go.
+4. Where more than ``GROUP_PIECES`` pieces would meet (a passage that many documents hold, followed by
+   text of their own), their strings are grouped by Spark instead: the earliest of equal strings is found
+   with map-side combining, and a join that can be split finds the others.
 
-Hashes are 64 bits wide, and what goes in step 2 relies on them; step 3 compares bytes.
+Hashes are 64 bits wide, and what goes in step 2 relies on them; steps 3 and 4 compare bytes.
 
 Defined cases: NULL text is empty; texts under ``WIDTH`` bytes lose nothing; a NULL id is taken as
 no document: it loses nothing and repeats nothing; rows with one id and one text are the
@@ -27,7 +30,6 @@ own places; an empty table gives an empty result; other columns are not touched.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,10 +47,13 @@ PIECE = 16
 UNIT = 1 << 18
 BUCKETS_PER_TASK = 4
 SORTED_WORDS = 1 << 20
+GROUP_PIECES = 1 << 13
+HELD_STRINGS = 1 << 16
 
 DEALT = "bucket int, doc long, h binary, c binary, docs binary, starts binary, n binary, off binary"
 MET = "doc long, start long, n long, off int, h long, ask boolean"
 CUT = "key long, doc long, start long, n long, lead int, piece binary"
+STRINGS = "string binary, doc long, start long"
 GONE = "doc long, start long, n long"
 REMOVED = "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
@@ -351,21 +356,6 @@ def _sorted(width: int):
                 gone.append((*later, n))
         return [(*v, *k) for k, v in best.items()], gone
 
-    def parts(group) -> Iterator[list]:
-        """A group as it is, or, if it is too large for one array, its strings dealt by their hashes."""
-        total = sum(len(x[4]) for x in group) // 8
-        if total <= SORTED_WORDS:
-            yield group
-            return
-        count = 2 * width * sum(x[2] for x in group) // 8 // SORTED_WORDS + 1
-        dealt: list[list] = [[] for _ in range(count)]
-        for doc, start, n, lead, piece in group:
-            for i in range(n):
-                string = piece[i : i + width]
-                part = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest()) % count
-                dealt[part].append((doc, start + i, 1, lead - i, string))
-        yield from dealt
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list = []
         held = 0
@@ -383,11 +373,10 @@ def _sorted(width: int):
             yield from emit(gone)
             if len(left) < 2:
                 return
-            for part in parts(left):
-                waiting += part
-                held += sum(len(x[4]) + 8 for x in part) // 8
-                if held >= SORTED_WORDS:
-                    yield from sort()
+            waiting += left
+            held += sum(len(x[4]) + 8 for x in left) // 8
+            if held >= SORTED_WORDS:
+                yield from sort()
 
         def sort() -> Iterator[pa.RecordBatch]:
             nonlocal waiting, held
@@ -410,6 +399,64 @@ def _sorted(width: int):
     return run
 
 
+def _strings(width: int):
+    """The strings of pieces, one of equal ones among ``HELD_STRINGS``; for the others, which go, no string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, tuple[int, int]] = {}
+        gone: list[tuple[int, int]] = []
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            places = [*best.values(), *gone]
+            if places:
+                doc, start = zip(*places)
+                yield pa.record_batch(
+                    [
+                        pa.array([*best, *[None] * len(gone)], pa.binary()),
+                        pa.array(doc, pa.int64()),
+                        pa.array(start, pa.int64()),
+                    ],
+                    names=["string", "doc", "start"],
+                )
+            best.clear()
+            gone.clear()
+
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in ("doc", "start", "n", "piece")]
+            for doc, start, n, piece in zip(*columns):
+                for i in range(n):
+                    string, place = piece[i : i + width], (doc, start + i)
+                    other = best.setdefault(string, place)
+                    if other != place:
+                        best[string] = min(other, place)
+                        gone.append(max(other, place))
+                if len(best) + len(gone) >= HELD_STRINGS:
+                    yield from emit()
+        yield from emit()
+
+    return run
+
+
+def _grouped(pieces: DataFrame, width: int) -> DataFrame:
+    """(doc, start, n) of the strings that go, from pieces of keys of any size."""
+    strings = saved(
+        pieces.select("doc", "start", "n", "piece").mapInArrow(_strings(width), STRINGS), "suffix-strings"
+    )
+    alike = strings.where("string is not null")
+    # Read back, the repeated strings are shuffled for the join as all strings are, so a hot one can be split.
+    repeated = saved(
+        alike.groupBy("string")
+        .agg(F.count("*").alias("times"), F.min(F.struct("doc", "start")).alias("first"))
+        .where("times > 1")
+        .select("string", "first"),
+        "suffix-repeated",
+    )
+    later = alike.join(repeated, "string").where(F.struct("doc", "start") != F.col("first"))
+    return strings.where("string is null").select("doc", "start").union(later.select("doc", "start")).withColumn(
+        "n", F.lit(1).cast("long")
+    )
+
+
 def _remove(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -477,11 +524,17 @@ def remove_repeats(
     )
     asked = met.where("ask").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "off", "h")).alias("asked"))
     cut = saved(known.dropDuplicates(["doc"]).join(asked, "doc").mapInArrow(_cut(width), CUT), "suffix-cut")
+    pieces = cut.where("key is not null")
+    large = saved(
+        pieces.groupBy("key").agg(F.count("*").alias("pieces")).where(F.col("pieces") > GROUP_PIECES).select("key"),
+        "suffix-large",
+    )
     found = (
-        cut.where("key is not null")
+        pieces.join(large, "key", "left_anti")
         .repartition(buckets, "key")
         .sortWithinPartitions("key")
         .mapInArrow(_sorted(width), GONE)
+        .union(_grouped(pieces.join(large, "key", "left_semi"), width))
     )
     gone = (
         met.where("not ask")

@@ -57,6 +57,42 @@ def test_pieces_that_differ_are_sorted(spark, monkeypatch):
     assert got == {k: [v] for k, v in brute.repeated_bytes([r[:2] for r in rows]).items()}
 
 
+def test_large_groups_are_not_gathered(spark, monkeypatch):
+    """A passage that all documents hold, between texts of their own: no task lists the pieces of its edges."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_PIECES", 8, raising=False)
+    monkeypatch.setattr(suffix_dedup, "HELD_STRINGS", 50, raising=False)
+    sort = suffix_dedup._sorted
+
+    def bounded(width):
+        inner = sort(width)
+
+        def run(batches):
+            times = {}
+
+            def counted():
+                for batch in batches:
+                    for key in batch.column("key").to_pylist():
+                        times[key] = times.get(key, 0) + 1
+                        assert times[key] <= 8, "a large group in one task"
+                    yield batch
+
+            yield from inner(counted())
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_sorted", bounded)
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(230))
+    rows = [
+        (i, f"{rng.randint(0, 10**9)}" + rng.choice(("", "and ", "so ")) + passage + rng.choice(("", " next", " page")) + f"{i:03}" * 9, None, None, 0)
+        for i in range(90)
+    ]
+    rows += [(100 + i, t, *rest) for i, (_, t, *rest) in enumerate(rows[:7])]
+    rows += [(500 + i, *r[1:]) for i, r in enumerate(corpus(9, 20))]
+    got = result(suffix_dedup.remove_repeats(table(spark, rows)))
+    assert got == {k: [v] for k, v in brute.repeated_bytes([r[:2] for r in rows]).items()}
+
+
 def test_long_text_is_cut_into_units(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "UNIT", 1 << 9)
     rows = corpus(7, 30)
