@@ -15,6 +15,10 @@ group is opened only while it still joins two components, so the many
 groups that near copies share cost one opening. No round drops a pair that could add
 a link between components: the last one covers every group left.
 
+``link_components`` needs no more than that. ``similar_pairs`` is the whole join: it opens every group and
+keeps every similar pair of classes, and ``count_links`` gives the number of links of each document from
+the pairs and the classes' sizes. Its pairs grow with the square of a group of near copies, as the result does.
+
 Hot groups: tokens are counted over all documents (a count per batch, summed), copies are
 collapsed before tokens are dealt, and a group of more than ``BLOCK`` classes is cut into blocks
 whose pairs go to different tasks.
@@ -47,6 +51,7 @@ from farescope.llm.hashing import (
 )
 from farescope.llm.signature_tree import bitmap, hopeful
 from farescope.llm.signature_tree import join as tree_join
+from farescope.llm.signature_tree import pairs as tree_pairs
 from farescope.plans.session import working_folder
 
 WORDS = 5
@@ -320,8 +325,8 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(v, pa.int64()) for v in zip(*out)], names=["task", "class", "comp"])
 
 
-def _open(words: int, percent: int):
-    """Links between components, from texts in order of their task."""
+def _open(words: int, percent: int, every: bool):
+    """Links between components, or, if ``every``, between all members, from texts in order of their task."""
 
     def sets(texts: list[bytes]) -> list[np.ndarray]:
         return list(shingle_sets(pa.array([zlib.decompress(t) for t in texts], pa.binary()), words))
@@ -331,7 +336,8 @@ def _open(words: int, percent: int):
             comps = [r[0] for r in rows]
             if len(set(comps)) < 2:
                 continue
-            made = tree_join(sets([r[1] for r in rows]), comps, percent)
+            held = sets([r[1] for r in rows])
+            made = tree_pairs(held, percent) if every else tree_join(held, comps, percent)
             if made:
                 yield pa.record_batch(
                     [pa.array([comps[p[i]] for p in made], pa.int64()) for i in (0, 1)], names=["a", "b"]
@@ -410,15 +416,8 @@ def commonest(common: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens.astype(np.uint64)[order], rank[order]
 
 
-def link_components(
-    docs: DataFrame,
-    *,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    words: int = WORDS,
-    percent: int = PERCENT,
-) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def _prepared(docs: DataFrame, doc_id: str, text: str, words: int, percent: int):
+    """Signed rows, classes, groups of classes by token, the classes that may have links, and their table's name."""
     spark = docs.sparkSession
     texts = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")
@@ -471,10 +470,25 @@ def link_components(
     parts = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sifted = spark.sparkContext.broadcast(sieve(wanted))
     name = _bucketed(known.mapInArrow(_sources(words, sifted), SOURCES), wanted, parts)
+    return rows, classes, shared, wanted, name
+
+
+def link_components(
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    words: int = WORDS,
+    percent: int = PERCENT,
+) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    spark = docs.sparkSession
+    rows, classes, shared, wanted, name = _prepared(docs, doc_id, text, words, percent)
     comps = wanted.select(F.col("rep").alias("node"), F.col("rep").alias("comp")).distinct()
     found = None
     for depth in ROUNDS:
-        links = saved(_round(shared, wanted, comps, spark.table(name), depth, words, percent), "ngram-links")
+        labelled = wanted.join(comps, F.col("rep") == F.col("node")).select("w_class", "comp")
+        links = saved(_round(shared, labelled, spark.table(name), depth, words, percent), "ngram-links")
         found = links if found is None else found.union(links)
         reached = smallest_reachable(found)
         nodes = wanted.select(F.col("rep").alias("node")).distinct()
@@ -498,6 +512,66 @@ def link_components(
     )
 
 
+def _class_pairs(shared, wanted, name, words, percent) -> DataFrame:
+    """a, b: the classes of every similar pair, once, the smaller name first."""
+    spark = shared.sparkSession
+    labelled = wanted.select("w_class", F.col("w_class").alias("comp")).distinct()
+    found = _round(shared, labelled, spark.table(name), None, words, percent, every=True)
+    found = saved(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-pairs")
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
+def similar_pairs(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """a_id, b_id: every similar pair of different sets, once, each named by the smallest id that has it."""
+    _, classes, shared, wanted, name = _prepared(docs, doc_id, text, words, percent)
+    found = _class_pairs(shared, wanted, name, words, percent)
+    one, two = (classes.select(F.col("class").alias(k), F.col("rep").alias(f"{k}_rep")) for k in "ab")
+    return (
+        found.join(one, "a")
+        .join(two, "b")
+        .select(F.least("a_rep", "b_rep").alias("a_id"), F.greatest("a_rep", "b_rep").alias("b_id"))
+    )
+
+
+def count_links(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """doc_id, n_shingles and n_links of every row: how many other documents have an equal or a similar set.
+
+    Copies are counted by the sizes of their classes. An id with several texts counts once for each.
+    """
+    rows, _, shared, wanted, name = _prepared(docs, doc_id, text, words, percent)
+    found = _class_pairs(shared, wanted, name, words, percent)
+    known = rows.where("n > 0 and doc_id is not null")
+    sizes = saved(
+        known.distinct().groupBy(F.col("s1").alias("class"), "s2", "n").agg(F.count("*").alias("size")), "ngram-sizes"
+    )
+    both = found.union(found.select("b", "a"))
+    others = (
+        both.join(sizes.select(F.col("class").alias("b"), "size"), "b")
+        .groupBy(F.col("a").alias("class"))
+        .agg(F.sum("size").alias("others"))
+    )
+    named = saved(
+        sizes.join(others, "class", "left").select(
+            F.col("class").alias("c_class"),
+            F.col("s2").alias("c_s2"),
+            F.col("n").alias("c_n"),
+            (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"),
+        ),
+        "ngram-link-counts",
+    )
+    same = (F.col("s1") == F.col("c_class")) & (F.col("s2") == F.col("c_s2")) & (F.col("n") == F.col("c_n"))
+    return rows.join(named, same, "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"),
+    )
+
+
 def _bucketed(sources: DataFrame, wanted: DataFrame, parts: int) -> str:
     """The representatives' sources as a table bucketed by class, so that no round shuffles it; its name."""
     spark = sources.sparkSession
@@ -518,10 +592,12 @@ def _bucketed(sources: DataFrame, wanted: DataFrame, parts: int) -> str:
     return name
 
 
-def _round(shared, wanted, comps, sources, depth, words, percent) -> DataFrame:
-    """Links from the groups of tokens up to ``depth`` in their classes' order that join two components."""
+def _round(shared, labelled, sources, depth, words, percent, every=False) -> DataFrame:
+    """Links from the groups of tokens up to ``depth`` in their classes' order that join two components.
+
+    With ``every``, all links of groups whose classes have labels of their own; a link may come more than once.
+    """
     members = shared if depth is None else shared.where(F.col("nth") <= depth)
-    labelled = wanted.join(comps, F.col("rep") == F.col("node")).select("w_class", "comp")
     members = members.join(labelled, F.col("class") == F.col("w_class")).select("gid", "class", "comp")
     # Groups with the same members are opened once: count and two sums of hashes name the members.
     open_groups = (
@@ -561,7 +637,7 @@ def _round(shared, wanted, comps, sources, depth, words, percent) -> DataFrame:
         .select("task", "comp", "class", "packed")
         .repartition("task")
         .sortWithinPartitions("task", "class")
-        .mapInArrow(_open(words, percent), "a long, b long")
+        .mapInArrow(_open(words, percent, every), "a long, b long")
     )
 
 

@@ -42,6 +42,14 @@ SELECT z.doc_id, z.n::BIGINT AS n_shingles, coalesce(l.comp, z.doc_id) AS compon
 FROM sized z LEFT JOIN one o ON z.n = o.n AND z.m = o.m LEFT JOIN lowest l ON l.node = o.rep
 """
 
+# The same links, counted: copies by the sizes of their classes.
+OP3_LINKS = OP3.partition(", edges AS")[0] + """, classes AS (SELECT n, m, min(doc_id) AS rep, count(*) AS size FROM sized WHERE n > 0 GROUP BY n, m),
+ends AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+others AS (SELECT e.a AS rep, sum(c.size) AS n FROM ends e JOIN classes c ON c.rep = e.b GROUP BY e.a)
+SELECT z.doc_id, z.n::BIGINT AS n_shingles, coalesce(c.size - 1 + coalesce(o.n, 0), 0)::BIGINT AS n_links
+FROM sized z LEFT JOIN classes c ON z.n = c.n AND z.m = c.m LEFT JOIN others o ON o.rep = c.rep
+"""
+
 
 def _rule(k: int, pattern: str, group: int, least: int, kind: str) -> str:
     p = "'" + pattern.replace("'", "''") + "'"
@@ -194,6 +202,7 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 10
 
 ORACLE_SQL = {
     "op3_signature_tree_join": OP3,
+    "op3_link_counts": OP3_LINKS,
     "op4_secret_ledger": OP4,
     "op5_pareto_mix": OP5,
     "op7_line_dedup": OP7,

@@ -37,6 +37,10 @@ def op3_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(read_table(spark, sf_dir, "documents"))
 
 
+def op3_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.count_links(read_table(spark, sf_dir, "documents"))
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_ledger.find_secrets(read_table(spark, sf_dir, "documents"))
 
@@ -92,6 +96,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_lexicon_toxicity": op2_lexicon_toxicity,
     "op3_signature_tree_join": op3_signature_tree_join,
+    "op3_link_counts": op3_link_counts,
     "op4_secret_ledger": op4_secret_ledger,
     "op5_pareto_mix": op5_pareto_mix,
     "op6_bin_slack_packing": op6_bin_slack_packing,

@@ -212,3 +212,23 @@ def join(sets: list[np.ndarray], labels: list[int], percent: int = 75) -> list[t
         wide = np.stack([folded(maps[m], w) for m in members])
         traverse(wide, [sizes[m] for m in members], percent, settled, pair)
     return links.made
+
+
+def pairs(sets: list[np.ndarray], percent: int = 75) -> list[tuple[int, int]]:
+    """Every similar pair of positions of ``sets``, the smaller first, whatever else links the two."""
+    sizes = [len(s) for s in sets]
+    maps = [bitmap(s) for s in sets]
+    found: set[tuple[int, int]] = set()
+    for w, same, next_ in by_width(sizes):
+        members = same + next_
+        if len(members) < 2:
+            continue
+
+        def pair(a: int, b: int, members=members) -> None:
+            name = min(members[a], members[b]), max(members[a], members[b])
+            if name not in found and similar(sets[name[0]], sets[name[1]], percent):
+                found.add(name)
+
+        wide = np.stack([folded(maps[m], w) for m in members])
+        traverse(wide, [sizes[m] for m in members], percent, lambda a, b: False, pair)
+    return sorted(found)

@@ -3,7 +3,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from helpers import AWKWARD, SCHEMA, by_id, corpus, prose, table
+from helpers import AWKWARD, SCHEMA, by_id, corpus, many, prose, table
 
 from farescope.llm import ngram_join
 from farescope.llm.signature_tree import join
@@ -80,6 +80,42 @@ def test_chain_and_large_group(spark, monkeypatch, block, local):
     assert got == brute.linked_components([r[:2] for r in rows])
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_every_link_is_found(spark, monkeypatch, block):
+    """Near copies that are one component after a few links: their other links are found and counted, too."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(10)
+    base = prose(rng, 120).split(" ")
+    rows = corpus() + AWKWARD + [(None, " ".join(base), None, None, 0)]
+    for i in range(2000, 2018):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"x{i}"
+        rows.append((i, " ".join(w), None, None, 0))
+    rows += [(3000 + i, rows[-1][1], None, None, 0) for i in range(3)] + [(3000, rows[-1][1], None, None, 0)]
+    rows.append((3001, rows[-8][1], None, None, 0))  # an id with two texts
+    known = sorted({(r[0], r[1]) for r in rows if r[0] is not None}, key=repr)
+    sets = [(d, brute.shingles(t)) for d, t in known]
+
+    def similar(x, y):
+        return bool(x) and 100 * len(x & y) >= 75 * len(x | y)
+
+    reps = {}
+    for d, x in sets:
+        reps[x] = min(d, reps.get(x, d))
+    pairs = sorted(
+        tuple(sorted((reps[x], reps[y]))) for x in reps for y in reps if repr(sorted(x)) < repr(sorted(y)) and similar(x, y)
+    )
+    found = ngram_join.similar_pairs(table(spark, rows)).collect()
+    assert sorted((r["a_id"], r["b_id"]) for r in found) == pairs
+    assert len(pairs) > 100
+    counts = many(ngram_join.count_links(table(spark, rows)), "doc_id", "n_shingles", "n_links")
+    want = [
+        (r[0], len(x := brute.shingles(r[1])), 0 if r[0] is None else max(0, sum(similar(x, y) for _, y in sets) - 1))
+        for r in rows
+    ]
+    assert counts == sorted(want, key=repr)
+
+
 def test_one_of_each_keeps_all_columns(spark):
     rows = corpus() + AWKWARD + [(None, "no id at all", None, None, 0)]
     docs = table(spark, rows)
@@ -91,3 +127,8 @@ def test_one_of_each_keeps_all_columns(spark):
 
 def test_empty(spark):
     assert ngram_join.link_components(table(spark, [], SCHEMA)).collect() == []
+
+
+def test_no_links_of_nothing(spark):
+    assert ngram_join.similar_pairs(table(spark, [], SCHEMA)).collect() == []
+    assert ngram_join.count_links(table(spark, [], SCHEMA)).collect() == []
