@@ -1,9 +1,9 @@
 """Language identification, words first, with backoff to shorter character n-grams.
 
 Learning, from a bounded sample of rows with a language (``LEARN_ROWS``, chosen by a hash
-of the id): counts of words and of character n-grams of words, per language. The
-``KNOWN_WORDS`` commonest words and ``KNOWN_GRAMS`` commonest n-grams are kept, as logarithms of
-smoothed frequencies.
+of the id, with equal shares for the languages; one that has fewer rows gives all): counts of words and
+of character n-grams of words, per language. The ``KNOWN_WORDS`` commonest words and ``KNOWN_GRAMS``
+commonest n-grams of each language are kept, as logarithms of smoothed frequencies.
 
 Scoring: a known word adds its log frequency in every language. An unseen word backs
 off: the longest n-grams that are known score it, else shorter ones, down to single
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from farescope.llm.common import holds_out, saved
@@ -127,6 +127,15 @@ class Model:
         return self.langs[best], float(shares[best] / shares.sum())
 
 
+def shares(counts: dict[str, int], rows: int) -> dict[str, float]:
+    """The part of each language's rows to take for about ``rows`` in all: equal numbers, or all a language has."""
+    out, left = {}, rows
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: x[1])):
+        take = min(n, max(1, left // (len(counts) - k)))
+        out[lang], left = take / n, left - take
+    return out
+
+
 def learn(
     docs: DataFrame,
     *,
@@ -138,33 +147,40 @@ def learn(
     held_out: int = HELD_OUT,
 ) -> Model | None:
     """The model of rows outside the held-out fold; None if there are none."""
-    fit = docs.where(F.col(lang).isNotNull() & ~holds_out(F.col(doc_id), folds, held_out))
-    n = fit.count()
-    if not n:
+    fit = docs.where(
+        F.col(lang).isNotNull() & F.col(text).isNotNull() & ~holds_out(F.col(doc_id), folds, held_out)
+    ).select(F.col(doc_id).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    counts = {r["lang"]: r["n"] for r in fit.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return None
-    # A place in hash order decides which rows are in the sample; about ``rows`` are.
-    place = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("language")), F.lit(1 << 30))
-    sample = fit.where((place < int(min(1.0, rows / n) * (1 << 30))) & F.col(text).isNotNull())
+    # A place in hash order decides which rows are in the sample.
+    place = F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1 << 30))
+    limits = [(k, int(v * (1 << 30))) for k, v in shares(counts, rows).items()]
+    limit = saved(docs.sparkSession.createDataFrame(limits, "l_lang string, l_limit long"), "language-shares")
+    sample = fit.join(limit, F.col("lang") == F.col("l_lang")).where(place < F.col("l_limit"))
     counted = saved(
-        sample.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+        sample.select("text", "lang")
         .mapInArrow(_counts, "lang string, n int, unit string, times long")
         .groupBy("lang", "n", "unit")
         .agg(F.sum("times").alias("times")),
         "language-counts",
     )
-    totals = counted.groupBy("n", "unit").agg(F.sum("times").alias("total"))
-    kept = totals.where("n = 0").orderBy(F.col("total").desc(), "unit").limit(KNOWN_WORDS).union(
-        totals.where("n > 0").orderBy(F.col("total").desc(), "n", "unit").limit(KNOWN_GRAMS)
-    )
-    found = counted.join(F.broadcast(kept.select("n", "unit")), ["n", "unit"])
-    rows_ = [(r.lang, r.n, r.unit, r.times) for r in found.orderBy("n", "unit", "lang").collect()]
+    kind = F.col("n") > 0
+    nth = F.row_number().over(Window.partitionBy("lang", kind).orderBy(F.col("times").desc(), "n", "unit"))
+    most = F.when(kind, F.lit(KNOWN_GRAMS)).otherwise(F.lit(KNOWN_WORDS))
+    kept = counted.withColumn("nth", nth).where(F.col("nth") <= F.lit(max(KNOWN_WORDS, KNOWN_GRAMS)))
+    kept = kept.where(F.col("nth") <= most).select("n", "unit").distinct()
+    found = counted.join(kept, ["n", "unit"])
+    # As Arrow columns: a list of Row objects would be several times as large.
+    columns = found.select("lang", "n", "unit", "times").orderBy("n", "unit", "lang").toArrow()
+    rows_ = list(zip(*(c.to_pylist() for c in columns.columns)))
     return Model(sorted({r[0] for r in rows_}), rows_) if rows_ else None
 
 
 def identify(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the kept words and n-grams
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the kept words and n-grams of each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value

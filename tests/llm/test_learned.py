@@ -140,6 +140,27 @@ def test_unseen_words_back_off(spark):
     assert model.predict("kikokikoka okiakko")[0] == "zz"
 
 
+def test_rare_language_keeps_its_words(spark, monkeypatch):
+    """A language with nearly all rows and many words takes neither the sample nor the limits from a rare one."""
+    monkeypatch.setattr(language, "KNOWN_WORDS", 40)
+    monkeypatch.setattr(language, "KNOWN_GRAMS", 60)
+    rng = random.Random(12)
+    hot = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80)]
+    rare = ["qoro", "quri", "quqo", "rorqu"]
+    rows = [(i, " ".join(rng.choices(hot, k=60)), "hot", None, 0) for i in range(1500)]
+    rows += [(5000 + i, " ".join(rng.choices(rare, k=8)), "rare", None, 0) for i in range(8)]
+    model = language.learn(table(spark, rows), rows=100)
+    assert model.langs == ["hot", "rare"]
+    assert {(0, w) for w in rare} <= set(model.units)
+    assert model.predict("qoro quri rorqu")[0] == "rare" and model.predict(" ".join(hot[:9]))[0] == "hot"
+
+
+def test_shares_are_equal_or_all():
+    got = language.shares({"a": 10, "b": 1_000_000, "c": 400}, 1000)
+    assert got["a"] == 1 and got["c"] == 1 and round(got["b"] * 1_000_000) == 590
+    assert language.shares({"a": 3}, 1000) == {"a": 1}
+
+
 def test_language_without_teachers(spark):
     docs = table(spark, [(1, "some text", None, None, 0), (1, "some text", None, None, 0)])
     assert language.learn(docs) is None
