@@ -473,6 +473,16 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, words: int, percent: int)
     return rows, classes, shared, wanted, name
 
 
+def _same_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: links between the representatives of the classes in which one id stands."""
+    known = rows.where("n > 0 and doc_id is not null")
+    several = known.groupBy("doc_id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low < high")
+    named = classes.withColumnRenamed("class", "s1")
+    held = known.join(several.select("doc_id"), "doc_id").join(named, ["s1", "s2", "n"]).select("doc_id", "rep").distinct()
+    first = held.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return held.join(first, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
+
+
 def link_components(
     docs: DataFrame,
     *,
@@ -484,14 +494,14 @@ def link_components(
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
     rows, classes, shared, wanted, name = _prepared(docs, doc_id, text, words, percent)
-    comps = wanted.select(F.col("rep").alias("node"), F.col("rep").alias("comp")).distinct()
-    found = None
+    found = saved(_same_ids(rows, classes), "ngram-same-ids")
+    nodes = wanted.select(F.col("rep").alias("node")).union(found.select("a")).union(found.select("b")).distinct()
+    comps = nodes.select("node", F.col("node").alias("comp"))
     for depth in ROUNDS:
         labelled = wanted.join(comps, F.col("rep") == F.col("node")).select("w_class", "comp")
         links = saved(_round(shared, labelled, spark.table(name), depth, words, percent), "ngram-links")
-        found = links if found is None else found.union(links)
+        found = found.union(links)
         reached = smallest_reachable(found)
-        nodes = wanted.select(F.col("rep").alias("node")).distinct()
         comps = saved(
             nodes.join(reached, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")),
             "ngram-components",

@@ -116,6 +116,17 @@ def test_every_link_is_found(spark, monkeypatch, block):
     assert counts == sorted(want, key=repr)
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    """Id 5 holds the text of id 3 and another one, which ids 8 and 9 hold or resemble."""
+    rng = random.Random(13)
+    one, other = prose(rng, 60), prose(rng, 60).split(" ")
+    near = [*other[:-1], "changed"]
+    rows = [(3, one, None, None, 0), (5, one, None, None, 0), (5, " ".join(other), None, None, 0),
+            (8, " ".join(other), None, None, 0), (9, " ".join(near), None, None, 0), (10, prose(rng, 60), None, None, 0)]
+    got = many(ngram_join.link_components(table(spark, rows)), "doc_id", "component_id")
+    assert got == sorted([(3, 3), (5, 3), (5, 3), (8, 3), (9, 3), (10, 10)], key=repr)
+
+
 def test_one_of_each_keeps_all_columns(spark):
     rows = corpus() + AWKWARD + [(None, "no id at all", None, None, 0)]
     docs = table(spark, rows)
