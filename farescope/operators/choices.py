@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farescope.functions import scalars as S
 from farescope.operators.filters import on_date
 from farescope.operators.joins import one_value
+from farescope.operators.latest import number_in_order
 
 # Names by id.
 OPERATOR_NAMES = {191: "Pullman San Andreas", 296: "Pullman Bus TS"}
@@ -48,8 +49,9 @@ def distinct_hours(snaps: DataFrame, by_schedule: bool = True) -> DataFrame:
 
 def listed_hours(snaps: DataFrame) -> DataFrame:
     """Distinct hours per schedule with their place in the list, the largest first."""
-    order = Window.partitionBy("schedule_id").orderBy(F.col("hours_before_departure").desc())
-    return distinct_hours(snaps).withColumn("position", F.row_number().over(order))
+    order = [F.col("hours_before_departure").desc()]
+    listed = number_in_order(distinct_hours(snaps), ["schedule_id"], order, "position", unique=True)
+    return listed.withColumn("position", F.col("position").cast("int"))
 
 
 def schedules_on(snaps: DataFrame, day: str | None = None) -> DataFrame:

@@ -100,3 +100,42 @@ def _counted_before(counts: DataFrame, keys: Sequence[str], levels: int) -> Data
         .join(earlier, [*keys, "_group"])
         .select(*keys, "_block", (F.col("_base") + F.col("_in_group")).alias("_before"))
     )
+
+
+_PLACES = 1 << 33  # rows that monotonically_increasing_id leaves room for in a partition
+
+
+def _written(df: DataFrame, purpose: str) -> DataFrame:
+    path = working_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def number_in_order(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], alias: str, unique: bool = False
+) -> DataFrame:
+    """1-based place of each row under ``order`` within ``keys``; no task sees all rows of a key.
+
+    One sort over keys and order deals the rows into ranges, so a hot key lies in many. A row's
+    place is its distance from the key's first row in the range, plus the key's rows in earlier ranges;
+    those are summed from one row per key and range. Rows that are equal under ``order`` are
+    numbered as they come: they are dealt over ranges too, by a row number written first, so that a
+    task that runs again deals them alike. ``unique`` says that there are none, which saves that table.
+    Without ``keys`` all rows are one list. NULL keys are a key.
+    """
+    if not unique:
+        df = _written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        order = [*order, F.col("_row")]
+    placed = _written(
+        df.orderBy(*keys, *order).withColumn("_place", F.monotonically_increasing_id()), "ordered"
+    ).withColumn("_range", F.floor(F.col("_place") / _PLACES))
+    earlier = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_r"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+        .withColumn("_shift", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1)
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return placed.join(starts, [F.col("_range") == F.col("_r"), *same]).select(
+        *[c for c in df.columns if c != "_row"], (F.col("_place") + F.col("_shift")).alias(alias)
+    )

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farescope.functions import scalars as S
-from farescope.operators.latest import first_per_key, latest_one
+from farescope.operators.latest import first_per_key, latest_one, number_in_order
 from farescope.operators.lookups import HOUR_KEY, SEAT_TIES
 
 
@@ -59,7 +59,7 @@ def price_sum_by_hour(
 def in_display_order(trend: DataFrame, keys: Sequence[str] = ("schedule_id",)) -> DataFrame:
     """``trend`` with each row's place: seat types ascending, hours descending, per ``keys``."""
     order = [F.col("seat_type").asc_nulls_last(), F.col("hours_before_departure").desc_nulls_last()]
-    return trend.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return number_in_order(trend, keys, order, "position").withColumn("position", F.col("position").cast("int"))
 
 
 def price_trend(snaps: DataFrame) -> DataFrame:

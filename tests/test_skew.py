@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from farescope.operators import choices, filters, lookups, rollups, trends
 from farescope.operators.joins import rows_not_in
-from farescope.operators.latest import first_per_key, latest_all, latest_one, number_in_group
+from farescope.operators.latest import first_per_key, latest_all, latest_one, number_in_group, number_in_order
 
 BASE = dt.datetime(2025, 1, 1)
 
@@ -130,6 +130,52 @@ def test_number_in_group_counts_across_blocks(spark):
     assert got == want
 
 
+def test_number_in_order_spreads_a_hot_key_and_ties(spark):
+    rng = random.Random(5)
+    data = [("hot" if i % 2 else rng.choice("abc"), rng.choice((None, 1.5, *map(float, range(60)))), i) for i in range(8000)]
+    data += [(None, 3.0, i) for i in range(9000, 9100)]
+    data += [("hot", 7.0, -1)] * 4000  # rows that are equal in every column
+    df = spark.createDataFrame(data, "k string, v double, i int").repartition(6)
+    order = [F.col("v").desc_nulls_last(), F.col("i")]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = number_in_order(df, ["k"], order, "place")
+        got = sorted((str(r.k), r.place, r.v, r.i) for r in placed.collect())
+        # The ranges that the written table has, and the most rows of one.
+        ranges = placed.inputFiles()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want, at = [], defaultdict(int)
+    for k, v, i in sorted(data, key=lambda r: (str(r[0]), r[1] is None, -(r[1] or 0), r[2])):
+        at[k] += 1
+        want.append((str(k), at[k], v, i))
+    assert sorted(want, key=repr) == sorted(got, key=repr)
+    most = max(spark.read.parquet(f).count() for f in ranges)
+    assert most < len(data) / 3  # "hot" has two thirds, its equal rows a third
+    whole = number_in_order(df, [], [F.col("i")], "place").agg(F.min("place"), F.max("place"), F.countDistinct("place"))
+    assert rows(whole) == [(1, len(data), len(data))]
+    assert number_in_order(df.limit(0), ["k"], order, "place").count() == 0
+
+
+def test_lists_of_a_hot_schedule(history):
+    df, data = history
+    hours = defaultdict(set)
+    for s, _, h, *_ in data:
+        hours[s].add(h)
+    want = {(s, h, i) for s, hs in hours.items() for i, h in enumerate(sorted(hs, reverse=True), 1)}
+    listed = choices.listed_hours(df)
+    assert {(r.schedule_id, r.hours_before_departure, r.position) for r in listed.collect()} == want
+    shown = trends.in_display_order(df.select("schedule_id", "seat_type", "hours_before_departure", "n"))
+    places = defaultdict(list)
+    for r in shown.collect():
+        places[r.schedule_id].append((r.position, r.seat_type, -r.hours_before_departure))
+    for rows_of in places.values():
+        rows_of.sort()
+        assert [p for p, *_ in rows_of] == list(range(1, len(rows_of) + 1))
+        assert [r[1:] for r in rows_of] == sorted(r[1:] for r in rows_of)
+
+
 def test_price_sum_equals_sum_over_seats(spark):
     rng = random.Random(1)
     seat_rows, snap_rows = [], set()
