@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from farescope.llm import fill_middle, importance
 from farescope.llm.mixing import MAX_REPEATS, RANK_BINS, SEED, WEIGHTS
 from farescope.llm.quality import LEAST_ROWS, LEAST_WORDS, MEASURES, REACH, REPEAT_PERCENT
 from farescope.llm.secret_ledger import RULES
@@ -200,6 +201,87 @@ WITH whole AS (
 SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+def _crc_table() -> list[int]:
+    """The CRC-32 of every byte value, by the rule of its polynomial."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [0xEDB88320 ^ (c >> 1) if c & 1 else c >> 1 for c in table]
+    return table
+
+
+def _draw(digest: str, k: int) -> str:
+    return f"('0x' || substr({digest}, {8 * k + 1}, 8))::BIGINT"
+
+
+# CRC-32 of a text's bytes, read from its hex form.
+CRC32 = f"""xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(hex(f)) // 2 + 1),
+    lambda i: ('0x' || substr(hex(f), (2 * i - 1)::INTEGER, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, ({_crc_table()}::BIGINT[])[(xor(c, b) & 255) + 1])))"""
+
+OP11 = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, true AS is_doc, text FROM documents
+  UNION ALL SELECT NULL, NULL, false, text FROM benchmark
+), tokens AS (
+  SELECT r, doc_id, is_doc, regexp_extract_all({lower("coalesce(text, '')")}, '{importance.WORD}') AS w FROM texts
+), listed AS (
+  SELECT r, doc_id, is_doc, len(w) AS words,
+    list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) AS fs FROM tokens
+), held AS (SELECT r, is_doc, unnest(fs) AS f FROM listed),
+dealt AS (SELECT f, ({CRC32}) % {importance.BUCKETS} AS bucket FROM (SELECT DISTINCT f FROM held)),
+counted AS (
+  SELECT bucket, count(*) FILTER (is_doc)::DOUBLE AS s, count(*) FILTER (NOT is_doc)::DOUBLE AS t
+  FROM held JOIN dealt USING (f) GROUP BY bucket
+), gained AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counted) + {importance.BUCKETS})
+    / ((s + 1) * ((SELECT sum(t) FROM counted) + {importance.BUCKETS}))))::BIGINT AS gain FROM counted
+), summed AS (
+  SELECT r, count(*) AS n, sum(gain)::BIGINT AS total FROM held JOIN dealt USING (f) JOIN gained USING (bucket)
+  WHERE is_doc GROUP BY r
+), scored AS (
+  SELECT doc_id, words, coalesce(n, 0) AS n, coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight,
+    {_draw(f"sha256('{importance.SEED}:' || doc_id)", 0)} AS h
+  FROM listed LEFT JOIN summed USING (r) WHERE is_doc
+), final AS (
+  SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM scored
+), placed AS (
+  SELECT *, CASE WHEN words >= {importance.LEAST_WORDS} AND score IS NOT NULL THEN row_number() OVER (
+    PARTITION BY words >= {importance.LEAST_WORDS} AND score IS NOT NULL ORDER BY score DESC, doc_id, weight, n, words) END AS place
+  FROM final
+)
+SELECT doc_id, n AS n_features, weight, score,
+  CASE WHEN place <= {importance.PERCENT} * (SELECT count(place) FROM placed) // 100 THEN place END AS rank
+FROM placed
+"""
+
+_P, _S, _M = fill_middle.PREFIX, fill_middle.SUFFIX, fill_middle.MIDDLE
+
+
+def _joined(units: str) -> str:
+    return f"coalesce(list_aggregate({units}, 'string_agg', ''), '')"
+
+
+OP13 = f"""
+WITH tokens AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('{fill_middle.SEED}:' || doc_id) AS d,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t FROM documents
+), drawn AS (
+  SELECT *, len(t) AS n, {_draw("d", 0)} % (len(t) + 1) AS one, {_draw("d", 1)} % (len(t) + 1) AS two,
+    CASE WHEN text = '' OR d IS NULL OR contains(text, '{_P}') OR contains(text, '{_S}') OR contains(text, '{_M}')
+        OR {_draw("d", 2)} % 100 >= {100 - fill_middle.KEPT_PERCENT} THEN 'plain'
+      WHEN {_draw("d", 3)} % 100 < {fill_middle.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM tokens
+), cut AS (
+  SELECT *, {_joined("t[1:least(one, two)]")} AS p, {_joined("t[least(one, two) + 1:greatest(one, two)]")} AS m,
+    {_joined("t[greatest(one, two) + 1:]")} AS s FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{_P}' || p || '{_S}' || s || '{_M}' || m
+    ELSE '{_S}' || s || '{_P}' || p || '{_M}' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM cut
+"""
+
 ORACLE_SQL = {
     "op3_signature_tree_join": OP3,
     "op3_link_counts": OP3_LINKS,
@@ -208,4 +290,6 @@ ORACLE_SQL = {
     "op7_line_dedup": OP7,
     "op9_adaptive_quality": OP9,
     "op10_histogram_topk": OP10,
+    "op11_importance_resampling": OP11,
+    "op13_fill_middle": OP13,
 }

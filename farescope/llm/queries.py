@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farescope.llm import language, line_dedup, mixing, ngram_join, packing, quality, secret_ledger, suffix_dedup, topk, toxicity
+from farescope.llm import (
+    chunk_bpe, fill_middle, importance, language, line_dedup, mixing, ngram_join, packing, quality, secret_ledger,
+    suffix_dedup, topk, toxicity,
+)
 from farescope.llm.common import read_table
 from farescope.llm.oracles import ORACLE_SQL  # noqa: F401  (registered beside QUERIES)
 
@@ -92,6 +95,34 @@ def op10_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table, F.col("vec_id") % 100 == 0)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (read_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return importance.resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = chunk_bpe.decode(chunk_bpe.encode(read_table(spark, sf_dir, "documents")))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        sha256(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        sha256(F.col("text")).alias("decoded_sha256"),
+    )
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = fill_middle.transform(read_table(spark, sf_dir, "documents"))
+    return moved.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        sha256(F.col("output")).alias("output_sha256"),
+        sha256(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_lexicon_toxicity": op2_lexicon_toxicity,
@@ -104,4 +135,7 @@ QUERIES = {
     "op8_word_backoff_language": op8_word_backoff_language,
     "op9_adaptive_quality": op9_adaptive_quality,
     "op10_histogram_topk": op10_histogram_topk,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_chunk_bpe": op12_chunk_bpe,
+    "op13_fill_middle": op13_fill_middle,
 }
