@@ -29,6 +29,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ DOCS = "doc_id long, k1 long, k2 long, packed binary"
 PIECES = "k1 long, k2 long, doc_id long, start int, size int, h1 long, h2 long"
 CORES = "h1 long, h2 long, core binary"
 IDS = "doc_id long, ids array<int>"
-ROWS_OUT = 256
+ROWS_OUT, TOKENS_OUT = 256, 1 << 19
 # Stated, though no hash is NULL: joins would add these tests to one use of a table and so part it from the other.
 KEYS = "k1 IS NOT NULL AND k2 IS NOT NULL AND h1 IS NOT NULL AND h2 IS NOT NULL"
 
@@ -311,18 +312,39 @@ def encode(
     )
 
 
+def decoder(path: str, skip_special_tokens: bool):
+    """Lists of ids to texts. A tokenizer without a decoder joins its tokens by spaces, which Arrow does for all at once."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    size = tokenizer.get_vocab_size()
+    tokens = pa.array([tokenizer.id_to_token(i) for i in range(size)], pa.string())
+
+    def one_by_one(lists: pa.ListArray) -> pa.Array:
+        texts = (tokenizer.decode(v, skip_special_tokens=skip_special_tokens) for v in lists.to_pylist())
+        return pa.array(texts, pa.string())
+
+    def joined(lists: pa.ListArray) -> pa.Array:
+        ids = lists.flatten()
+        if len(ids) and not 0 <= pc.min(ids).as_py() <= pc.max(ids).as_py() < size:
+            return one_by_one(lists)  # the library passes over ids it does not know
+        ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens.take(ids)), " ")
+
+    return one_by_one if skip_special_tokens or tokenizer.decoder is not None else joined
+
+
 def decode(
     encoded: DataFrame, *, ids: str = "ids", tokenizer: str | None = None, skip_special_tokens: bool = False
 ) -> DataFrame:
     """doc_id, ids, text: the tokenizer's text for the ids of every row; NULL ids count as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back = word_encoder(tokenizer or tokenizer_path()).tokenizer.decode
+        back = decoder(tokenizer or tokenizer_path(), skip_special_tokens)
         for batch in batches:
-            for first in range(0, batch.num_rows, ROWS_OUT):
-                part = batch.slice(first, ROWS_OUT)
-                texts = [back(v, skip_special_tokens=skip_special_tokens) for v in part.column(1).to_pylist()]
-                yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            for first, last in units(batch.column(1).offsets.to_numpy().astype(np.int64), TOKENS_OUT):
+                part = batch.slice(first, last - first)
+                yield pa.record_batch([*part.columns, back(part.column(1))], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", F.coalesce(ids, F.array().cast("array<int>")).alias("ids")).mapInArrow(
         run, f"{IDS}, text string"

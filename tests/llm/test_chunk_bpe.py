@@ -38,6 +38,16 @@ def test_equals_the_library(spark):
     assert many(text, "doc_id", "text") == want
 
 
+def test_decoding_of_any_ids(spark):
+    rng = random.Random(5)
+    lists = [[rng.randrange(49408) for _ in range(rng.randint(0, 50))] for _ in range(600)]
+    lists += [[], [49406, 49407], [5, 49408, 7], [-0, 60_000]]
+    df = spark.createDataFrame(list(enumerate([*lists, None])), "doc_id long, ids array<int>")
+    for skip in (False, True):
+        got = {r.doc_id: r.text for r in chunk_bpe.decode(df, skip_special_tokens=skip).collect()}
+        assert got == {i: LIBRARY.decode(v or [], skip_special_tokens=skip) for i, v in enumerate([*lists, None])}
+
+
 def test_shared_chunks_are_encoded_once(spark):
     """Every chunk that two texts hold has one core, and texts take their shared ids from it."""
     rows = awkward_rows()
