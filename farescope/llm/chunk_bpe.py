@@ -48,13 +48,31 @@ ROWS_OUT, TOKENS_OUT = 256, 1 << 19
 # Stated, though no hash is NULL: joins would add these tests to one use of a table and so part it from the other.
 KEYS = "k1 IS NOT NULL AND k2 IS NOT NULL AND h1 IS NOT NULL AND h2 IS NOT NULL"
 
+class RecentWords(WordEncoder):
+    """Keeps the words of the last two fillings of its map, so that common words outlast the rare ones."""
+
+    old: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if (found := self.old.get(word)) is None:
+            return super().__missing__(word)
+        self[word] = found
+        return found
+
+    def encode(self, text: bytes) -> bytes:
+        if len(self) > self.cached:
+            self.old = dict(self)
+            self.clear()
+        return super().encode(text)
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
 def word_encoder(path: str) -> WordEncoder:
     """The worker's encoder, after a look at whether the tokenizer drops white space."""
     if path not in _encoders:
-        encoder = WordEncoder(path, CACHED_WORDS)
+        encoder = RecentWords(path, CACHED_WORDS)
         one, two, both = (encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a", "b", " a \n b "))
         if one + two != both:
             raise ValueError("the tokenizer keeps white space, so words cannot be encoded on their own")

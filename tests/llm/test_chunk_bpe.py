@@ -99,6 +99,15 @@ def test_joins_that_disagree_are_widened():
     assert chunk_bpe.assemble(b"", [], encode) == b""
 
 
+def test_words_outlast_a_full_map():
+    rng = random.Random(9)
+    words = chunk_bpe.RecentWords(packing.tokenizer_path(), cached=40)
+    for _ in range(300):
+        text = " ".join(rng.choice(("the", "of", f"x{rng.randrange(500)}", f"{rng.choice('abc')}{rng.randrange(90)}!")) for _ in range(12))
+        assert chunk_bpe.np.frombuffer(words.encode(text.encode()), "<u4").tolist() == ids_of(text)
+    assert len(words) <= 40 + 24 and len(words.old) <= 40 + 24
+
+
 def test_core_has_whole_words():
     assert chunk_bpe.core_of(b"ab cd ef gh") == (3, 5, 6, 8)
     assert chunk_bpe.core_of(b"ab cd ef") is None  # one whole word
