@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join partition even when that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A Bloom filter of a load's keys, of a bounded number of bits, is worth its scan against a table far larger.
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "2g",
 }
 
 BYTES_PER_SHUFFLE_PARTITION = 64 << 20

@@ -2,15 +2,13 @@
 
 Raw files are read once, as lines, and land in the shared folder. From there lines
 become CSV records, a quoted line break included. Columns are matched by name per
-file: records are parsed by the header of their file, one pass per distinct header,
-then a union by name. A file without a header is reported, never taken as loaded.
+file: all records are parsed at once into cells, and the header of a record's file, joined to it,
+says which cell is which column. A file without a header is reported, never taken as loaded.
 """
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +30,7 @@ LISTING = {"recursiveFileLookup": "true", "pathGlobFilter": "*.csv"}
 
 
 LINE = ("value", "_metadata.file_path", "_metadata.file_block_start")
+LANDED = ("file_path", "file_block_start", "line_id", "value")
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,77 +48,135 @@ def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return spark.read.text(list(paths)).select(*LINE)
 
 
+def _landed(df: DataFrame, purpose: str) -> DataFrame:
+    path = working_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def land(lines: DataFrame) -> DataFrame:
     """Lines of raw files, written to the shared folder and read back: the files themselves are read once."""
-    path = working_folder(lines.sparkSession, "lines")
-    kept = lines.withColumn("line_id", F.monotonically_increasing_id())
-    kept.write.parquet(path)
-    return lines.sparkSession.read.schema(kept.schema).parquet(path)
+    return _landed(lines.withColumn("line_id", F.monotonically_increasing_id()).select(*LANDED), "lines")
 
 
-def records(lines: DataFrame) -> DataFrame:
-    """file_path, record, value: lines joined while a quoted value is open.
+def _quotes(line: Column) -> Column:
+    return F.length(line) - F.length(F.translate(line, '"', ""))
 
-    Quotes are counted from a file's start. In a file whose quotes do not pair up they are
-    plain characters, and every line is a record.
-    """
-    file = Window.partitionBy("file_path")
-    inside = file.orderBy("file_block_start", "line_id")
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
-    numbered = (
-        lines.withColumn("quotes", quotes)
-        .withColumn("paired", F.sum("quotes").over(file) % 2 == 0)
-        .withColumn("open", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1)
-        .withColumn("begins", (~F.col("paired") | ~F.col("open")).cast("int"))
-        .withColumn("record", F.sum("begins").over(inside))
-    )
-    whole = F.array_sort(F.collect_list(F.struct("file_block_start", "line_id", "value")))
-    return numbered.groupBy("file_path", "record").agg(
-        F.array_join(F.transform(whole, lambda x: x["value"]), "\n").alias("value")
-    )
 
+def _place() -> Column:
+    return F.struct("file_block_start", "line_id")
 
-def headers(rows: DataFrame, feed: Feed) -> DataFrame:
-    """file_path, header, header_record: the first record of each file that names a column of the feed."""
-    named = rows.filter(is_header(F.col("value"), feed))
-    return named.groupBy("file_path").agg(
-        F.min_by("value", "record").alias("header"), F.min("record").alias("header_record")
-    )
 
+def file_notes(lines: DataFrame, feed: Feed) -> DataFrame:
+    """file_path, unpaired, spans, header: what each file of landed lines needs to be read.
 
-def _parsed(rows: DataFrame, feed: Feed, header: str) -> DataFrame:
-    names = [c.strip().lower() for c in next(csv.reader([header.lstrip("\ufeff")]))]
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    ``unpaired`` says that a file's quotes do not pair up, ``spans`` that a quoted value may hold
+    a line break: some line has an odd number of quotes, and they pair up. ``header`` is the place and text
+    of the first line that names a column. One row per file, written to the shared folder.
+    """
+    q = _quotes(F.col("value"))
+    quotes = lines.groupBy("file_path").agg(F.sum(q).alias("quotes"), F.max(q % 2).alias("odd"))
+    named = lines.filter(is_header(F.col("value"), feed)).groupBy(F.col("file_path").alias("named"))
+    named = named.agg(F.min(F.struct("file_block_start", "line_id", "value")).alias("header"))
+    unpaired = F.col("quotes") % 2 == 1
+    notes = quotes.join(named, F.col("file_path") == F.col("named"), "left").select(
+        "file_path", unpaired.alias("unpaired"), ((F.col("odd") == 1) & ~unpaired).alias("spans"), "header"
+    )
+    return _landed(notes, "files")
 
-    def cell(name: str) -> Column:
-        if name not in names:
-            return F.lit(None).cast("string").alias(name)
-        value = F.col("cells")[f"c{names.index(name)}"]
-        return F.when(~value.isin(*MISSING_TEXT), value).alias(name)
 
+def joined_records(lines: DataFrame) -> DataFrame:
+    """file_path, file_block_start, line_id, value: lines joined while a quoted value is open.
+
+    Whether a line begins inside a value follows from the quotes before it: those of the file's earlier
+    blocks, summed from one row a block, and those of earlier lines of its block. So a task orders
+    the lines of a block, not of a file. A record stands at the place of its first line, which may lie blocks before.
+    """
+    block = ["file_path", "file_block_start"]
+    earlier_blocks = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*block).orderBy("line_id")
+    counted = lines.withColumn("quotes", _quotes(F.col("value")))
+    before = (
+        counted.groupBy(*block)
+        .agg(F.sum("quotes").alias("n"))
+        .select(*block, F.coalesce(F.sum("n").over(earlier_blocks), F.lit(0)).alias("before"))
+    )
+    in_block = F.coalesce(F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = (F.col("before") + F.col("in_block")) % 2 == 0
+    marked = (
+        counted.join(before, block)
+        .withColumn("in_block", in_block)
+        .withColumn("first", F.when(begins, _place()))
+        .withColumn("first", F.last("first", ignorenulls=True).over(inside))
+        .select(*LANDED, "first")
+    )
+    marked = _landed(marked, "marked")
+    # A record that is open where a block begins: the last one that began in an earlier block.
+    open_ = (
+        marked.groupBy(*block)
+        .agg(F.max("first").alias("last"))
+        .select(*block, F.last("last", ignorenulls=True).over(earlier_blocks).alias("carried"))
+    )
+    parts = F.array_sort(F.collect_list(F.struct("file_block_start", "line_id", "value")))
     return (
-        rows.filter(F.col("header") == header)
-        .withColumn("cells", F.from_csv("value", schema, CSV))
-        .select(*[cell(c) for c in feed.columns], F.col("file_path").alias("source_file"))
+        marked.join(open_, block)
+        .groupBy("file_path", F.coalesce("first", "carried").alias("first"))
+        .agg(F.array_join(F.transform(parts, lambda x: x["value"]), "\n").alias("value"))
+        .select("file_path", "first.*", "value")
     )
 
 
+def _cells(line: Column, width: int) -> Column:
+    """The cells of a record, as an array of ``width`` texts."""
+    names = [f"c{i}" for i in range(width)]
+    parsed = F.array(F.from_csv(line, ", ".join(f"{n} string" for n in names), CSV))
+    return F.transform(parsed, lambda row: F.array(*[row[n] for n in names]))[0]  # parsed once, not once a cell
+
+
 def parse_lines(lines: DataFrame, feed: Feed) -> tuple[DataFrame, DataFrame]:
-    """(rows of text columns, file_path of the files with a header) of landed lines.
+    """(rows of text columns, notes of the files: file_path, unpaired, has_header) of landed lines.
 
-    Expected columns a file lacks are NULL. Only the distinct header lines reach the driver.
+    Every record is parsed once into an array of cells, whatever headers there are; the header of
+    its file, joined to it, says which cell is which column. Expected columns a file lacks are NULL.
+    The driver sees the largest number of cells and whether any value spans lines.
     """
-    spark = lines.sparkSession
-    whole = records(lines)
-    found = headers(whole, feed)
-    rows = whole.join(found, "file_path").filter(
-        (F.col("record") > F.col("header_record")) & (F.trim("value") != "")
+    files = file_notes(lines, feed)
+    kept = ["file_path", "unpaired", "header"]
+    records, heads = lines, files.filter(~F.col("spans")).select(*kept)
+    commas = F.length("header.value") - F.length(F.translate(F.col("header.value"), ",", ""))
+    width, spans = files.agg(F.max(commas + 1), F.max("spans")).first()
+    if spans:
+        flagged = lines.join(files.select("file_path", "spans"), "file_path")
+        whole = _landed(joined_records(flagged.filter("spans").select(*LANDED)), "records")
+        named = whole.filter(is_header(F.col("value"), feed)).groupBy("file_path")
+        named = named.agg(F.min(F.struct("file_block_start", "line_id", "value")).alias("header"))
+        more = files.filter("spans").drop("header").join(named, "file_path", "left").select(*kept)
+        heads = _landed(heads.unionByName(more), "heads")
+        records = flagged.filter("NOT spans").select(*LANDED).unionByName(whole.select(*LANDED))
+        width = heads.agg(F.max(commas + 1)).first()[0]
+    notes = heads.select("file_path", "unpaired", F.col("header").isNotNull().alias("has_header"))
+    if width is None:
+        return lines.sparkSession.createDataFrame([], feed.raw_schema), notes
+    header = F.regexp_replace(F.col("header.value"), "^\ufeff", "")
+    names = F.transform(_cells(header, width), lambda c: F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")))
+    places = F.transform(F.array(*map(F.lit, feed.columns)), lambda c: F.array_position("names", c))
+    dimension = (
+        heads.filter("header IS NOT NULL")
+        .select("file_path", F.struct("header.file_block_start", "header.line_id").alias("header_place"), names.alias("names"))
+        .select("file_path", "header_place", places.alias("places"))
+    )
+
+    def column(i: int, name: str) -> Column:
+        value = F.get("cells", (F.get("places", F.lit(i)) - 1).cast("int"))
+        return F.when(~value.isin(*MISSING_TEXT), value).alias(name)
+
+    rows = (
+        records.join(dimension, "file_path")
+        .filter((_place() > F.col("header_place")) & (F.trim("value") != ""))
+        .select("file_path", "places", _cells(F.col("value"), width).alias("cells"))
     )
-    distinct = sorted(r.header for r in found.select("header").distinct().collect())
-    parts = [_parsed(rows, feed, h) for h in distinct]
-    empty = spark.createDataFrame([], feed.raw_schema)
-    return (reduce(DataFrame.unionByName, parts) if parts else empty), found.select("file_path")
+    columns = [column(i, c) for i, c in enumerate(feed.columns)]
+    return rows.select(*columns, F.col("file_path").alias("source_file")), notes
 
 
 def read_feed(spark: SparkSession, feed: Feed, paths: Iterable[str]) -> DataFrame:

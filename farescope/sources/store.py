@@ -6,8 +6,7 @@ from collections.abc import Sequence
 from itertools import islice
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farescope.functions import scalars as S
@@ -25,21 +24,28 @@ def table_path(base: str, feed: Feed) -> str:
     return f"{base.rstrip('/')}/{feed.name}"
 
 
+def files_path(base: str) -> str:
+    """The files that loads have seen, by status: one write notes both kinds."""
+    return f"{base.rstrip('/')}/_files"
+
+
 def ledger_path(base: str) -> str:
-    return f"{base.rstrip('/')}/_ledger"
+    return f"{files_path(base)}/status=loaded"
 
 
 def rejected_path(base: str) -> str:
-    return f"{base.rstrip('/')}/_rejected_files"
+    return f"{files_path(base)}/status=noted"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    try:
+    if path_exists(spark, path):
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
 
 
 def read_table(spark: SparkSession, base: str, feed: Feed) -> DataFrame:
@@ -94,19 +100,26 @@ def append(df: DataFrame, base: str, feed: Feed) -> None:
 
 
 def only_weeks_of(target: DataFrame, new: DataFrame) -> DataFrame:
-    """``target`` limited to the partitions between the first and last week of ``new``."""
-    first, last = new.agg(F.min("week_start"), F.max("week_start")).first()
-    if first is None:
-        return target.filter(F.lit(False))
-    return target.filter(F.col("week_start").between(first, last))
+    """``target`` limited to the partitions of the weeks that occur in ``new``, however far apart they are.
+
+    The driver sees the distinct weeks: some fifty a year of journeys.
+    """
+    weeks = [r.week_start for r in new.select("week_start").distinct().collect()]
+    return target.filter(F.col("week_start").isin(weeks) if weeks else F.lit(False))
 
 
 def new_rows(new: DataFrame, target: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` with a complete key that ``target`` lacks, one per key."""
+    """Rows of ``new`` with a complete key that ``target`` lacks, one per key.
+
+    The keys of ``target`` that ``new`` has are found first, by a semi-join on week and key: there Spark can
+    test the rows of a large table against a Bloom filter of the new keys before it shuffles them.
+    """
     rest = [c for c in new.columns if c not in key]
     complete = new.dropna(subset=list(key))
     once = first_per_key(complete, key, [F.col(c).asc_nulls_last() for c in rest])
-    return once.join(target.select(*key), list(key), "left_anti").select(*new.columns)
+    wide = list(dict.fromkeys(["week_start", *key])) if "week_start" in new.columns else list(key)
+    known = target.select(*wide).join(complete.select(*wide), wide, "left_semi")
+    return once.join(known.select(*key), list(key), "left_anti").select(*new.columns)
 
 
 def insert_ignore(new: DataFrame, base: str, feed: Feed) -> int:
@@ -116,15 +129,17 @@ def insert_ignore(new: DataFrame, base: str, feed: Feed) -> int:
     """
     held = new.is_cached
     new = new if held else new.persist(StorageLevel.DISK_ONLY)
-    target = only_weeks_of(read_table(new.sparkSession, base, feed), new)
-    fresh = new_rows(new, target, feed.primary_key).persist(StorageLevel.DISK_ONLY)
     try:
-        n = fresh.count()
-        if n:
-            append(fresh, base, feed)
-        return n
+        target = only_weeks_of(read_table(new.sparkSession, base, feed), new)
+        fresh = new_rows(new, target, feed.primary_key).persist(StorageLevel.DISK_ONLY)
+        try:
+            n = fresh.count()
+            if n:
+                append(fresh, base, feed)
+            return n
+        finally:
+            fresh.unpersist()
     finally:
-        fresh.unpersist()
         if not held:
             new.unpersist()
 
@@ -142,20 +157,46 @@ def new_files(spark: SparkSession, folder: str, base: str, feed: Feed) -> DataFr
 
 
 def rejected_files(spark: SparkSession, base: str) -> DataFrame:
-    """Files that were read and not loaded, with the reason; each run looks at them again."""
+    """Files that something is wrong with, and what.
+
+    Those without a header are not loaded, and each run looks at them again; those with an unpaired quote
+    are loaded, every line as a record.
+    """
     return read_or_empty(spark, rejected_path(base), REJECTED_SCHEMA).distinct()
 
 
-def load_lines(lines: DataFrame, paths: DataFrame, base: str, feed: Feed) -> int:
-    """Insert the rows of landed lines, then note each of ``paths`` (path) as loaded or rejected."""
-    raw, with_header = parse_lines(lines, feed)
+NO_HEADER = "no header"
+UNPAIRED = "unpaired quote: read line by line"
+
+
+def load_lines(lines: DataFrame, base: str, feed: Feed, paths: DataFrame | None = None) -> int:
+    """Insert the rows of landed lines, then note their files, or ``paths`` (path), as loaded or rejected.
+
+    A file whose quotes do not pair up is loaded line by line, and noted too.
+    """
+    raw, notes = parse_lines(lines, feed)
     total = insert_ignore(typed(raw, feed), base, feed)
-    named = with_header.select(plain_path(F.col("file_path")).alias("path")).distinct()
-    files = paths.select(F.lit(feed.name).alias("feed"), "path").distinct()
-    done = files.join(named, "path", "left_semi").select("feed", "path")
-    done.coalesce(1).write.mode("append").parquet(ledger_path(base))
-    bad = files.join(named, "path", "left_anti").select("feed", "path", F.lit("no header").alias("reason"))
-    bad.coalesce(1).write.mode("append").parquet(rejected_path(base))
+    files = notes.select(plain_path(F.col("file_path")).alias("path"), "unpaired", "has_header")
+    if paths is not None:
+        files = paths.distinct().join(files, "path", "left")
+    headed = F.coalesce("has_header", F.lit(False))
+
+    def entry(status: str, reason: Column) -> Column:
+        return F.struct(F.lit(status).alias("status"), reason.alias("reason"))
+
+    entries = F.array(
+        F.when(headed, entry("loaded", F.lit(None).cast("string"))),
+        F.when(~headed, entry("noted", F.lit(NO_HEADER))),
+        F.when(F.col("unpaired"), entry("noted", F.lit(UNPAIRED))),
+    )
+    (
+        files.select(F.lit(feed.name).alias("feed"), "path", F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
+        .select("feed", "path", "e.*")
+        .coalesce(1)
+        .write.mode("append")
+        .partitionBy("status")
+        .parquet(files_path(base))
+    )
     return total
 
 
@@ -173,7 +214,7 @@ def load_folder(
     todo = (r.path for r in new_files(spark, folder, base, feed).orderBy("path").toLocalIterator())
     while paths := list(islice(todo, files_per_round)):
         names = spark.createDataFrame([(p,) for p in paths], "path string")
-        total += load_lines(land(read_lines(spark, paths)), names, base, feed)
+        total += load_lines(land(read_lines(spark, paths)), base, feed, names)
     return total
 
 

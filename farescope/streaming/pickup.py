@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from farescope.schemas import Feed
-from farescope.sources.feeds import LINE, LISTING, land, plain_path
+from farescope.sources.feeds import LINE, LISTING, land
 from farescope.sources.store import insert_ignore, load_lines
 
 
@@ -35,9 +35,7 @@ def start_pickup(
     )
 
     def load(batch: DataFrame, _: int) -> None:
-        landed = land(batch)
-        paths = landed.select(plain_path(F.col("file_path")).alias("path"))
-        load_lines(landed, paths, base, feed)
+        load_lines(land(batch), base, feed)
 
     writer = lines.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     if continuous:

@@ -433,3 +433,101 @@ def test_files_without_a_header_are_rejected(spark, tmp_path):
     assert bad == ["06-30.csv"]
     done = spark.read.parquet(store.ledger_path(base))
     assert [r.path[-9:] for r in done.collect()] == ["08-30.csv"]
+
+
+def blocks_of(spark, path, size):
+    """The lines of a file as a scan in blocks of ``size`` bytes lands them."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        return feeds.land(feeds.read_lines(spark, [str(path)]))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_a_file_is_divided_whatever_its_quotes(spark, tmp_path):
+    """Values with line breaks within and across blocks; csv is the judge."""
+    import csv
+    import random
+
+    rng = random.Random(4)
+    path = tmp_path / "seat_wise_prices_2025-01-01_06-30.csv"
+    with path.open("w", newline="") as f:
+        out = csv.writer(f, lineterminator="\n")
+        out.writerow(["seat_type", "note", "seat_number", "schedule_id"])
+        for i in range(400):
+            long = "\n".join(rng.choice(("x", 'say ""', "a,b", "", "y" * 90)) for _ in range(rng.choice((1, 1, 1, 2, 40))))
+            out.writerow([rng.choice(("A", "B")), long, i, long[:50].strip() or "s"])
+    lines = blocks_of(spark, path, 2000)
+    assert lines.select("file_block_start").distinct().count() > 8
+    raw, notes = feeds.parse_lines(lines, SEAT_WISE_PRICES)
+    with path.open(newline="") as f:
+        want = [(r["seat_type"], r["schedule_id"], r["seat_number"]) for r in csv.DictReader(f)]
+    assert rows(raw, "seat_type", "schedule_id", "seat_number") == sorted(want)
+    assert rows(notes, "unpaired", "has_header") == [(False, True)]
+    plan = feeds.joined_records(lines)._jdf.queryExecution().optimizedPlan().toString()
+    for window in (line for line in plan.splitlines() if " Window " in f" {line}" and "line_id" in line.split("[")[-1]):
+        assert "file_block_start" in window  # lines are ordered by block, never by file
+
+
+def test_scans_do_not_grow_with_headers(spark, tmp_path):
+    names = ["schedule_id", "seat_type", "seat_number", "actual_fare"]
+    for i in range(12):
+        order = names[i % 4 :] + names[: i % 4] + [f"extra{i}"] * (i % 3)
+        cells = {"schedule_id": f"S{i}", "seat_type": "A", "seat_number": str(i), "actual_fare": "7"}
+        text = ",".join(order) + "\n" + ",".join(cells.get(c, "zz") for c in order) + "\n"
+        (tmp_path / f"seat_wise_prices_2025-01-{i + 1:02d}_06-30.csv").write_text(text)
+    paths = [r.path for r in feeds.list_files(spark, str(tmp_path)).collect()]
+    raw = feeds.read_feed(spark, SEAT_WISE_PRICES, paths)
+    assert rows(raw, *names) == sorted((f"S{i}", "A", str(i), "7") for i in range(12))
+    plan = raw._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2  # the lines and the headers
+
+
+def test_unpaired_quotes_are_noted(spark, tmp_path):
+    folder, base = tmp_path / "in", str(tmp_path / "store")
+    folder.mkdir()
+    (folder / "seat_wise_prices_2025-01-01_06-30.csv").write_text(
+        'schedule_id,seat_number,travel_date,seat_type\nS1,1,2025-01-02,5" wide\nS2,1,2025-01-02,B\n'
+    )
+    (folder / "seat_wise_prices_2025-01-01_07-30.csv").write_text(
+        'schedule_id,seat_number,travel_date,seat_type\n"S\n3",1,2025-01-02,B\n'
+    )
+    assert store.load_folder(spark, str(folder), base, SEAT_WISE_PRICES) == 3
+    assert store.load_folder(spark, str(folder), base, SEAT_WISE_PRICES) == 0
+    noted = store.rejected_files(spark, base).collect()
+    assert [(r.path[-9:], r.reason) for r in noted] == [("06-30.csv", store.UNPAIRED)]
+    assert rows(store.read_table(spark, base, SEAT_WISE_PRICES), "schedule_id") == [("S\n3",), ("S1",), ("S2",)]
+
+
+def test_distant_weeks_are_read_alone(spark, tmp_path):
+    """Insert-or-ignore reads the partitions of the weeks that occur, and tests keys before it shuffles them."""
+    schema = "schedule_id string, seat_type string, date_of_journey date, snapshot_ts timestamp_ntz"
+    days = [DAY + dt.timedelta(weeks=w) for w in range(12)]
+    table = spark.createDataFrame([(f"S{i}", "A", d, T1) for d in days for i in range(30)], schema)
+    base = str(tmp_path / "store")
+    store.append(store.conform(table, SEAT_PRICES), base, SEAT_PRICES)
+    new = store.conform(table.filter(F.col("date_of_journey").isin(days[0], days[9])), SEAT_PRICES)
+    target = store.only_weeks_of(store.read_table(spark, base, SEAT_PRICES), new)
+    scan = target._jdf.queryExecution().executedPlan().toString()
+    pruned = scan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "IN" in pruned and days[0].strftime("%Y-%m-%d") not in pruned and pruned.count("2025-") == 2
+    assert target.count() == 60
+    low = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1",
+    }
+    for k, v in low.items():
+        spark.conf.set(k, v)
+    try:
+        plan = store.new_rows(new, target, SEAT_PRICES.primary_key)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k in low:
+            spark.conf.unset(k)
+    assert "might_contain" in plan and "bloom_filter_agg" in plan
+    more = new.unionByName(store.conform(table.limit(1).withColumn("schedule_id", F.lit("new")), SEAT_PRICES))
+    assert store.insert_ignore(more, base, SEAT_PRICES) == 1
+    assert store.insert_ignore(more, base, SEAT_PRICES) == 0
+    assert store.insert_ignore(more.limit(0), base, SEAT_PRICES) == 0
