@@ -521,6 +521,8 @@ def test_distant_weeks_are_read_alone(spark, tmp_path):
     }
     for k, v in low.items():
         spark.conf.set(k, v)
+    new = new.persist()  # as a load does
+    assert new.count() == 60
     try:
         plan = store.new_rows(new, target, SEAT_PRICES.primary_key)._jdf.queryExecution().optimizedPlan().toString()
     finally:
