@@ -40,6 +40,45 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bo
     return wide.select(F.inline(per_column))
 
 
+SKETCH_BITS = 12  # 4096 registers a sketch: an error of 1.04 / sqrt(4096), 1.6 %, whatever the count
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def column_sketches(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """keys, column_name, row_count, value_count, sketch: what can be merged of the profile of each group.
+
+    A sketch (HyperLogLog) has a fixed size, so the rows of a week can be kept beside the week and merged for any span
+    of weeks; the table is not read again.
+    """
+    columns = [c for c in (columns or df.columns) if c not in keys]
+    wide = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.hll_sketch_agg(F.col(c).cast("string"), SKETCH_BITS).alias(f"s{i}") for i, c in enumerate(columns)],
+    )
+    per_column = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column_name"),
+                F.col("rows").alias("row_count"),
+                F.col(f"n{i}").alias("value_count"),
+                F.col(f"s{i}").alias("sketch"),
+            )
+            for i, c in enumerate(columns)
+        ]
+    )
+    return wide.select(*keys, F.inline(per_column))
+
+
+def profile_of(sketches: DataFrame, keys: Sequence[str] = ("column_name",)) -> DataFrame:
+    """Rows, NULLs and estimated distinct values per ``keys``, from the sketches of any groups."""
+    return sketches.groupBy(*keys).agg(
+        F.sum("row_count").alias("row_count"),
+        (F.sum("row_count") - F.sum("value_count")).alias("null_count"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_estimate"),
+    )
+
+
 def rejects(raw: DataFrame, feed: Feed) -> DataFrame:
     """Per typed column, how many non-blank texts do not parse."""
     names = [c for c in feed.columns if c in feed.types and c in raw.columns]

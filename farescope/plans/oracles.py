@@ -587,6 +587,11 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
         "",
         "SELECT schedule_id, count(DISTINCT seat_type) AS seat_types_count FROM seat GROUP BY 1",
     ),
+    "seat_types_count_approx": (
+        "seat",
+        "",
+        "SELECT schedule_id, count(DISTINCT seat_type) AS seat_types_count FROM seat GROUP BY 1",
+    ),
     "hours_distinct": (
         "snap",
         "",
@@ -775,6 +780,15 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
           CAST(actual_fare AS DOUBLE) AS actual_fare, CAST(NULL AS DOUBLE) AS price, snapshot_ts,
           date_of_journey - CAST(dayofweek(date_of_journey) AS INTEGER) AS week_start FROM snap""",
     ),
+    "table_grows": (
+        "snap",
+        "",
+        """SELECT CAST(schedule_id AS VARCHAR) AS schedule_id, seat_type, date_of_journey,
+          CAST(actual_fare AS DOUBLE) AS actual_fare, snapshot_ts,
+          CASE WHEN hour(snapshot_ts) BETWEEN 6 AND 11 THEN 'd' || schedule_id % 5 END AS depot,
+          CASE WHEN hour(snapshot_ts) BETWEEN 6 AND 11 THEN CAST(schedule_id % 4 AS VARCHAR) END AS stop_count,
+          date_of_journey - CAST(dayofweek(date_of_journey) AS INTEGER) AS week_start FROM snap""",
+    ),
     "load_folder_twice": ("snap feed feed_table", "", "SELECT * FROM feed_table"),
     "partition_report": (
         "snap feed feed_table", "", "SELECT week_start, count(*) AS row_count FROM feed_table GROUP BY 1",
@@ -787,6 +801,7 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
     ),
     "stream_pickup": ("snap feed feed_table", "", "SELECT * FROM feed_table"),
     "stream_dedupe": ("snap feed feed_table", "", "SELECT * FROM feed_table"),
+    "stream_dedupe_within": ("snap feed feed_table", "", "SELECT * FROM feed_table"),
     "rejected_files": (
         "snap",
         "",
@@ -819,6 +834,21 @@ _ROUNDED = ", ".join(
 _SEAT_ROWS = f"SELECT {_SEAT_COLS} FROM seat"
 _SNAP_ROWS = f"SELECT {_SNAP_COLS} FROM snap"
 
+_SEAT_COLUMNS = (
+    "schedule_id", "seat_number", "seat_type", "final_price", "actual_fare", "coach_layout_id", "sales_count",
+    "sales_percentage", "operator_reservation_id", "origin_id", "destination_id", "travel_date", "snapshot_ts",
+)
+
+
+def _profile_beside(view: str) -> str:
+    """Counts of every column; that the estimates are near the exact counts is what the query has to find."""
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count(v.{c}) AS null_count,
+          count(DISTINCT v.{c}) AS exact_count, true AS within_bound FROM {view} v"""
+        for c in _SEAT_COLUMNS
+    )
+
+
 _QUERIES |= {
     "kpi_means_rounded": _arm("kpi_means", "true", f"schedule_id, {_ROUNDED}"),
     "occupancy_trend_listed": _arm(
@@ -854,17 +884,12 @@ _QUERIES |= {
     "date_summary_one_day": _arm("date_summary_schedule", "date_of_journey = DATE '2024-01-10'"),
     "date_summary_seat_one_day": _arm("date_summary_seat", "date_of_journey = DATE '1996-05-01'"),
     "monthly_delta_one_month": _arm("monthly_delta_schedule", "year = 2024 AND month = 1"),
-    "profile_sketch": (
+    "profile_sketch": ("seat", "", _profile_beside("seat")),
+    "profile_of_weeks": (
         "seat",
-        "",
-        " UNION ALL ".join(
-            f"SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count,"
-            " true AS within_bound FROM seat"
-            for c in (
-                "schedule_id", "seat_number", "seat_type", "actual_fare", "coach_layout_id", "travel_date",
-                "seat.snapshot_ts",
-            )
-        ).replace("'seat.snapshot_ts'", "'snapshot_ts'"),
+        """days AS (SELECT * FROM seat WHERE travel_date - CAST(dayofweek(travel_date) AS INTEGER)
+          BETWEEN DATE '1996-01-07' AND DATE '1996-12-22')""",
+        _profile_beside("days"),
     ),
     "monthly_delta_seat_one_month": _arm("monthly_delta_seat", "year = 1996 AND month = 5"),
     "fallback_without_table": ("snap", "", _SNAP_ROWS),

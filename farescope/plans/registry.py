@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -600,19 +601,54 @@ def _(spark, d):
 @query("profile_sketch")
 def _(spark, d):
     # The sketch of every column beside its exact count: within three standard errors of 5 %.
-    columns = [
-        "schedule_id", "seat_number", "seat_type", "actual_fare", "coach_layout_id", "travel_date", "snapshot_ts",
-    ]
     rows = seat(spark, d)
-    exact = quality.profile(rows, columns, approximate=False).select(
-        "column_name", F.col("distinct_count").alias("exact_count")
-    )
+    exact = quality.profile(rows, approximate=False).select("column_name", F.col("distinct_count").alias("exact_count"))
     error = F.abs(F.col("distinct_count") - F.col("exact_count"))
-    return quality.profile(rows, columns).join(exact, "column_name").select(
-        "column_name", "row_count", "null_count", (error <= 0.15 * F.col("exact_count")).alias("within_bound")
+    return quality.profile(rows).join(exact, "column_name").select(
+        "column_name", "row_count", "null_count", "exact_count",
+        (error <= 0.15 * F.col("exact_count")).alias("within_bound"),
+    )
+
+
+def _week_sketches(spark, d):
+    """The sketches of every week of journeys, as they would lie beside the weeks."""
+    rows = seat(spark, d).withColumn("week_start", S.week_start(F.col("travel_date")))
+    path = working_folder(spark, "sketches")
+    quality.column_sketches(rows, ["week_start"]).write.parquet(path)
+    return rows, spark.read.parquet(path)
+
+
+@query("profile_of_weeks")
+def _(spark, d):
+    # Weeks of 1996, merged from sketches alone, beside exact counts over their rows.
+    rows, kept = _week_sketches(spark, d)
+    span = F.col("week_start").between(dt.date(1996, 1, 7), dt.date(1996, 12, 22))
+    exact = quality.profile(rows.filter(span).drop("week_start"), approximate=False)
+    exact = exact.select("column_name", F.col("distinct_count").alias("exact_count"))
+    error = F.abs(F.col("distinct_estimate") - F.col("exact_count"))
+    return quality.profile_of(kept.filter(span)).join(exact, "column_name").select(
+        "column_name", "row_count", "null_count", "exact_count",
+        (error <= 4 * quality.SKETCH_ERROR * F.col("exact_count")).alias("within_bound"),
     )
 
 
+@query("profile_estimates")
+def _(spark, d):
+    # No SQL: the estimates themselves, of all weeks merged, with their relative error.
+    rows, kept = _week_sketches(spark, d)
+    exact = quality.profile(rows.drop("week_start"), approximate=False).select(
+        "column_name", F.col("distinct_count").alias("exact_count")
+    )
+    error = F.abs(F.col("distinct_estimate") - F.col("exact_count")) / F.col("exact_count")
+    merged = quality.profile_of(kept).join(exact, "column_name")
+    return merged.select("*", F.round(error, 4).alias("relative_error"))
+
+
+@query("seat_types_count_approx")
+def _(spark, d):
+    return choices.seat_types_count(seat(spark, d), approximate=True)
+
+
 @query("rejects")
 def _(spark, d):
     return quality.rejects(raw_snap(spark, d), SEAT_PRICES)
@@ -803,6 +839,22 @@ def _(spark, d):
     )
 
 
+@query("table_grows")
+def _(spark, d):
+    # Three loads: with the table's columns, with two more, and without them again.
+    base = working_folder(spark, "store")
+    own = ["schedule_id", "seat_type", "date_of_journey", "actual_fare", "snapshot_ts"]
+    rows = snap(spark, d)
+    hour, more = F.hour("snapshot_ts"), {
+        " Depot ": F.concat(F.lit("d"), F.col("schedule_id") % 5), "stop_count": F.col("schedule_id") % 4,
+    }
+    for part in (rows.filter(hour < 6), rows.filter(hour.between(6, 11)).withColumns(more), rows.filter(hour >= 12)):
+        part = part.select(*own, *[c for c in part.columns if c in more])
+        store.append(store.grow(part, base, SEAT_PRICES), base, SEAT_PRICES)
+    table = store.read_table(spark, base, SEAT_PRICES, every_column=True)
+    return table.select(*own, "depot", "stop_count", "week_start")
+
+
 @query("load_folder_twice")
 def _(spark, d):
     folder, base = write_feed(spark, d), working_folder(spark, "store")
@@ -854,6 +906,19 @@ def _(spark, d):
     return store.read_table(spark, base, FEED)
 
 
+@query("stream_dedupe_within")
+def _(spark, d):
+    # Every row comes twice; a run stops when half the files are there, and the next goes on from its checkpoint.
+    rows = loaded_table(spark, d)
+    silver, out = working_folder(spark, "silver"), working_folder(spark, "within")
+    half = F.dayofyear("snapshot_ts") % 2 == 0
+    for part in (rows.filter(half), rows.filter(~half).unionByName(rows)):
+        part.write.mode("append").parquet(silver)
+        stream = spark.readStream.schema(FEED.silver_schema).option("maxFilesPerTrigger", 4).parquet(silver)
+        pickup.start_dedupe_within(stream, FEED, "400 days", f"{out}/rows", f"{out}/_checkpoint").awaitTermination()
+    return spark.read.schema(FEED.silver_schema).parquet(f"{out}/rows")
+
+
 @query("stream_latest_table")
 def _(spark, d):
     rows, out = stream_rows(spark, d), working_folder(spark, "latest")

@@ -8,6 +8,7 @@ from itertools import islice
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from farescope.functions import scalars as S
 from farescope.operators.filters import in_date_range
@@ -17,6 +18,7 @@ from farescope.schemas import FEEDS, Feed
 from farescope.sources.feeds import land, list_files, parse_lines, plain_path, read_lines, typed
 
 LEDGER_SCHEMA = "feed string, path string"
+COLUMNS_SCHEMA = "column_name string, added_at timestamp"
 REJECTED_SCHEMA = "feed string, path string, reason string"
 
 
@@ -24,6 +26,10 @@ def table_path(base: str, feed: Feed) -> str:
     return f"{base.rstrip('/')}/{feed.name}"
 
 
+def columns_path(base: str, feed: Feed) -> str:
+    return f"{base.rstrip('/')}/_columns/{feed.name}"
+
+
 def files_path(base: str) -> str:
     """The files that loads have seen, by status: one write notes both kinds."""
     return f"{base.rstrip('/')}/_files"
@@ -48,8 +54,24 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def read_table(spark: SparkSession, base: str, feed: Feed) -> DataFrame:
-    rows = read_or_empty(tune(spark), table_path(base, feed), feed.silver_schema)
+def added_columns(spark: SparkSession, base: str, feed: Feed) -> list[str]:
+    """Names of the columns that loads have added to the feed's table, oldest first."""
+    log = read_or_empty(spark, columns_path(base, feed), COLUMNS_SCHEMA)
+    first = log.groupBy("column_name").agg(F.min("added_at").alias("added_at"))
+    return [r.column_name for r in first.orderBy("added_at", "column_name").collect()]
+
+
+def stored_schema(spark: SparkSession, base: str, feed: Feed) -> T.StructType:
+    """The feed's columns and those added since, as text; the partition column comes last."""
+    *own, week = feed.silver_schema.fields
+    added = [T.StructField(c, T.StringType()) for c in added_columns(spark, base, feed)]
+    return T.StructType([*own, *added, week])
+
+
+def read_table(spark: SparkSession, base: str, feed: Feed, every_column: bool = False) -> DataFrame:
+    """The feed's table; with ``every_column`` also the added ones, NULL in rows of older files."""
+    schema = stored_schema(spark, base, feed) if every_column else feed.silver_schema
+    rows = read_or_empty(tune(spark), table_path(base, feed), schema)
     size_shuffles(rows)
     return rows
 
@@ -60,13 +82,13 @@ def common_columns(df: DataFrame, target: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{have[c.lower()]}`").alias(c) for c in target if c.lower() in have])
 
 
-def conform(df: DataFrame, feed: Feed) -> DataFrame:
-    """A typed frame in the table's shape.
+def conform(df: DataFrame, feed: Feed, stored: T.StructType | None = None) -> DataFrame:
+    """A typed frame in the table's shape: the feed's own, or that of ``stored``.
 
     Columns are matched without regard to case; others are dropped, absent ones
     are NULL, and the week follows from the date.
     """
-    schema = [f for f in feed.silver_schema.fields if f.name != "week_start"]
+    schema = [f for f in (stored or feed.silver_schema).fields if f.name != "week_start"]
     rows = common_columns(df, [f.name for f in schema])
     rows = rows.select(
         *[
@@ -84,6 +106,23 @@ def with_columns_of(df: DataFrame, other: DataFrame) -> DataFrame:
     return df.withColumns(unseen) if unseen else df
 
 
+def grow(df: DataFrame, base: str, feed: Feed) -> DataFrame:
+    """``df`` in the table's shape, after adding to the table every column it has not seen.
+
+    A column is added by a line in the table's log of columns, as text; files that are there stay as they are.
+    Names are matched without regard to case and outer blanks. Adding a column again, or at the same
+    time as another load, changes nothing.
+    """
+    spark = df.sparkSession
+    known = {c.lower() for c in stored_schema(spark, base, feed).names}
+    unseen = sorted({c.strip().lower() for c in df.columns} - known)
+    if unseen:
+        rows = spark.createDataFrame([(c,) for c in unseen], "column_name string")
+        rows = rows.withColumn("added_at", F.current_timestamp()).coalesce(1)
+        rows.write.mode("append").parquet(columns_path(base, feed))
+    return conform(df, feed, stored_schema(spark, base, feed))
+
+
 def append(df: DataFrame, base: str, feed: Feed) -> None:
     """Add rows to the feed's table, one folder per week.
 

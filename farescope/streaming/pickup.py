@@ -68,3 +68,21 @@ def dedupe_within(stream: DataFrame, feed: Feed, delay: str) -> DataFrame:
         .dropDuplicatesWithinWatermark(feed.primary_key)
         .drop("_event_time")
     )
+
+
+def start_dedupe_within(
+    stream: DataFrame, feed: Feed, delay: str, path: str, checkpoint: str, continuous: bool = False
+) -> StreamingQuery:
+    """Write the first row per key of a stream of silver rows to the Parquet files at ``path``.
+
+    Keys seen live in the state store, which forgets them once the watermark has passed their stamp by
+    ``delay``; so the state is bounded by the keys of that span, not by the table. A run that
+    starts from the checkpoint knows the keys of the runs before, and the file sink takes each batch once.
+    """
+    writer = (
+        dedupe_within(stream, feed, delay)
+        .writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+    )
+    return writer.start() if continuous else writer.trigger(availableNow=True).start()

@@ -533,3 +533,28 @@ def test_distant_weeks_are_read_alone(spark, tmp_path):
     assert store.insert_ignore(more, base, SEAT_PRICES) == 1
     assert store.insert_ignore(more, base, SEAT_PRICES) == 0
     assert store.insert_ignore(more.limit(0), base, SEAT_PRICES) == 0
+
+
+def test_a_table_takes_columns_it_has_not_seen(spark, snaps, tmp_path):
+    from pathlib import Path
+
+    base = str(tmp_path / "store")
+    plain = store.grow(snaps, base, SEAT_PRICES)
+    assert store.added_columns(spark, base, SEAT_PRICES) == []
+    assert store.insert_ignore(plain, base, SEAT_PRICES) == 5
+    old = {p: p.stat().st_mtime_ns for p in Path(base).rglob("*.parquet")}
+    wider = snaps.withColumns({" Depot ": F.lit(7), "PRICE": F.col("price"), "schedule_id": F.concat(F.lit("x"), "schedule_id")})
+    wider = store.grow(wider, base, SEAT_PRICES)
+    assert wider.columns[-2:] == ["depot", "week_start"]
+    assert store.insert_ignore(wider, base, SEAT_PRICES) == 5
+    more = snaps.withColumns({"lane": F.lit("l"), "DEPOT": F.lit("d2"), "schedule_id": F.concat(F.lit("y"), "schedule_id")})
+    assert store.insert_ignore(store.grow(more, base, SEAT_PRICES), base, SEAT_PRICES) == 5
+    narrow = snaps.withColumn("schedule_id", F.concat(F.lit("z"), "schedule_id"))
+    store.append(store.grow(narrow, base, SEAT_PRICES), base, SEAT_PRICES)
+    assert store.added_columns(spark, base, SEAT_PRICES) == ["depot", "lane"]
+    got = store.read_table(spark, base, SEAT_PRICES, every_column=True)
+    seen = got.groupBy(F.substring("schedule_id", 1, 1).alias("load"), "depot", "lane").count()
+    want = {("S", None, None, 5), ("x", "7", None, 5), ("y", "d2", "l", 5), ("z", None, None, 5)}
+    assert {tuple(r) for r in seen.collect()} == want
+    assert store.read_table(spark, base, SEAT_PRICES).columns == SEAT_PRICES.silver_schema.names
+    assert {p: p.stat().st_mtime_ns for p in old} == old  # old files stay as they are
