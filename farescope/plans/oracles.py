@@ -780,6 +780,13 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
           CAST(actual_fare AS DOUBLE) AS actual_fare, CAST(NULL AS DOUBLE) AS price, snapshot_ts,
           date_of_journey - CAST(dayofweek(date_of_journey) AS INTEGER) AS week_start FROM snap""",
     ),
+    "compacted_table": (
+        "snap",
+        "",
+        """SELECT CAST(schedule_id AS VARCHAR) AS schedule_id, seat_type, date_of_journey,
+          CAST(actual_fare AS DOUBLE) AS actual_fare, snapshot_ts,
+          date_of_journey - CAST(dayofweek(date_of_journey) AS INTEGER) AS week_start FROM snap""",
+    ),
     "table_grows": (
         "snap",
         "",

@@ -855,6 +855,18 @@ def _(spark, d):
     return table.select(*own, "depot", "stop_count", "week_start")
 
 
+@query("compacted_table")
+def _(spark, d):
+    # Many small loads, compacted twice on the way and read in between.
+    base = working_folder(spark, "store")
+    rows = snap(spark, d).select("schedule_id", "seat_type", "date_of_journey", "actual_fare", "snapshot_ts")
+    for part in range(8):
+        store.append(store.conform(rows.filter(F.col("schedule_id") % 8 == part), SEAT_PRICES), base, SEAT_PRICES)
+        if part in (4, 7):
+            store.compact(spark, base, SEAT_PRICES, most_files=3)
+    return store.read_table(spark, base, SEAT_PRICES).select(*rows.columns, "week_start")
+
+
 @query("load_folder_twice")
 def _(spark, d):
     folder, base = write_feed(spark, d), working_folder(spark, "store")

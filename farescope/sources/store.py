@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from itertools import islice
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +20,7 @@ from farescope.sources.feeds import land, list_files, parse_lines, plain_path, r
 
 LEDGER_SCHEMA = "feed string, path string"
 COLUMNS_SCHEMA = "column_name string, added_at timestamp"
+GENERATIONS_SCHEMA = "week_start date, gen int"
 REJECTED_SCHEMA = "feed string, path string, reason string"
 
 
@@ -30,6 +32,10 @@ def columns_path(base: str, feed: Feed) -> str:
     return f"{base.rstrip('/')}/_columns/{feed.name}"
 
 
+def generations_path(base: str, feed: Feed) -> str:
+    return f"{base.rstrip('/')}/_generations/{feed.name}"
+
+
 def files_path(base: str) -> str:
     """The files that loads have seen, by status: one write notes both kinds."""
     return f"{base.rstrip('/')}/_files"
@@ -68,10 +74,30 @@ def stored_schema(spark: SparkSession, base: str, feed: Feed) -> T.StructType:
     return T.StructType([*own, *added, week])
 
 
+def _generations(spark: SparkSession, base: str, feed: Feed) -> dict[dt.date, int]:
+    """The newest generation of each week that has been compacted; the driver sees one line a week."""
+    log = read_or_empty(spark, generations_path(base, feed), GENERATIONS_SCHEMA)
+    return {r.week_start: r.gen for r in log.groupBy("week_start").agg(F.max("gen").alias("gen")).collect()}
+
+
+def _current(generations: dict[dt.date, int]) -> Column:
+    """Whether a row is of its week's newest generation or later; says so by partition columns alone."""
+    if not generations:
+        return F.lit(True)
+    pairs = [F.lit(x) for pair in generations.items() for x in pair]
+    return F.col("gen") >= F.coalesce(F.create_map(*pairs)[F.col("week_start")], F.lit(0))
+
+
+def _stored(spark: SparkSession, base: str, feed: Feed, every_column: bool) -> DataFrame:
+    """All rows on disk, with their generation."""
+    schema = stored_schema(spark, base, feed) if every_column else feed.silver_schema
+    schema = T.StructType([*schema.fields, T.StructField("gen", T.IntegerType())])
+    return read_or_empty(tune(spark), table_path(base, feed), schema)
+
+
 def read_table(spark: SparkSession, base: str, feed: Feed, every_column: bool = False) -> DataFrame:
     """The feed's table; with ``every_column`` also the added ones, NULL in rows of older files."""
-    schema = stored_schema(spark, base, feed) if every_column else feed.silver_schema
-    rows = read_or_empty(tune(spark), table_path(base, feed), schema)
+    rows = _stored(spark, base, feed, every_column).filter(_current(_generations(spark, base, feed))).drop("gen")
     size_shuffles(rows)
     return rows
 
@@ -123,21 +149,62 @@ def grow(df: DataFrame, base: str, feed: Feed) -> DataFrame:
     return conform(df, feed, stored_schema(spark, base, feed))
 
 
-def append(df: DataFrame, base: str, feed: Feed) -> None:
-    """Add rows to the feed's table, one folder per week.
-
-    Rebalancing by week keeps files large and lets AQE split a week that holds
-    much of the data; sorting by schedule makes row groups skippable.
-    """
+def _write(df: DataFrame, base: str, feed: Feed, gen: int) -> None:
     (
         df.hint("rebalance", "week_start")
         .sortWithinPartitions("week_start", "schedule_id", "snapshot_ts")
         .write.mode("append")
         .partitionBy("week_start")
-        .parquet(table_path(base, feed))
+        .parquet(f"{table_path(base, feed)}/gen={gen}")
     )
 
 
+def append(df: DataFrame, base: str, feed: Feed) -> None:
+    """Add rows to the feed's table, one folder per week.
+
+    Rebalancing by week keeps files large and lets AQE split a week that holds
+    much of the data; sorting by schedule makes row groups skippable.
+    """
+    generations = _generations(df.sparkSession, base, feed)
+    _write(df, base, feed, max(generations.values(), default=0))
+
+
+def compact(spark: SparkSession, base: str, feed: Feed, most_files: int = 16) -> int:
+    """Rewrite the weeks that lie in more than ``most_files`` files; returns how many weeks.
+
+    The rows of such a week are written again as a new generation, then a line in the log of generations
+    switches readers to it: a reader sees the old files or the new ones, and a run that is lost in between has
+    changed nothing. The files that were left stay until the week is compacted the next time, for readers that had
+    listed them; those left before are emptied. Loads and compactions of a feed take turns; readers need not wait.
+    """
+    generations = _generations(spark, base, feed)
+    live = _stored(spark, base, feed, True).filter(_current(generations))
+    files = live.select("week_start", "gen", F.col("_metadata.file_path").alias("file"))
+    crowded = files.groupBy("week_start").agg(F.count_distinct("file").alias("n")).filter(F.col("n") > most_files)
+    weeks = [r.week_start for r in crowded.collect()]
+    if not weeks:
+        return 0
+    chosen = F.col("week_start").isin(weeks)
+    gen = max(generations.values(), default=0) + 1
+    # What a lost run may have left of this generation goes first.
+    half_done = _stored(spark, base, feed, False).filter(chosen & (F.col("gen") == gen))
+    left = _stored(spark, base, feed, False).filter(chosen & ~_current(generations)) if generations else None
+    for old in (half_done, left):
+        if old is not None:
+            _empty(spark, base, feed, old.select("gen", "week_start").distinct().collect())
+    _write(live.filter(chosen).drop("gen"), base, feed, gen)
+    log = spark.createDataFrame([(w, gen) for w in weeks], GENERATIONS_SCHEMA)
+    log.coalesce(1).write.mode("append").parquet(generations_path(base, feed))
+    return len(weeks)
+
+
+def _empty(spark: SparkSession, base: str, feed: Feed, folders: Sequence[Row]) -> None:
+    *own, _ = feed.silver_schema.fields
+    nothing = spark.createDataFrame([], T.StructType(own))
+    for f in folders:
+        nothing.write.mode("overwrite").parquet(f"{table_path(base, feed)}/gen={f.gen}/week_start={f.week_start}")
+
+
 def only_weeks_of(target: DataFrame, new: DataFrame) -> DataFrame:
     """``target`` limited to the partitions of the weeks that occur in ``new``, however far apart they are.
 

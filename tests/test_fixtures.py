@@ -558,3 +558,36 @@ def test_a_table_takes_columns_it_has_not_seen(spark, snaps, tmp_path):
     assert {tuple(r) for r in seen.collect()} == want
     assert store.read_table(spark, base, SEAT_PRICES).columns == SEAT_PRICES.silver_schema.names
     assert {p: p.stat().st_mtime_ns for p in old} == old  # old files stay as they are
+
+
+def test_small_loads_are_compacted_beside_a_reader(spark, tmp_path):
+    from pathlib import Path
+
+    base = str(tmp_path / "store")
+    schema = "schedule_id string, seat_type string, date_of_journey date, snapshot_ts timestamp_ntz"
+    days, compacted = [DAY, DAY + dt.timedelta(weeks=3)], 0
+    reader = None
+    for n in range(50):
+        day = days[n % 5 == 0]
+        part = spark.createDataFrame([(f"S{n}", "A", day, T1)], schema)
+        if n == 20:  # a column that comes with a later load survives compaction
+            part = part.withColumn("depot", F.lit("d"))
+        store.append(store.grow(part, base, SEAT_PRICES), base, SEAT_PRICES)
+        if n % 7 == 6:
+            reader = store.read_table(spark, base, SEAT_PRICES)
+            names = sorted(r.schedule_id for r in reader.select("schedule_id").collect())
+            compacted += store.compact(spark, base, SEAT_PRICES, most_files=4)
+            # A reader that had listed the files before goes on reading them.
+            assert sorted(r.schedule_id for r in reader.select("schedule_id").collect()) == names
+    assert compacted > 5
+    table = store.read_table(spark, base, SEAT_PRICES, every_column=True)
+    assert sorted(r.schedule_id for r in table.collect()) == sorted(f"S{n}" for n in range(50))
+    assert [r.schedule_id for r in table.filter("depot = 'd'").collect()] == ["S20"]
+    live = table.select("week_start", F.input_file_name().alias("f")).distinct().groupBy("week_start").count()
+    assert max(r["count"] for r in live.collect()) <= 4 + 7
+    assert len(list(Path(base).rglob("week_start=*/*.parquet"))) < 40  # of 50 loads and what was rewritten
+    again = store.conform(spark.createDataFrame([("S3", "A", DAY, T1), ("S99", "A", DAY, T1)], schema), SEAT_PRICES)
+    assert store.insert_ignore(again, base, SEAT_PRICES) == 1
+    plan = store.only_weeks_of(store.read_table(spark, base, SEAT_PRICES), again)._jdf.queryExecution().executedPlan()
+    filters_of = plan.toString().split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "gen" in filters_of and "week_start" in filters_of
