@@ -40,7 +40,7 @@ LEAST_TOXIC = 3
 MOST_CLEAN = 0.02
 STEMS = (4, 5, 6, 7)
 WINDOW = 6
-REMEMBERED = 400_000
+REMEMBERED, STATES = 100_000, 50_000  # forms and automaton states that a task keeps
 NO_MODEL = 0.0
 
 EDGES = "#$%&|@=+^/\\.,;:!?()[]{}<>*_~`\"'“”„‘’«»…-"
@@ -124,7 +124,7 @@ class Lexicon:
             if c in steps:
                 state = steps[c]
             else:
-                if len(self.steps) > 200_000:
+                if len(self.steps) > STATES:
                     self.steps = {}
                 state = steps[c] = self._step(state, c)
             if state is None:
@@ -401,13 +401,17 @@ def clean_documents(docs: DataFrame, model, *, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = _scored(model)
-        for batch in batches:
-            asked = pa.record_batch(
-                [pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], names=["key", "text"]
-            )
-            for scored in judge(iter([asked])):
-                keep = [s < 0.5 for s in scored.column("score").to_pylist()]
-                yield batch.filter(pa.array(keep, pa.bool_()))
+        held = []
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held.append(batch)
+                rows = pa.array(range(batch.num_rows), pa.int64())
+                yield pa.record_batch([rows, batch.column(at)], names=["key", "text"])
+
+        for scored in _scored(model)(asked()):  # one lexicon a task
+            keep = [s < 0.5 for s in scored.column("score").to_pylist()]
+            yield held.pop().filter(pa.array(keep, pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
