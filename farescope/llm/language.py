@@ -10,7 +10,8 @@ off: the longest n-grams that are known score it, else shorter ones, down to sin
 characters. The language with the largest sum wins; the score is its share after a softmax
 of the sums per square root of words. Only text is read when a text is scored.
 
-Words are runs of letters, lower-cased.
+Words are runs of Unicode letters (category L) with the marks that follow them, lower-cased; numbers such as "½", "²", "①"
+and "Ⅷ" are no letters.
 
 Defined cases: a text that is NULL or has no letter gets ``und`` and score 0; so does every
 text when no row teaches; NULL languages teach nothing; NULL ids teach, as they are in no
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +41,17 @@ REMEMBERED = 200_000
 SMOOTHING = 0.5
 UNKNOWN = "und"
 
-LETTERS = re.compile(r"[^\W\d_]+")
+# A word: letters, and the marks that follow them (vowel signs, accents written apart).
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+# The same words of texts below U+0250, which hold no marks.
+BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+LATIN_LETTERS = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
+
+
+def found_words(text: str) -> list[str]:
+    """The words of a text in lower case: runs of Unicode letters with their marks."""
+    text = text.lower()
+    return (LETTERS if BEYOND_LATIN.search(text) else LATIN_LETTERS).findall(text)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -53,7 +65,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words: dict[str, Counter] = defaultdict(Counter)
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-            words[lang].update(LETTERS.findall(text.lower()))
+            words[lang].update(found_words(text))
         rows = []
         for lang, counted in words.items():
             pieces: Counter = Counter()
@@ -112,7 +124,7 @@ class Model:
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counted = Counter(LETTERS.findall(text.lower())) if text else None
+        counted = Counter(found_words(text)) if text else None
         if not counted:
             return UNKNOWN, 0.0
         if len(self.rows) > REMEMBERED:

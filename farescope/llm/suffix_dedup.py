@@ -34,12 +34,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farescope.llm.common import input_tasks, saved
 from farescope.llm.hashing import mix, raw, running
 from farescope.llm.suffix_array import suffix_array
+from farescope.operators.latest import number_in_order
 
 WIDTH = 100
 SEED = 32
@@ -489,7 +490,7 @@ def _remove(width: int):
 
 
 def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, doc, text: ``doc`` is the id, or, where ids repeat, a number per id and text in the ids' order."""
+    """doc_id, doc, text: ``doc`` is the id, or, where ids repeat, the place of the (id, text) in the ids' order."""
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"),
@@ -499,14 +500,10 @@ def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
     if (most or 0) < 2:
         return rows.withColumn("doc", F.col("doc_id"))
-    texts = rows.select("doc_id", F.xxhash64("text").alias("row"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("row")) - 1
-    places = texts.where("doc_id is not null").distinct().withColumn("doc", F.col("doc_id") * int(most) + place)
-    return (
-        rows.withColumn("row", F.xxhash64("text"))
-        .join(places, ["doc_id", "row"], "left")
-        .select("doc_id", "doc", "text")
-    )
+    rows = rows.withColumn("row", F.xxhash64("text"))
+    texts = rows.select("doc_id", "row").where("doc_id is not null").distinct()
+    places = number_in_order(texts, [], [F.col("doc_id"), F.col("row")], "doc", unique=True)
+    return rows.join(places, ["doc_id", "row"], "left").select("doc_id", "doc", "text")
 
 
 def remove_repeats(

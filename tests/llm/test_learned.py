@@ -161,6 +161,25 @@ def test_shares_are_equal_or_all():
     assert language.shares({"a": 3}, 1000) == {"a": 1}
 
 
+def test_words_are_letters_with_their_marks(spark):
+    assert language.found_words("हिन्दी भाषा") == ["हिन्दी", "भाषा"]
+    assert language.found_words("½ ² ① Ⅷ 12 _ ٣") == []
+    assert language.found_words("L'Été_à №7 µm") == ["l", "été", "à", "µm"]
+    assert language.found_words("e\u0301te\u0301 \u0301x") == ["e\u0301te\u0301", "x"]
+    every = " ".join(map(chr, range(0x250))) + "".join(map(chr, range(0x250)))
+    for text in (every, "Straße und naïve ªº"):
+        assert language.LATIN_LETTERS.findall(text) == language.LETTERS.findall(text)
+    model = language.learn(table(spark, tongues()))
+    assert model.predict("½ ² ①") == ("und", 0.0)
+
+
+def test_language_of_a_very_long_text(spark):
+    """Whole texts count: the end of a long one decides."""
+    model = language.learn(table(spark, tongues()))
+    docs = table(spark, [(1, "the " * 9 + "kiko okokia " * 200_000, None, None, 0)] * 2)
+    assert many(language.identify(docs, model), "doc_id", "lang_pred") == [(1, "zz")] * 2
+
+
 def test_language_without_teachers(spark):
     docs = table(spark, [(1, "some text", None, None, 0), (1, "some text", None, None, 0)])
     assert language.learn(docs) is None

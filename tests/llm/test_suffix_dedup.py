@@ -112,5 +112,17 @@ def test_repeated_and_missing_ids(spark):
     assert [v[1] for v in got[None]] == [0]
 
 
+def test_repeated_ids_near_the_ends_of_the_type(spark):
+    """Numbers for repeated ids keep the ids' order and cannot overflow, however large the ids are."""
+    rng = random.Random(12)
+    text = "".join(rng.choice("abcdefgh") for _ in range(130))
+    far = 2**63 - 1
+    rows = [(5, "x", None, None, 0), (5, "y", None, None, 0), (far, text + "last", None, None, 0),
+            (2**62 + 1, "mid" + text, None, None, 0), (-far, text + "first", None, None, 0)]
+    got = result(suffix_dedup.remove_repeats(table(spark, rows)))
+    assert [got[i][0][1] for i in (-far, 2**62 + 1, far)] == [0, 130, 130]
+    assert [v[1] for v in got[5]] == [0, 0]
+
+
 def test_empty(spark):
     assert suffix_dedup.remove_repeats(table(spark, [], SCHEMA)).collect() == []
