@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from farescope.llm import fill_middle, importance
 from farescope.llm.mixing import MAX_REPEATS, RANK_BINS, SEED, WEIGHTS
-from farescope.llm.quality import LEAST_ROWS, LEAST_WORDS, MEASURES, REACH, REPEAT_PERCENT
+from farescope.llm.quality import CHANCE, LEAST_WORDS, REACH, REPEAT_PERCENT, TAIL
 from farescope.llm.secret_ledger import RULES
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -134,25 +134,18 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (dropped)::BIGINT AS
 FROM marked GROUP BY doc_id
 """
 
+# Measure: count, of how many, size of one event.
 _RATE = {
-    "word_length": "word_chars / n_words",
-    "symbol_rate": "n_symbols / n_words",
-    "line_repeat_rate": "n_dup_lines / n_lines",
-    "word_repeat_rate": "n_repeat_words / n_words",
+    "word_length": ("word_chars", "n_words", 0),
+    "symbol_rate": ("n_symbols", "n_words", 1),
+    "line_repeat_rate": ("n_dup_lines", "n_lines", 1),
+    "word_repeat_rate": ("n_repeat_words", "n_words", 5),
 }
-
-
-def _fences(prefix: str) -> str:
-    out = []
-    for m, least in MEASURES.items():
-        low, high = f"quantile_disc({m}, 0.25)", f"quantile_disc({m}, 0.75)"
-        half = f"greatest(({high} - {low}) * {REACH}, {least})"
-        out += [f"{low} - {half} AS {prefix}low_{m}", f"{high} + {half} AS {prefix}high_{m}"]
-    return ", ".join(out)
-
-
+_FENCED = ", ".join(f"quantile_disc({m}, [{TAIL}, 0.5, {1 - TAIL}]) AS q_{m}" for m in _RATE)
 _INSIDE = " AND ".join(
-    f"coalesce({m} BETWEEN coalesce(g.own_low_{m}, e.low_{m}) AND coalesce(g.own_high_{m}, e.high_{m}), true)" for m in MEASURES
+    f"{m} + may_{m} >= q_{m}[1] - {REACH} * (q_{m}[2] - q_{m}[1])"
+    f" AND {m} - may_{m} <= q_{m}[3] + {REACH} * (q_{m}[3] - q_{m}[2])"
+    for m in _RATE
 )
 
 OP9 = rf"""
@@ -175,16 +168,14 @@ measured AS (
     coalesce(c.n, 0)::BIGINT AS n_repeat_words
   FROM tokens LEFT JOIN covered c USING (doc_id)
 ), rated AS (
-  SELECT *, {", ".join(f"coalesce({r}, 0) AS {m}" for m, r in _RATE.items())},
+  SELECT *, {", ".join(
+      f"coalesce({c} / {of}, 0) AS {m}, coalesce({CHANCE * event} / nullif({of}, 0), 0) AS may_{m}"
+      for m, (c, of, event) in _RATE.items())},
     n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM measured
-), own AS (
-  SELECT lang, source, {_fences("own_")} FROM rated WHERE NOT base_failed
-  GROUP BY lang, source HAVING count(*) >= {LEAST_ROWS}
-), every AS (SELECT {_fences("")} FROM rated WHERE NOT base_failed)
+), own AS (SELECT lang, source, {_FENCED} FROM rated GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND {_INSIDE} AS kept
-FROM rated r CROSS JOIN every e
-LEFT JOIN own g ON r.lang IS NOT DISTINCT FROM g.lang AND r.source IS NOT DISTINCT FROM g.source
+FROM rated r JOIN own g ON r.lang IS NOT DISTINCT FROM g.lang AND r.source IS NOT DISTINCT FROM g.source
 """
 
 OP10 = """

@@ -1,17 +1,20 @@
 """Quality rules whose cutoffs adapt to each language and source.
 
-Measures of every text are taken once. Per (language, source) a mergeable quantile
-sketch of each measure gives its quartiles, and the fences around them, widened by
-``REACH`` times the quartile range, replace fixed cutoffs. Sketches merge across
-tasks, so a hot source costs one sketch per task. Groups below ``LEAST_ROWS`` rows use
-the fences of all rows. The fences are joined back to the measures.
+Measures of every text are taken once. Per (language, source) a mergeable quantile sketch of each
+measure, over all rows of the group, gives its median and an upper and a lower quantile (``TAIL``). The
+fences lie ``REACH`` times the distance from the median beyond them and replace fixed cutoffs: where seven
+in eight texts have no symbols, the fence is zero. A rate counts events, and ``CHANCE`` of them may
+come by chance where none are expected, so a text fails a fence only if it does so without them.
+The fences are joined back to the measures. Sketches merge across tasks, so a hot source costs one sketch
+per task. A small group needs no rule of its own: its quantiles are its own rows, and a row alone is inside.
 
 DataFrame functions only. The measures are written to the shared folder between the
 two passes; the text is read once.
 
 Defined cases: NULL or empty text has no words and fails the base rules; NULL language
 or source is a group of its own; every row is judged on its own, so repeated rows get
-equal verdicts; an empty table gives an empty result; other columns are ignored.
+equal verdicts; a very long text is measured whole, in one row's arrays; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,17 +28,17 @@ SYMBOLS = "#*$%&|<>"
 RUN = 5
 LEAST_WORDS = 10
 REPEAT_PERCENT = 20
+TAIL = 0.125
 REACH = 3.0
-LEAST_ROWS = 50
+CHANCE = 3
 ACCURACY = 2000
 
-# Measure: narrowest half-width of its fence. Rates that are zero nearly everywhere
-# have no quartile range of their own.
+# Measure: what it counts, of how many, and the size of one event. A mean has no events.
 MEASURES = {
-    "word_length": 3.0,
-    "symbol_rate": 0.1,
-    "line_repeat_rate": 0.4,
-    "word_repeat_rate": 0.2,
+    "word_length": ("word_chars", "n_words", 0),
+    "symbol_rate": ("n_symbols", "n_words", 1),
+    "line_repeat_rate": ("n_dup_lines", "n_lines", 1),
+    "word_repeat_rate": ("n_repeat_words", "n_words", RUN),
 }
 
 
@@ -102,17 +105,13 @@ def measured(
 
 
 def rates(measures: DataFrame) -> DataFrame:
-    def per(a, b):
-        return F.coalesce(F.col(a) / F.when(F.col(b) > 0, F.col(b)), F.lit(0.0))
-
-    return measures.withColumns(
-        {
-            "word_length": per("word_chars", "n_words"),
-            "symbol_rate": per("n_symbols", "n_words"),
-            "line_repeat_rate": per("n_dup_lines", "n_lines"),
-            "word_repeat_rate": per("n_repeat_words", "n_words"),
-        }
-    )
+    """Each measure, and as ``may_`` what chance may add to it; 0 where there is nothing to count in."""
+    out = {}
+    for m, (count, of, event) in MEASURES.items():
+        many = F.when(F.col(of) > 0, F.col(of))
+        out[m] = F.coalesce(F.col(count) / many, F.lit(0.0))
+        out[f"may_{m}"] = F.coalesce(F.lit(CHANCE * event) / many, F.lit(0.0))
+    return measures.withColumns(out)
 
 
 def base_failed() -> Column:
@@ -122,45 +121,31 @@ def base_failed() -> Column:
 
 
 def fences(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: its rows, and low_/high_ of every measure, from sketches of rows that pass the base rules."""
-    sketches = [
-        F.percentile_approx(m, [0.25, 0.75], ACCURACY).alias(f"q_{m}") for m in MEASURES
-    ]
-    grouped = rows.where(~base_failed()).groupBy(*keys).agg(F.count("*").alias("group_rows"), *sketches)
+    """Per group: low_ and high_ of every measure, from sketches of all its rows."""
+    sketches = [F.percentile_approx(m, [TAIL, 0.5, 1 - TAIL], ACCURACY).alias(f"q_{m}") for m in MEASURES]
     out = {}
-    for m, least in MEASURES.items():
-        low, high = F.get(f"q_{m}", F.lit(0)), F.get(f"q_{m}", F.lit(1))
-        half = F.greatest((high - low) * REACH, F.lit(least))
-        out |= {f"low_{m}": low - half, f"high_{m}": high + half}
-    return grouped.withColumns(out).drop(*[f"q_{m}" for m in MEASURES])
+    for m in MEASURES:
+        low, middle, high = (F.get(f"q_{m}", F.lit(i)) for i in range(3))
+        out |= {f"low_{m}": low - (middle - low) * REACH, f"high_{m}": high + (high - middle) * REACH}
+    return rows.groupBy(*keys).agg(*sketches).withColumns(out).drop(*[f"q_{m}" for m in MEASURES])
 
 
 def judge(docs: DataFrame, **columns) -> DataFrame:
     """doc_id, the measures, base_failed and kept."""
     rows = rates(saved(measured(docs, **columns), "quality-measures"))
-    own = fences(rows, ["lang", "source"]).where(F.col("group_rows") >= LEAST_ROWS)
-    every = fences(rows, []).first()  # one row of fences over all rows
-    own = own.select(
-        F.col("lang").alias("g_lang"),
-        F.col("source").alias("g_source"),
-        *[F.col(f"{s}_{m}").alias(f"own_{s}_{m}") for m in MEASURES for s in ("low", "high")],
-    )
+    own = fences(rows, ["lang", "source"]).withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
     inside = F.lit(True)
     for m in MEASURES:
-        low, high = (F.lit(every[f"{s}_{m}"]).cast("double") for s in ("low", "high"))
-        inside &= (F.col(m) >= F.coalesce(f"own_low_{m}", low)) & (
-            F.col(m) <= F.coalesce(f"own_high_{m}", high)
-        )
+        inside &= F.col(m) + F.col(f"may_{m}") >= F.col(f"low_{m}")
+        inside &= F.col(m) - F.col(f"may_{m}") <= F.col(f"high_{m}")
     same = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
-    return (
-        rows.join(own, same, "left").select(
-            "doc_id",
-            "n_words",
-            "word_chars",
-            "n_symbols",
-            "n_dup_lines",
-            "n_repeat_words",
-            base_failed().alias("base_failed"),
-            (~base_failed() & F.coalesce(inside, F.lit(True))).alias("kept"),
-        )
+    return rows.join(own, same).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        base_failed().alias("base_failed"),
+        (~base_failed() & inside).alias("kept"),
     )

@@ -148,6 +148,11 @@ def measures(text):
     return len(w), sum(map(len, w)), symbols, dup, len(hit), failed
 
 
+def n_lines(text):
+    """Lines with a word."""
+    return sum(bool(words(line)) for line in (text or "").split("\n"))
+
+
 def top(rows, is_query, k=10):
     """op10: {(query_id, rank): (vec_id, score)} of [(vec_id, vector)]."""
     usable = []

@@ -54,6 +54,75 @@ def test_fences_follow_the_group(spark):
     assert all(kept[i] == (True,) for i in range(80))
 
 
+def unlike(rng, n):
+    """n words whose runs do not come again."""
+    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) for _ in range(n)]
+
+
+def test_each_measure_alone_rejects(spark):
+    """Texts that pass the base rules and are odd in one measure only (lines: see the next test)."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, "\n".join(" ".join(unlike(rng, 10)) for _ in range(20)), "en", "a", 0) for i in range(60)]
+    phrase = " ".join(unlike(rng, 18))
+    odd = {
+        "word_length": " ".join(w * 8 for w in unlike(rng, 200)),
+        "symbol_rate": " ".join(unlike(rng, 200)) + "#" * 18,
+        "word_repeat_rate": " ".join([*unlike(rng, 100), phrase, *unlike(rng, 100), phrase, *unlike(rng, 5)]),
+    }
+    rows += [(100 + i, t, "en", "a", 0) for i, t in enumerate(odd.values())]
+    few = " ".join(unlike(rng, 200))
+    rows += [(200, few + "###", "en", "a", 0), (201, few + "\n" + "\n".join(["same"] * 4), "en", "a", 0)]
+    got = by_id(quality.judge(table(spark, rows)), "base_failed", "kept")
+    assert {got[i] for i in range(60)} == {(False, True)}
+    assert got[100] == got[101] == got[102] == (False, False)
+    assert got[200] == got[201] == (False, True)  # three events may come by chance
+
+
+def test_lines_alone_reject(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, "\n".join(" ".join(unlike(rng, 10)) for _ in range(20)), "en", "a", 0) for i in range(60)]
+    text = "\n".join(x for _ in range(30) for x in (" ".join(unlike(rng, 10)), "menu"))
+    rows.append((100, text, "en", "a", 0))
+    got = {r["doc_id"]: r for r in quality.judge(table(spark, rows)).collect()}
+    assert (got[100]["n_repeat_words"], got[100]["n_dup_lines"]) == (0, 29)
+    assert got[100]["kept"] is False and all(got[i]["kept"] for i in range(60))
+
+
+def test_verdicts_equal_plain_fences(spark):
+    rows = corpus(21, 150) + AWKWARD
+    rows = [(i, None if t is None else t + " $" * (60 if i % 30 == 0 else 0), *rest) for i, t, *rest in rows]
+    sized = {r[0]: (r[2:4], brute.measures(r[1]), brute.n_lines(r[1])) for r in rows}
+
+    def rated(m, n_lines):
+        n, chars, symbols, dups, repeats, _ = m
+        return [(c / of if of else 0.0, 3 * e / of if of else 0.0)
+                for c, of, e in ((chars, n, 0), (symbols, n, 1), (dups, n_lines, 1), (repeats, n, 5))]
+
+    groups = {}
+    for group, m, lines in sized.values():
+        groups.setdefault(group, []).append(rated(m, lines))
+    want = {}
+    for i, (group, m, lines) in sized.items():
+        kept = not m[5]
+        for k, (rate, chance) in enumerate(rated(m, lines)):
+            ordered = sorted(r[k][0] for r in groups[group])
+            low, mid, high = (ordered[max(0, -(-len(ordered) * q // 8) - 1)] for q in (1, 4, 7))
+            kept &= low - 3 * (mid - low) <= rate + chance and rate - chance <= high + 3 * (high - mid)
+        want[i] = (kept,)
+    assert by_id(quality.judge(table(spark, rows)), "kept") == want
+    assert {False, True} == {k for (k,), (_, m, _) in zip(want.values(), sized.values()) if not m[5]}
+
+
+def test_small_groups_and_long_texts(spark):
+    long = "word " * 5 + " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long, "en", "a", 0), (2, "$ " * 40 + "a b c d e f g h i j k l m n o p q r s t u v w", None, None, 0)]
+    assert by_id(quality.judge(table(spark, rows)), "n_words", "kept")[1] == (60_005, True)
+
+
 def test_quality_repeats_missing_and_empty(spark):
     rows = corpus()[:5] * 2 + [(None, None, None, None, None)]
     got = many(quality.judge(table(spark, rows)), "doc_id", "n_words", "kept")
