@@ -94,7 +94,7 @@ def test_lines_alone_reject(spark):
 
 def test_verdicts_equal_plain_fences(spark):
     rows = corpus(21, 150) + AWKWARD
-    rows = [(i, None if t is None else t + " $" * (60 if i % 30 == 0 else 0), *rest) for i, t, *rest in rows]
+    rows = [(i, None if t is None else t + (" " + "$" * 60) * (i % 30 == 3), *rest) for i, t, *rest in rows]
     sized = {r[0]: (r[2:4], brute.measures(r[1]), brute.n_lines(r[1])) for r in rows}
 
     def rated(m, n_lines):
