@@ -8,7 +8,7 @@ Every row is written twice, so that the loads have duplicates to ignore.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farescope.plans.proxies import snap
@@ -25,11 +25,12 @@ COLUMNS = [
 ]
 
 
-def write_feed(spark: SparkSession, sf_dir: str) -> str:
-    """Write the files and return their folder."""
-    folder = working_folder(spark, "feed")
+def write_feed(spark: SparkSession, sf_dir: str, folder: str | None = None, only: Column | None = None) -> str:
+    """Write the files, of the rows that ``only`` names if given, and return their folder."""
+    folder = folder or working_folder(spark, "feed")
     half = F.when(F.hour("snapshot_ts") < 12, "00-00").otherwise("12-00")
     rows = snap(spark, sf_dir).withColumn("half", half)
+    rows = rows if only is None else rows.filter(only)
     file = F.concat(F.lit(f"{FEED.name}_"), F.col("date_of_journey").cast("string"), F.lit("_"), "half", F.lit(".csv"))
     rows = rows.withColumn("file", file).hint("rebalance", "file")
     rows = rows.unionAll(rows)

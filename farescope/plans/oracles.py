@@ -797,6 +797,7 @@ _QUERIES: dict[str, tuple[str, str, str]] = {
           date_of_journey - CAST(dayofweek(date_of_journey) AS INTEGER) AS week_start FROM snap""",
     ),
     "load_folder_twice": ("snap feed feed_table", "", "SELECT * FROM feed_table"),
+    "load_folder_recent": ("snap feed feed_table", "", "SELECT * FROM feed_table"),
     "partition_report": (
         "snap feed feed_table", "", "SELECT week_start, count(*) AS row_count FROM feed_table GROUP BY 1",
     ),

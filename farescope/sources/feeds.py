@@ -8,6 +8,7 @@ says which cell is which column. A file without a header is reported, never take
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,9 +34,16 @@ LINE = ("value", "_metadata.file_path", "_metadata.file_block_start")
 LANDED = ("file_path", "file_block_start", "line_id", "value")
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths of all CSV files under ``folder``; the contents are not read."""
-    return spark.read.format("binaryFile").options(**LISTING).load(folder).select("path")
+def list_files(spark: SparkSession, folder: str, since: int | None = None) -> DataFrame:
+    """Path and time of change of the CSV files under ``folder``; the contents are not read.
+
+    ``since``, in seconds of the epoch, leaves out files that have not changed after it.
+    """
+    reader = spark.read.format("binaryFile").options(**LISTING)
+    if since is not None:
+        after = dt.datetime.fromtimestamp(since, dt.UTC).strftime("%Y-%m-%dT%H:%M:%S")
+        reader = reader.option("timeZone", "UTC").option("modifiedAfter", after)
+    return reader.load(folder).select("path", F.col("modificationTime").alias("modified"))
 
 
 def is_header(line: Column, feed: Feed) -> Column:

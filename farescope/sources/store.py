@@ -18,7 +18,8 @@ from farescope.plans.session import size_shuffles, tune
 from farescope.schemas import FEEDS, Feed
 from farescope.sources.feeds import land, list_files, parse_lines, plain_path, read_lines, typed
 
-LEDGER_SCHEMA = "feed string, path string"
+LEDGER_SCHEMA = "feed string, path string, modified timestamp"
+MARKS_SCHEMA = "feed string, folder string, modified long"
 COLUMNS_SCHEMA = "column_name string, added_at timestamp"
 GENERATIONS_SCHEMA = "week_start date, gen int"
 REJECTED_SCHEMA = "feed string, path string, reason string"
@@ -49,6 +50,11 @@ def rejected_path(base: str) -> str:
     return f"{files_path(base)}/status=noted"
 
 
+def marks_path(base: str) -> str:
+    """How far each folder has been loaded, by its files' times of change."""
+    return f"{base.rstrip('/')}/_marks"
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -255,11 +261,47 @@ def migrate(source: DataFrame, base: str, feed: Feed, start: str, end: str) -> i
     return insert_ignore(in_date_range(source, feed.date_column, start, end), base, feed)
 
 
-def new_files(spark: SparkSession, folder: str, base: str, feed: Feed) -> DataFrame:
-    """Files not in the ledger; the ledger is keyed by feed and full path."""
+def new_files(spark: SparkSession, folder: str, base: str, feed: Feed, since: int | None = None) -> DataFrame:
+    """Files not in the ledger, which is keyed by feed and full path; with ``since`` only those changed after it.
+
+    Then the ledger, too, is read from there on: an entry has its file's time of change.
+    """
     done = read_or_empty(spark, ledger_path(base), LEDGER_SCHEMA)
-    found = list_files(spark, folder).withColumn("feed", F.lit(feed.name))
-    return found.join(done, ["feed", "path"], "left_anti").select("feed", "path")
+    if since is not None:
+        done = done.filter(F.col("modified").isNull() | (F.col("modified") >= F.timestamp_seconds(F.lit(since))))
+    found = list_files(spark, folder, since).withColumn("feed", F.lit(feed.name))
+    return found.join(done.select("feed", "path"), ["feed", "path"], "left_anti").select("feed", "path", "modified")
+
+
+def loaded_until(spark: SparkSession, folder: str, base: str, feed: Feed) -> int | None:
+    """The newest time of change, in seconds, among the files that complete loads of the folder have taken."""
+    marks = read_or_empty(spark, marks_path(base), MARKS_SCHEMA)
+    own = marks.filter((F.col("feed") == feed.name) & (F.col("folder") == folder.rstrip("/")))
+    return own.agg(F.max("modified")).first()[0]
+
+
+def fold_ledger(spark: SparkSession, base: str, most_files: int = 16, small: int = 32 << 20) -> int:
+    """Write the ledger's files below ``small`` bytes together if there are more than ``most_files``; returns how many.
+
+    Large ones stay, so what is rewritten does not follow the ledger's age. Entries are in order of their files' times,
+    so a load that looks back a little skips the others. The new files are there before the old ones go; entries
+    that stand twice after a failure in between change nothing. Loads and folds take turns.
+    """
+    path = ledger_path(base)
+    if not path_exists(spark, path):
+        return 0
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    old = [r.path for r in files.filter(F.col("length") < small).select("path").collect()]
+    if len(old) <= most_files:
+        return 0
+    entries = spark.read.schema(LEDGER_SCHEMA).parquet(*old)
+    entries.groupBy("feed", "path").agg(F.max("modified").alias("modified")).orderBy("modified", "path").write.mode(
+        "append"
+    ).parquet(path)
+    for file in old:
+        p = spark._jvm.org.apache.hadoop.fs.Path(file)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, False)
+    return len(old)
 
 
 def rejected_files(spark: SparkSession, base: str) -> DataFrame:
@@ -276,7 +318,7 @@ UNPAIRED = "unpaired quote: read line by line"
 
 
 def load_lines(lines: DataFrame, base: str, feed: Feed, paths: DataFrame | None = None) -> int:
-    """Insert the rows of landed lines, then note their files, or ``paths`` (path), as loaded or rejected.
+    """Insert the rows of landed lines, then note their files, or ``paths`` (path, modified), as loaded or rejected.
 
     A file whose quotes do not pair up is loaded line by line, and noted too.
     """
@@ -285,6 +327,8 @@ def load_lines(lines: DataFrame, base: str, feed: Feed, paths: DataFrame | None
     files = notes.select(plain_path(F.col("file_path")).alias("path"), "unpaired", "has_header")
     if paths is not None:
         files = paths.distinct().join(files, "path", "left")
+    else:
+        files = files.withColumn("modified", F.lit(None).cast("timestamp"))
     headed = F.coalesce("has_header", F.lit(False))
 
     def entry(status: str, reason: Column) -> Column:
@@ -296,8 +340,8 @@ def load_lines(lines: DataFrame, base: str, feed: Feed, paths: DataFrame | None
         F.when(F.col("unpaired"), entry("noted", F.lit(UNPAIRED))),
     )
     (
-        files.select(F.lit(feed.name).alias("feed"), "path", F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
-        .select("feed", "path", "e.*")
+        files.withColumn("e", F.explode(F.filter(entries, lambda e: e.isNotNull())))
+        .select(F.lit(feed.name).alias("feed"), "path", "modified", "e.*")
         .coalesce(1)
         .write.mode("append")
         .partitionBy("status")
@@ -307,7 +351,12 @@ def load_lines(lines: DataFrame, base: str, feed: Feed, paths: DataFrame | None
 
 
 def load_folder(
-    spark: SparkSession, folder: str, base: str, feed: Feed, files_per_round: int = 10_000
+    spark: SparkSession,
+    folder: str,
+    base: str,
+    feed: Feed,
+    files_per_round: int = 10_000,
+    look_back: dt.timedelta | None = None,
 ) -> int:
     """Load every new file, oldest name first, in rounds of bounded size.
 
@@ -315,12 +364,24 @@ def load_folder(
     The ledger is written after the rows. A failure in between makes the next
     run read those files again, and insert-or-ignore then adds nothing twice.
     A file without a header goes to the table of rejected files.
+
+    With ``look_back``, files are taken that have changed since that long before the newest one that complete
+    loads of this folder have taken: neither the names nor the ledger entries of older files are read. A late file
+    with an old name is taken, as its time of change is new; one that was put there with a time of change further back
+    needs a load without ``look_back``, and so does a file without a header that is to be looked at again.
     """
-    total = 0
-    todo = (r.path for r in new_files(spark, folder, base, feed).orderBy("path").toLocalIterator())
-    while paths := list(islice(todo, files_per_round)):
-        names = spark.createDataFrame([(p,) for p in paths], "path string")
-        total += load_lines(land(read_lines(spark, paths)), base, feed, names)
+    mark = None if look_back is None else loaded_until(spark, folder, base, feed)
+    since = None if mark is None else mark - int(look_back.total_seconds()) - 1
+    files = new_files(spark, folder, base, feed, since)
+    total, newest = 0, mark
+    todo = files.orderBy("path").toLocalIterator()
+    while found := list(islice(todo, files_per_round)):
+        names = spark.createDataFrame([(r.path, r.modified) for r in found], "path string, modified timestamp")
+        total += load_lines(land(read_lines(spark, [r.path for r in found])), base, feed, names)
+        newest = max([int(r.modified.timestamp()) for r in found] + [newest or 0])
+    if look_back is not None and newest != mark:
+        line = spark.createDataFrame([(feed.name, folder.rstrip("/"), newest)], MARKS_SCHEMA)
+        line.coalesce(1).write.mode("append").parquet(marks_path(base))
     return total
 
 

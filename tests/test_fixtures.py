@@ -1,6 +1,7 @@
 """Hand-made feed files whose results are known."""
 
 import datetime as dt
+import os
 from decimal import Decimal as D
 
 import pytest
@@ -591,3 +592,58 @@ def test_small_loads_are_compacted_beside_a_reader(spark, tmp_path):
     plan = store.only_weeks_of(store.read_table(spark, base, SEAT_PRICES), again)._jdf.queryExecution().executedPlan()
     filters_of = plan.toString().split("PartitionFilters: [")[1].split("PushedFilters")[0]
     assert "gen" in filters_of and "week_start" in filters_of
+
+
+def test_loads_look_back_from_the_newest_file(spark, tmp_path):
+    folder, base, day = tmp_path / "in", str(tmp_path / "store"), dt.timedelta(days=1)
+    folder.mkdir()
+    now = dt.datetime.now().timestamp()
+
+    def file(hour, schedule, days_ago):
+        path = folder / f"seat_wise_prices_2025-01-01_{hour:02d}-30.csv"
+        path.write_text(f"schedule_id,seat_number,travel_date,snapshot_ts\n{schedule},1,2025-01-02,2025-01-01 06:30:00\n")
+        os.utime(path, (now - days_ago * 86400,) * 2)
+
+    def load(**how):
+        return store.load_folder(spark, str(folder), base, SEAT_WISE_PRICES, **how)
+
+    for i in range(8):
+        file(10 + i, f"S{i}", 40 - i)
+    assert load(look_back=day, files_per_round=3) == 8 and load(look_back=day) == 0
+    mark = store.loaded_until(spark, str(folder) + "/", base, SEAT_WISE_PRICES)
+    assert mark == int(now - 33 * 86400)
+    # Of the old files, only the one within a day of the newest is listed.
+    assert feeds.list_files(spark, str(folder), mark - 86400 // 2).count() == 1
+    file(3, "LATE", 0)  # an old name
+    assert load(look_back=day) == 1 and load(look_back=day) == 0
+    file(4, "BACK", 20)  # put there with an old time of change
+    assert load(look_back=day) == 0 and load() == 1 and load() == 0
+    table = store.read_table(spark, base, SEAT_WISE_PRICES)
+    assert sorted(r.schedule_id for r in table.collect()) == sorted([*(f"S{i}" for i in range(8)), "LATE", "BACK"])
+
+
+def test_ledger_is_folded(spark, tmp_path):
+    base = str(tmp_path / "store")
+    path = store.ledger_path(base)
+    assert store.fold_ledger(spark, base) == 0
+    for i in range(6):
+        entry = spark.createDataFrame([("f", f"p{i % 5}", dt.datetime(2025, 1, 1 + i))], store.LEDGER_SCHEMA)
+        entry.coalesce(1).write.mode("append").parquet(path)
+    assert store.fold_ledger(spark, base, most_files=6) == 0
+    assert store.fold_ledger(spark, base, most_files=5) == 6
+    left = spark.read.parquet(path)
+    assert sorted((r.path, r.modified.day) for r in left.collect()) == [("p0", 6), *((f"p{i}", i + 1) for i in range(1, 5))]
+    assert len(left.inputFiles()) < 6
+    # Files that are large already stay as they are.
+    assert store.fold_ledger(spark, base, most_files=0, small=10) == 0
+
+
+def test_ledgers_without_times_still_count(spark, tmp_path):
+    folder, base = tmp_path / "in", str(tmp_path / "store")
+    folder.mkdir()
+    file = folder / "seat_wise_prices_2025-01-01_06-30.csv"
+    file.write_text("schedule_id,seat_number,travel_date\nS1,1,2025-01-02\n")
+    old = spark.createDataFrame([(SEAT_WISE_PRICES.name, file.as_uri().replace("///", "/"))], "feed string, path string")
+    old.write.parquet(store.ledger_path(base))
+    assert store.new_files(spark, str(folder), base, SEAT_WISE_PRICES).count() == 0
+    assert store.new_files(spark, str(folder), base, SEAT_WISE_PRICES, since=0).count() == 0
