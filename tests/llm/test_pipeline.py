@@ -1,11 +1,12 @@
 """The pipeline on a small corpus, each stage beside a plain version of it."""
 
+import random
 from collections import Counter, defaultdict
 
 import brute
 import numpy as np
 import pytest
-from helpers import prose
+from helpers import AWKWARD, SCHEMA, prose, table
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -73,3 +74,37 @@ def test_run_packs_what_the_mix_left(spark, folder):
 def test_uses_the_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "mixing", "packing"]
     assert (mixing, toxicity, F) and corpus_pipeline.ORACLE_SQL is None
+
+
+def written(spark, path, docs):
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_empty_table(spark, tmp_path):
+    path = written(spark, tmp_path, table(spark, [], SCHEMA))
+    assert corpus_pipeline.run(spark, path).collect() == []
+
+
+def test_no_labels_repeated_ids_and_clashing_names(spark, tmp_path):
+    """Nothing teaches, ids and rows repeat, columns are named like the stages' own: no row or column is lost unasked."""
+    rows = AWKWARD + [(1, prose(random.Random(i), 40), "en", "a", 0) for i in (1, 2)] * 2 + [(None, "w " * 12, None, None, 0)]
+    path = written(spark, tmp_path, table(spark, rows))
+    docs, seen = spark.read.parquet(f"{path}/documents.parquet"), {}
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, path).write.parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+        assert docs.columns == columns
+        seen[name] = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=repr)
+    assert seen["toxicity"] == sorted(((r[0], r[1]) for r in rows), key=repr)
+    assert [i for i, _ in seen["line_dedup"]] == [i for i, _ in seen["toxicity"]]
+    # Rows that share an id are one document to the join, of which one row stays; those without words are alone.
+    assert Counter(i for i, _ in seen["ngram_join"])[1000] == 1 and (1, rows[8][1]) in seen["toxicity"]
+    assert set(i for i, _ in seen["mixing"]) <= set(i for i, _ in seen["ngram_join"])
+    pieces = corpus_pipeline.run(spark, path).collect()
+    assert sum(p["length"] for p in pieces) == sum(
+        len(Tokenizer.from_file(packing.tokenizer_path()).encode(t or "", add_special_tokens=False).ids) + 1
+        for _, t in seen["mixing"]
+    )

@@ -51,5 +51,12 @@ def test_new_rule_version_is_scanned_alone(spark):
     assert added.count() == n and {tuple(r["rules"]) for r in added.collect()} == {("hex@2",)}
 
 
+def test_very_long_text_is_scanned_whole(spark):
+    long = "some words of text " * 60_000 + "password = abcdef123 " + "more words " * 60_000 + "AKIA" + "B" * 20
+    data = [(1, long, None, None, 0), (1, long, None, None, 0)]
+    assert listed(secret_ledger.find_secrets(table(spark, data))) == want(data)
+    assert want(data)[0][1].count(":") == 4
+
+
 def test_empty(spark):
     assert secret_ledger.find_secrets(table(spark, [], SCHEMA)).collect() == []
