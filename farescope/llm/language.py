@@ -15,7 +15,8 @@ and "Ⅷ" are no letters.
 
 Defined cases: a text that is NULL or has no letter gets ``und`` and score 0; so does every
 text when no row teaches; NULL languages teach nothing; NULL ids teach, as they are in no
-fold; repeated rows are scored each; an empty table gives an empty result.
+fold; repeated rows are scored each; a very long text is scored whole; an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ DataFrame functions only. Places are counted from the lengths of the texts betwe
 matches, so they are code points.
 
 Defined cases: NULL text is the empty blob; NULL and repeated ids are paths like any
-other; an empty table gives no paths; other columns are not touched.
+other; a very long text is one blob, scanned whole; an empty table gives no paths; other columns are
+not touched.
 """
 
 from __future__ import annotations
