@@ -5,7 +5,7 @@ executor costs at most the stage it was in.
 
 Defined cases: an empty table gives an empty result; without labels nothing is taken for toxic; NULL and
 empty texts pass the filters as documents without words; rows that share an id are one document to the
-n-gram join, of which one stays; very long texts go through whole; columns beyond those of documents are
+n-gram join and stay or go together, and rows without an id stay; very long texts go through whole; columns beyond those of documents are
 kept up to the last stage, whatever their names.
 """
 
