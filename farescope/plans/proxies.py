@@ -34,7 +34,7 @@ SCHEMAS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark, fine=True).read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _slot(number: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from farescope.functions import scalars as S
 from farescope.operators.filters import in_date_range
 from farescope.operators.latest import first_per_key
-from farescope.plans.session import size_shuffles, tune
+from farescope.plans.session import ADVISORY, FILE_BYTES, setting, size_shuffles, tune
 from farescope.schemas import FEEDS, Feed
 from farescope.sources.feeds import land, list_files, parse_lines, plain_path, read_lines, typed
 
@@ -98,7 +98,7 @@ def _stored(spark: SparkSession, base: str, feed: Feed, every_column: bool) -> D
     """All rows on disk, with their generation."""
     schema = stored_schema(spark, base, feed) if every_column else feed.silver_schema
     schema = T.StructType([*schema.fields, T.StructField("gen", T.IntegerType())])
-    return read_or_empty(tune(spark), table_path(base, feed), schema)
+    return read_or_empty(tune(spark, fine=True), table_path(base, feed), schema)
 
 
 def read_table(spark: SparkSession, base: str, feed: Feed, every_column: bool = False) -> DataFrame:
@@ -156,13 +156,10 @@ def grow(df: DataFrame, base: str, feed: Feed) -> DataFrame:
 
 
 def _write(df: DataFrame, base: str, feed: Feed, gen: int) -> None:
-    (
-        df.hint("rebalance", "week_start")
-        .sortWithinPartitions("week_start", "schedule_id", "snapshot_ts")
-        .write.mode("append")
-        .partitionBy("week_start")
-        .parquet(f"{table_path(base, feed)}/gen={gen}")
-    )
+    rows = df.hint("rebalance", "week_start").sortWithinPartitions("week_start", "schedule_id", "snapshot_ts")
+    # Files are larger than what a task reads of a shuffle elsewhere.
+    with setting(df.sparkSession, ADVISORY, FILE_BYTES):
+        rows.write.mode("append").partitionBy("week_start").parquet(f"{table_path(base, feed)}/gen={gen}")
 
 
 def append(df: DataFrame, base: str, feed: Feed) -> None:

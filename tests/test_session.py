@@ -41,3 +41,22 @@ def test_working_folders_lie_in_the_shared_folder(spark):
     a, b = session.working_folder(spark, "x"), session.working_folder(spark, "x")
     assert a != b
     assert a.startswith(f"{base}/x-")
+
+
+def test_tables_are_read_in_fine_splits(spark):
+    keys = (*session.FINE, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in session.FINE:
+            spark.conf.unset(k)
+        proxies.table(spark, SMALL, "events")
+        assert {k: spark.conf.get(k) for k in session.FINE} == session.FINE
+        with session.setting(spark, session.ADVISORY, session.FILE_BYTES):
+            assert spark.conf.get(session.ADVISORY) == "64m"
+        assert spark.conf.get(session.ADVISORY) == "16m"
+        spark.conf.set(session.ADVISORY, "5m")
+        proxies.table(spark, SMALL, "events")
+        assert spark.conf.get(session.ADVISORY) == "5m"
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
