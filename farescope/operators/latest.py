@@ -105,7 +105,8 @@ def _counted_before(counts: DataFrame, keys: Sequence[str], levels: int) -> Data
 _PLACES = 1 << 33  # rows that monotonically_increasing_id leaves room for in a partition
 
 
-def _written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so it is evaluated once."""
     path = working_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -124,9 +125,9 @@ def number_in_order(
     Without ``keys`` all rows are one list. NULL keys are a key.
     """
     if not unique:
-        df = _written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        df = written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
         order = [*order, F.col("_row")]
-    placed = _written(
+    placed = written(
         df.orderBy(*keys, *order).withColumn("_place", F.monotonically_increasing_id()), "ordered"
     ).withColumn("_range", F.floor(F.col("_place") / _PLACES))
     earlier = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,21 +10,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farescope.functions import scalars as S
+from farescope.operators.latest import written
+from farescope.plans.session import setting
 from farescope.schemas import Feed
 
 
-def profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = True) -> DataFrame:
-    """Rows, NULLs and distinct values per column, in one aggregation of the table.
+def profile(
+    df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = True, on_disk: bool = False
+) -> DataFrame:
+    """Rows, NULLs and distinct values per column.
 
-    The exact form counts distinct values through an expansion by column;
-    sketches (the default) need a single pass whatever the width.
+    Sketches (the default) need a single pass whatever the width. The exact form groups each column by itself, from
+    rows that are written to the shared folder first unless they are ``on_disk`` already: the values of a column meet
+    in one map-side table without the other columns, and only its distinct values are shuffled.
     """
     columns = list(columns or df.columns)
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    if not approximate:
+        return _exact_profile(df if on_disk else written(df.select(*columns), "profiled"), columns)
     wide = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(columns)],
+        *[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(columns)],
     )
     per_column = F.array(
         *[
@@ -40,6 +46,18 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bo
     return wide.select(F.inline(per_column))
 
 
+def _exact_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    def of(c: str) -> DataFrame:
+        values = df.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        return values.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
+            F.count("value").alias("distinct_count"),
+        ).select(F.lit(c).alias("column_name"), "row_count", "null_count", "distinct_count")
+
+    return reduce(DataFrame.unionAll, map(of, columns))
+
+
 SKETCH_BITS = 12  # 4096 registers a sketch: an error of 1.04 / sqrt(4096), 1.6 %, whatever the count
 SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
 
@@ -70,6 +88,16 @@ def column_sketches(df: DataFrame, keys: Sequence[str], columns: Sequence[str] |
     return wide.select(*keys, F.inline(per_column))
 
 
+# Weeks that one task's table of sketches holds before it sorts its rows instead: 4 KB a column and week.
+MOST_GROUPS = 2048
+
+
+def write_sketches(df: DataFrame, keys: Sequence[str], path: str) -> None:
+    """``column_sketches`` written to ``path``; a task keeps the sketches of its groups and does not sort its rows."""
+    with setting(df.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(MOST_GROUPS)):
+        column_sketches(df, keys).write.parquet(path)
+
+
 def profile_of(sketches: DataFrame, keys: Sequence[str] = ("column_name",)) -> DataFrame:
     """Rows, NULLs and estimated distinct values per ``keys``, from the sketches of any groups."""
     return sketches.groupBy(*keys).agg(

@@ -20,7 +20,7 @@ from farescope.operators import (
     trends,
     views,
 )
-from farescope.operators.latest import latest_one
+from farescope.operators.latest import latest_one, written
 from farescope.plans.feed_files import loaded_table, raw_rows, stream_rows, write_feed
 from farescope.plans.proxies import SEAT_TIES, raw_snap, seat, snap, table, trip
 from farescope.plans.session import working_folder
@@ -601,8 +601,9 @@ def _(spark, d):
 @query("profile_sketch")
 def _(spark, d):
     # The sketch of every column beside its exact count: within three standard errors of 5 %.
-    rows = seat(spark, d)
-    exact = quality.profile(rows, approximate=False).select("column_name", F.col("distinct_count").alias("exact_count"))
+    rows = written(seat(spark, d), "seats")
+    exact = quality.profile(rows, approximate=False, on_disk=True)
+    exact = exact.select("column_name", F.col("distinct_count").alias("exact_count"))
     error = F.abs(F.col("distinct_count") - F.col("exact_count"))
     return quality.profile(rows).join(exact, "column_name").select(
         "column_name", "row_count", "null_count", "exact_count",
@@ -612,9 +613,9 @@ def _(spark, d):
 
 def _week_sketches(spark, d):
     """The sketches of every week of journeys, as they would lie beside the weeks."""
-    rows = seat(spark, d).withColumn("week_start", S.week_start(F.col("travel_date")))
+    rows = written(seat(spark, d).withColumn("week_start", S.week_start(F.col("travel_date"))), "seats")
     path = working_folder(spark, "sketches")
-    quality.column_sketches(rows, ["week_start"]).write.parquet(path)
+    quality.write_sketches(rows, ["week_start"], path)
     return rows, spark.read.parquet(path)
 
 
@@ -623,7 +624,7 @@ def _(spark, d):
     # Weeks of 1996, merged from sketches alone, beside exact counts over their rows.
     rows, kept = _week_sketches(spark, d)
     span = F.col("week_start").between(dt.date(1996, 1, 7), dt.date(1996, 12, 22))
-    exact = quality.profile(rows.filter(span).drop("week_start"), approximate=False)
+    exact = quality.profile(rows.filter(span).drop("week_start"), approximate=False, on_disk=True)
     exact = exact.select("column_name", F.col("distinct_count").alias("exact_count"))
     error = F.abs(F.col("distinct_estimate") - F.col("exact_count"))
     return quality.profile_of(kept.filter(span)).join(exact, "column_name").select(
@@ -636,7 +637,7 @@ def _(spark, d):
 def _(spark, d):
     # No SQL: the estimates themselves, of all weeks merged, with their relative error.
     rows, kept = _week_sketches(spark, d)
-    exact = quality.profile(rows.drop("week_start"), approximate=False).select(
+    exact = quality.profile(rows.drop("week_start"), approximate=False, on_disk=True).select(
         "column_name", F.col("distinct_count").alias("exact_count")
     )
     error = F.abs(F.col("distinct_estimate") - F.col("exact_count")) / F.col("exact_count")
