@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from farescope.functions import scalars as S
 from farescope.plans.session import working_folder
-from farescope.schemas import Feed
+from farescope.schemas import STAMP_COLUMNS, Feed
 
 # Texts a data-frame CSV reader takes as missing.
 MISSING_TEXT = (
@@ -80,14 +80,22 @@ def file_notes(lines: DataFrame, feed: Feed) -> DataFrame:
 
     ``unpaired`` says that a file's quotes do not pair up, ``spans`` that a quoted value may hold
     a line break: some line has an odd number of quotes, and they pair up. ``header`` is the place and text
-    of the first line that names a column. One row per file, written to the shared folder.
+    of the first line that names a column: mostly the file's first line, and only files where it is not are
+    searched. One row per file, written to the shared folder.
     """
-    q = _quotes(F.col("value"))
-    quotes = lines.groupBy("file_path").agg(F.sum(q).alias("quotes"), F.max(q % 2).alias("odd"))
-    named = lines.filter(is_header(F.col("value"), feed)).groupBy(F.col("file_path").alias("named"))
-    named = named.agg(F.min(F.struct("file_block_start", "line_id", "value")).alias("header"))
+    q, line = _quotes(F.col("value")), F.struct("file_block_start", "line_id", "value")
+    first = F.min(F.when(F.col("file_block_start") == 0, F.col("line_id"))).alias("first")
+    quotes = lines.groupBy("file_path").agg(F.sum(q).alias("quotes"), F.max(q % 2).alias("odd"), first)
+    quotes = _landed(quotes, "quotes")
+    firsts = quotes.select(F.col("file_path").alias("named"), F.col("first").alias("line_id"))
+    begins = lines.filter("file_block_start = 0").join(firsts, "line_id").filter("file_path = named")
+    begins = begins.filter(is_header(F.col("value"), feed)).select("named", line.alias("header"))
+    begins = _landed(begins, "begins")
+    others = quotes.select("file_path").join(begins, F.col("file_path") == F.col("named"), "left_anti")
+    named = lines.join(others, "file_path", "left_semi").filter(is_header(F.col("value"), feed))
+    named = named.groupBy(F.col("file_path").alias("named")).agg(F.min(line).alias("header"))
     unpaired = F.col("quotes") % 2 == 1
-    notes = quotes.join(named, F.col("file_path") == F.col("named"), "left").select(
+    notes = quotes.join(begins.unionByName(named), F.col("file_path") == F.col("named"), "left").select(
         "file_path", unpaired.alias("unpaired"), ((F.col("odd") == 1) & ~unpaired).alias("spans"), "header"
     )
     return _landed(notes, "files")
@@ -135,10 +143,15 @@ def joined_records(lines: DataFrame) -> DataFrame:
 
 
 def _cells(line: Column, width: int) -> Column:
-    """The cells of a record, as an array of ``width`` texts."""
+    """The cells of a record, as an array of ``width`` texts; those of a record without quotes lie between its commas.
+
+    The CSV parser sees the other records only: it takes far longer, most of all where the number of cells is not ``width``.
+    """
     names = [f"c{i}" for i in range(width)]
     parsed = F.array(F.from_csv(line, ", ".join(f"{n} string" for n in names), CSV))
-    return F.transform(parsed, lambda row: F.array(*[row[n] for n in names]))[0]  # parsed once, not once a cell
+    parsed = F.transform(parsed, lambda row: F.array(*[row[n] for n in names]))[0]  # parsed once, not once a cell
+    plain = ~(line.contains('"') | line.contains("\r") | line.contains("\n") | line.contains("\0"))
+    return F.when(plain, F.split(line, ",")).otherwise(parsed)
 
 
 def parse_lines(lines: DataFrame, feed: Feed) -> tuple[DataFrame, DataFrame]:
@@ -146,7 +159,7 @@ def parse_lines(lines: DataFrame, feed: Feed) -> tuple[DataFrame, DataFrame]:
 
     Every record is parsed once into an array of cells, whatever headers there are; the header of
     its file, joined to it, says which cell is which column. Expected columns a file lacks are NULL.
-    The driver sees the largest number of cells and whether any value spans lines.
+    A file's stamps come with its header, so that its name is parsed once; ``typed`` takes them. The driver sees the largest number of cells and whether any value spans lines.
     """
     files = file_notes(lines, feed)
     kept = ["file_path", "unpaired", "header"]
@@ -171,20 +184,22 @@ def parse_lines(lines: DataFrame, feed: Feed) -> tuple[DataFrame, DataFrame]:
     dimension = (
         heads.filter("header IS NOT NULL")
         .select("file_path", F.struct("header.file_block_start", "header.line_id").alias("header_place"), names.alias("names"))
-        .select("file_path", "header_place", places.alias("places"))
+        .select("file_path", "header_place", places.alias("places"), *_stamps(F.col("file_path")))
     )
 
-    def column(i: int, name: str) -> Column:
-        value = F.get("cells", (F.get("places", F.lit(i)) - 1).cast("int"))
-        return F.when(~value.isin(*MISSING_TEXT), value).alias(name)
+    def value(place: Column) -> Column:
+        text = F.get("cells", (place - 1).cast("int"))
+        return F.when(~text.isin(*MISSING_TEXT), text)
 
     rows = (
         records.join(dimension, "file_path")
         .filter((_place() > F.col("header_place")) & (F.trim("value") != ""))
-        .select("file_path", "places", _cells(F.col("value"), width).alias("cells"))
+        .select("file_path", "places", *STAMPS, _cells(F.col("value"), width).alias("cells"))
+        # All values in one expression: one a column makes a function too long for the JVM to compile.
+        .withColumn("values", F.transform("places", value))
     )
-    columns = [column(i, c) for i, c in enumerate(feed.columns)]
-    return rows.select(*columns, F.col("file_path").alias("source_file")), notes
+    columns = [F.get("values", F.lit(i)).alias(c) for i, c in enumerate(feed.columns)]
+    return rows.select(*columns, F.col("file_path").alias("source_file"), *STAMPS), notes
 
 
 def read_feed(spark: SparkSession, feed: Feed, paths: Iterable[str]) -> DataFrame:
@@ -199,21 +214,24 @@ def plain_path(file_path: Column) -> Column:
     return F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
 
 
+STAMPS = [f"_{c}" for c in STAMP_COLUMNS]
+
+
+def _stamps(file: Column) -> list[Column]:
+    parsed = S.file_snapshot_date(file), S.file_snapshot_time(file), S.file_snapshot_ts(file)
+    return [c.alias(name) for c, name in zip(parsed, STAMPS, strict=True)]
+
+
 def typed(raw: DataFrame, feed: Feed) -> DataFrame:
     """Parse text to silver types, add the file's stamp and the week of the journey.
 
-    Bad values become NULL. Columns outside the feed are dropped, absent ones are NULL.
+    Bad values become NULL. The stamp is parsed from ``source_file`` unless ``parse_lines`` has done so. Columns outside the feed are dropped, absent ones are NULL.
     """
     text = [F.col(c) if c in raw.columns else F.lit(None).cast("string") for c in feed.columns]
     columns = [
         S.parse(t, feed.types.get(c, "string")).alias(c)
         for c, t in zip(feed.columns, text, strict=True)
     ]
-    file = F.col("source_file")
-    rows = raw.select(
-        *columns,
-        S.file_snapshot_date(file).alias("snapshot_date"),
-        S.file_snapshot_time(file).alias("snapshot_time"),
-        S.file_snapshot_ts(file).alias("snapshot_ts"),
-    )
+    stamps = list(map(F.col, STAMPS)) if set(STAMPS) <= set(raw.columns) else _stamps(F.col("source_file"))
+    rows = raw.select(*columns, *[c.alias(name) for c, name in zip(stamps, STAMP_COLUMNS, strict=True)])
     return rows.withColumn("week_start", S.week_start(F.col(feed.date_column)))
