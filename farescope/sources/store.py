@@ -63,7 +63,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     if path_exists(spark, path):
         return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
+    return spark.range(1).filter(F.lit(False)).select(*none)  # known to be empty when joins with it are planned
 
 
 def added_columns(spark: SparkSession, base: str, feed: Feed) -> list[str]:
@@ -217,6 +219,21 @@ def only_weeks_of(target: DataFrame, new: DataFrame) -> DataFrame:
     return target.filter(F.col("week_start").isin(weeks) if weeks else F.lit(False))
 
 
+def only_keys_near(target: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``target`` limited to the range that each key column has in the complete keys of ``new``.
+
+    No key is lost by that. The table's files are in order of schedule and stamp, so Parquet leaves out the parts of
+    them that a load of few stamps or schedules cannot meet: what it reads follows the load, not the table.
+    """
+    types = {f.name: f.dataType for f in target.schema.fields}
+    ends = [end(c).cast("string").alias(f"{name}_{c}") for c in key for name, end in (("low", F.min), ("high", F.max))]
+    found = new.dropna(subset=list(key)).agg(*ends).first()
+    for c in key:
+        low, high = (F.lit(found[f"{name}_{c}"]).cast(types[c]) for name in ("low", "high"))
+        target = target.filter(F.col(c).between(low, high))
+    return target
+
+
 def new_rows(new: DataFrame, target: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of ``new`` with a complete key that ``target`` lacks, one per key.
 
@@ -239,7 +256,8 @@ def insert_ignore(new: DataFrame, base: str, feed: Feed) -> int:
     held = new.is_cached
     new = new if held else new.persist(StorageLevel.DISK_ONLY)
     try:
-        target = only_weeks_of(read_table(new.sparkSession, base, feed), new)
+        table = read_table(new.sparkSession, base, feed)
+        target = only_keys_near(only_weeks_of(table, new), new, feed.primary_key)
         fresh = new_rows(new, target, feed.primary_key).persist(StorageLevel.DISK_ONLY)
         try:
             n = fresh.count()

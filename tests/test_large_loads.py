@@ -1,11 +1,16 @@
 """What a load costs a record, and what it reads of the table."""
 
+import datetime as dt
+
 from conftest import rows
 from pyspark.sql import functions as F
 
 from farescope.plans.session import setting
 from farescope.schemas import SEAT_PRICES, SEAT_WISE_PRICES
-from farescope.sources import feeds
+from farescope.sources import feeds, store
+
+DAY, STAMP = dt.date(2025, 8, 6), dt.datetime(2025, 8, 1, 8)
+KEYS = "schedule_id string, seat_type string, date_of_journey date, snapshot_ts timestamp_ntz"
 
 
 def test_cells_of_plain_records_are_those_of_the_csv_parser(spark):
@@ -45,3 +50,26 @@ def test_a_header_below_the_first_line_is_found(spark, tmp_path):
     again = feeds.typed(raw.drop(*feeds.STAMPS), SEAT_WISE_PRICES)
     assert rows(typed) == rows(again)
     assert rows(typed, "snapshot_time") == [("06:30:00",), ("07:30:00",)]
+
+
+def test_a_load_reads_the_table_near_its_keys(spark, tmp_path):
+    stamps = [STAMP + dt.timedelta(hours=h) for h in range(10)]
+    table = spark.createDataFrame([(f"S{i}", "A", DAY, t) for t in stamps for i in range(20)], KEYS)
+    base = str(tmp_path / "store")
+    store.append(store.conform(table, SEAT_PRICES), base, SEAT_PRICES)
+    held = store.read_table(spark, base, SEAT_PRICES)
+    key = SEAT_PRICES.primary_key
+
+    def near(*keys):
+        new = store.conform(spark.createDataFrame(list(keys), KEYS), SEAT_PRICES)
+        return new, store.only_keys_near(held, new, key)
+
+    new, target = near(("S3", "A", DAY, stamps[4]), ("S5", "A", DAY, stamps[4]), ("S1", None, DAY, stamps[0]))
+    scan = target._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
+    assert "snapshot_ts" in scan and "schedule_id" in scan
+    assert rows(target, "schedule_id", "snapshot_ts") == [(f"S{i}", stamps[4]) for i in (3, 4, 5)]
+    assert store.insert_ignore(new, base, SEAT_PRICES) == 0
+    assert near(("S1", None, DAY, stamps[0]))[1].count() == 0
+    late, _ = near(("S3", "A", DAY, stamps[4]), ("S3", "B", DAY, stamps[4] + dt.timedelta(microseconds=1)))
+    assert store.insert_ignore(late, base, SEAT_PRICES) == 1
+    assert store.insert_ignore(late, base, SEAT_PRICES) == 0
