@@ -89,8 +89,8 @@ def file_notes(lines: DataFrame, feed: Feed) -> DataFrame:
     quotes = _landed(quotes, "quotes")
     firsts = quotes.select(F.col("file_path").alias("named"), F.col("first").alias("line_id"))
     begins = lines.filter("file_block_start = 0").join(firsts, "line_id").filter("file_path = named")
-    begins = begins.filter(is_header(F.col("value"), feed)).select("named", line.alias("header"))
-    begins = _landed(begins, "begins")
+    begins = _landed(begins.select("named", line.alias("header")), "begins")  # or Spark tests every line before the join
+    begins = begins.filter(is_header(F.col("header.value"), feed))
     others = quotes.select("file_path").join(begins, F.col("file_path") == F.col("named"), "left_anti")
     named = lines.join(others, "file_path", "left_semi").filter(is_header(F.col("value"), feed))
     named = named.groupBy(F.col("file_path").alias("named")).agg(F.min(line).alias("header"))
