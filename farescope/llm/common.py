@@ -19,9 +19,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lost executors cost no recomputation."""
+def saved(df: DataFrame, purpose: str, files: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: lost executors cost no recomputation.
+
+    ``files`` is the most files to write, for rows that are few next to the partitions they were dealt to.
+    """
     spark = df.sparkSession
+    if files is not None:
+        df = df.coalesce(files)
     path = working_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -51,6 +56,15 @@ def input_tasks(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+def files_for(df: DataFrame) -> int:
+    """Most files for a table made from ``df``: two to each of its splits.
+
+    A shuffle deals rows to as many partitions as the session says, however few the rows; a file each costs more
+    than its rows, as a local folder's writers start processes for every file.
+    """
+    return 2 * input_tasks(df)
+
+
 def by_batch(
     make: Callable[[pa.RecordBatch], pa.RecordBatch],
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -60,3 +74,15 @@ def by_batch(
                 yield make(batch)
 
     return run
+
+
+def releasing(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which gives back at its end what Arrow keeps of freed memory: workers outlive their tasks."""
+
+    def then_release(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return then_release

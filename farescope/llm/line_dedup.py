@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farescope.llm.common import SPACE_CHARS, saved
+from farescope.llm.common import SPACE_CHARS, files_for, saved
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
@@ -75,6 +75,7 @@ def keep_bitmaps(
         .where(F.col("docs") >= least_docs)
         .select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), "holder"),
         "shared-lines",
+        files_for(docs),
     )
     # Read back, the shared lines are shuffled for the join as the hashes are, so a hot line can be split.
     bit = F.expr("shiftleft(1L, place % 64)")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farescope.llm.common import input_tasks, saved
+from farescope.llm.common import files_for, input_tasks, releasing, saved
 from farescope.llm.hashing import (
     HASH_BITS,
     hash_of,
@@ -422,14 +422,15 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, words: int, percent: int)
     texts = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")
     )
-    signed = saved(texts.mapInArrow(_sign(words), SIGNED), "ngram-signed")
+    signed = saved(texts.mapInArrow(releasing(_sign(words)), SIGNED), "ngram-signed")
     rows = signed.where("n is not null").select("doc_id", "n", "s1", "s2")
     common = (
         signed.where("token is not null")
         .groupBy("token")
         .agg(F.sum("times").alias("times"))
     )
-    common = saved(common, "ngram-common")
+    files = files_for(texts)
+    common = saved(common, "ngram-common", files)
     hot = spark.sparkContext.broadcast(commonest(common, HOT_TOKENS))
 
     # A class is a distinct set, named by its first signature; its representative is its smallest id.
@@ -438,17 +439,18 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, words: int, percent: int)
         .groupBy(F.col("s1").alias("class"), "s2", "n")
         .agg(F.min("doc_id").alias("rep")),
         "ngram-classes",
+        files,
     )
     tasks = input_tasks(texts)
     buckets = BUCKETS_PER_TASK * tasks
     known = texts.where("doc_id is not null")
     shared = (
         known.mapInArrow(
-            _deal(words, percent, buckets, hot),
+            releasing(_deal(words, percent, buckets, hot)),
             "bucket int, keys binary, classes binary, sizes binary, rests binary",
         )
         .repartitionById(buckets, F.col("bucket"))
-        .mapInArrow(_repeated(percent), "gid long, class long, fits boolean")
+        .mapInArrow(releasing(_repeated(percent)), "gid long, class long, fits boolean")
     )
     # A class without enough repeated tokens in its prefix is like no other: chance repeats a token or two.
     mine = Window.partitionBy("class")
@@ -456,6 +458,7 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, words: int, percent: int)
     shared = saved(
         shared.withColumn("repeated", F.count("*").over(mine)).withColumn("nth", nth).where("fits").drop("fits"),
         "ngram-groups",
+        files,
     )
     enough = F.col("repeated") >= shared_tokens(F.col("n"), percent)
     wanted = saved(
@@ -465,11 +468,12 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, words: int, percent: int)
         .where(enough)
         .select(F.col("class").alias("w_class"), "s2", "rep"),
         "ngram-wanted",
+        files,
     )
     shared = shared.join(wanted.select(F.col("w_class").alias("class")).distinct(), "class", "left_semi")
     parts = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sifted = spark.sparkContext.broadcast(sieve(wanted))
-    name = _bucketed(known.mapInArrow(_sources(words, sifted), SOURCES), wanted, parts)
+    name = _bucketed(known.mapInArrow(releasing(_sources(words, sifted)), SOURCES), wanted, parts)
     return rows, classes, shared, wanted, name
 
 
@@ -494,7 +498,8 @@ def link_components(
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
     rows, classes, shared, wanted, name = _prepared(docs, doc_id, text, words, percent)
-    found = saved(_same_ids(rows, classes), "ngram-same-ids")
+    files = files_for(docs)
+    found = saved(_same_ids(rows, classes), "ngram-same-ids", files)
     nodes = wanted.select(F.col("rep").alias("node")).union(found.select("a")).union(found.select("b")).distinct()
     comps = nodes.select("node", F.col("node").alias("comp"))
     for depth in ROUNDS:
@@ -505,6 +510,7 @@ def link_components(
         comps = saved(
             nodes.join(reached, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")),
             "ngram-components",
+            files,
         )
     spark.sql(f"DROP TABLE {name}")
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -513,7 +519,7 @@ def link_components(
         F.col("n").alias("c_n"),
         F.coalesce("comp", "rep").alias("comp"),
     )
-    named = saved(named, "ngram-named")
+    named = saved(named, "ngram-named", files)
     same = (F.col("s1") == F.col("c_class")) & (F.col("s2") == F.col("c_s2")) & (F.col("n") == F.col("c_n"))
     return rows.join(named, same, "left").select(
         "doc_id",
@@ -639,7 +645,7 @@ def _round(shared, labelled, sources, depth, words, percent, every=False) -> Dat
         .select("task", "comp", "class", "n", "bits")
         .repartition("task")
         .sortWithinPartitions("task", "class")
-        .mapInArrow(_hope(percent), "task long, class long, comp long"),
+        .mapInArrow(releasing(_hope(percent)), "task long, class long, comp long"),
         "ngram-hopeful",
     ).withColumnRenamed("class", "m_class")
     return (
@@ -647,7 +653,7 @@ def _round(shared, labelled, sources, depth, words, percent, every=False) -> Dat
         .select("task", "comp", "class", "packed")
         .repartition("task")
         .sortWithinPartitions("task", "class")
-        .mapInArrow(_open(words, percent, every), "a long, b long")
+        .mapInArrow(releasing(_open(words, percent, every)), "a long, b long")
     )
 
 

@@ -2,9 +2,11 @@
 
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import AWKWARD, SCHEMA, prose, table
 from pyspark.sql import functions as F
@@ -12,6 +14,10 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from farescope.llm import mixing, packing, toxicity
+from farescope.llm.common import files_for, releasing
+from farescope.plans.session import setting
+
+FEW_FILES = {"shared-lines", "ngram-common", "ngram-classes", "ngram-groups", "ngram-wanted", "ngram-components", "ngram-named"}
 
 
 @pytest.fixture(scope="module")
@@ -109,3 +115,27 @@ def test_no_labels_repeated_ids_and_clashing_names(spark, tmp_path):
         len(Tokenizer.from_file(packing.tokenizer_path()).encode(t or "", add_special_tokens=False).ids) + 1
         for _, t in seen["mixing"]
     )
+
+
+def test_few_files_however_many_partitions(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").coalesce(2)
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    files = {}
+    with (
+        setting(spark, "spark.sql.shuffle.partitions", "40"),
+        setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"),
+    ):
+        for name, stage in corpus_pipeline.STAGES[1:4]:
+            stage(spark, docs, folder).write.parquet(f"{tmp_path}/{name}")
+            files[name] = len(list((tmp_path / name).glob("part-*")))
+    for path in set(shared.iterdir()) - before:
+        if (purpose := path.name.rpartition("-")[0]) in FEW_FILES:
+            files[purpose] = max(files.get(purpose, 0), len(list(path.glob("part-*"))))
+    assert FEW_FILES <= files.keys()
+    assert max(files.values()) <= files_for(docs) == 4, files
+
+
+def test_releasing_passes_all_batches_on():
+    batches = [pa.record_batch([pa.array([i])], names=["x"]) for i in range(3)]
+    assert [b.column(0).to_pylist() for b in releasing(lambda rows: rows)(iter(batches))] == [[0], [1], [2]]
