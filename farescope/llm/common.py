@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -76,13 +78,20 @@ def by_batch(
     return run
 
 
+def give_back() -> None:
+    """Hand memory that Arrow and the C library keep after use back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def releasing(
     run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, which gives back at its end what Arrow keeps of freed memory: workers outlive their tasks."""
+    """``run``, whose task gives memory back at its end: workers outlive their tasks."""
 
     def then_release(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return then_release

@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from farescope.llm.common import releasing
+
 WINDOW = 2048
 END_ID = 1
 BATCH_TOKENS = 2_000_000
@@ -254,4 +256,4 @@ def pack(
 
     return docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")
-    ).mapInArrow(run, PIECES)
+    ).mapInArrow(releasing(run), PIECES)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farescope.llm.common import holds_out, saved
+from farescope.llm.common import holds_out, releasing, saved
 
 FOLDS, HELD_OUT = 5, 0
 LEARN_ROWS = 20_000
@@ -314,7 +314,7 @@ def learn(
     def counted(which: int, only: frozenset | None) -> DataFrame:
         return (
             sample.where(F.col("toxic") == which)
-            .mapInArrow(_count_units(which, only), "unit string, n long")
+            .mapInArrow(releasing(_count_units(which, only)), "unit string, n long")
             .groupBy("unit")
             .agg(F.sum("n").alias("n"))
         )
@@ -335,13 +335,13 @@ def learn(
     good = frozenset(sorted(good, key=lambda u: (-weight(u), u))[:CANDIDATES])
     names = sorted(good)
     unlike: dict[str, set[int]] = {u: set() for u in names}
-    for row in sample.mapInArrow(_held_units(good), "alike long, held array<int>").collect():
+    for row in sample.mapInArrow(releasing(_held_units(good)), "alike long, held array<int>").collect():
         for u in row.held:
             unlike[names[u]].add(row.alike)
     entries = choose({u: len(x) for u, x in unlike.items()}, least_support(seen_units, size[1], size[0]))
     terms = [u for u in entries if not u.endswith("-")]
     stems = [u[:-1] for u in entries if u.endswith("-")]
-    seen = sample.mapInArrow(_featured(terms, stems), "toxic int, f array<double>").collect()
+    seen = sample.mapInArrow(releasing(_featured(terms, stems)), "toxic int, f array<double>").collect()
     x = np.array([r.f for r in seen])
     y = np.array([r.toxic for r in seen], float)
     weights, bias = fit(x, y)
@@ -385,7 +385,7 @@ def score(docs: DataFrame, model, *, doc_id: str = "doc_id", text: str = "text")
     kind = docs.schema[doc_id].dataType.simpleString()
     return (
         docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text"))
-        .mapInArrow(_scored(model), f"key {kind}, score double")
+        .mapInArrow(releasing(_scored(model)), f"key {kind}, score double")
         .select(
             F.col("key").alias("doc_id"),
             holds_out(F.col("key"), FOLDS, HELD_OUT).alias("held_out"),
@@ -414,4 +414,4 @@ def clean_documents(docs: DataFrame, model, *, text: str = "text") -> DataFrame:
             yield held.pop().filter(pa.array(keep, pa.bool_()))
             pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)

@@ -1,6 +1,8 @@
 """The pipeline on a small corpus, each stage beside a plain version of it."""
 
 import random
+import re
+import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -14,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from farescope.llm import mixing, packing, toxicity
-from farescope.llm.common import files_for, releasing
+from farescope.llm.common import files_for, give_back, releasing
 from farescope.plans.session import setting
 
 FEW_FILES = {"shared-lines", "ngram-common", "ngram-classes", "ngram-groups", "ngram-wanted", "ngram-components", "ngram-named"}
@@ -139,3 +141,18 @@ def test_few_files_however_many_partitions(spark, folder, tmp_path):
 def test_releasing_passes_all_batches_on():
     batches = [pa.record_batch([pa.array([i])], names=["x"]) for i in range(3)]
     assert [b.column(0).to_pylist() for b in releasing(lambda rows: rows)(iter(batches))] == [[0], [1], [2]]
+
+
+def anonymous_mb():
+    found = re.search(r"\nRssAnon:\s+(\d+)", Path("/proc/self/status").read_text())
+    return int(found[1]) / 1024
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_freed_memory_goes_back():
+    rows = [bytes(1000) for _ in range(200_000)]
+    last = bytes(1000)  # above the others, so that the C library cannot shrink its heap by itself
+    full = anonymous_mb()
+    del rows
+    give_back()
+    assert full - anonymous_mb() > 100 and len(last) == 1000
