@@ -16,6 +16,9 @@ texts is a hot key of a join alone, which Spark splits.
 The tokenizer must drop white space, so that words are encoded on their own; others are refused.
 Chunks are known by 128-bit hashes, so two that collide would be taken for equal.
 
+A task holds a batch of rows and, beside it, about ``SLICE_BYTES`` of what it makes of them; hashes are made by
+blocks, of long texts too. At its end its worker gives freed memory back.
+
 Defined cases: NULL or empty text has no ids and decodes to the empty text; rows without an id are encoded
 like others; repeated rows give a row each; very long texts are cut and joined like short ones; an
 empty table gives no rows; other columns, whatever their names, are neither read nor returned.
@@ -33,18 +36,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from farescope.llm.common import releasing
 from farescope.llm.hashing import mix, raw, running, units
-from farescope.llm.packing import WordEncoder, tokenizer_path
+from farescope.llm.packing import SLICE_BYTES, WordEncoder, slices, tokenizer_at, tokenizer_path
 
 WINDOW = 32  # bytes that decide a cut
 AVERAGE = 512  # bytes between cuts, a power of two
 LEAST, MOST = 128, 8192  # bytes of a chunk; shorter ones are encoded in place
+HASHED_BYTES = 1 << 16  # bytes of a text whose hashes are held at once
 CACHED_WORDS = 100_000
 DOCS = "doc_id long, k1 long, k2 long, packed binary"
 PIECES = "k1 long, k2 long, doc_id long, start int, size int, h1 long, h2 long"
 CORES = "h1 long, h2 long, core binary"
 IDS = "doc_id long, ids array<int>"
-ROWS_OUT, TOKENS_OUT = 256, 1 << 19
+ROWS_OUT, TOKENS_OUT = 256, 1 << 17
 # Stated, though no hash is NULL: joins would add these tests to one use of a table and so part it from the other.
 KEYS = "k1 IS NOT NULL AND k2 IS NOT NULL AND h1 IS NOT NULL AND h2 IS NOT NULL"
 
@@ -92,11 +97,17 @@ def cut_points(data: np.ndarray) -> np.ndarray:
     """Positions after which the hash of the last ``WINDOW`` bytes asks for a cut, moved to a character's start."""
     if len(data) <= WINDOW:
         return np.zeros(0, np.int64)
-    sums, down = running(data)
-    hashes = mix((sums[WINDOW:] - sums[:-WINDOW]) * down[: len(sums) - WINDOW])
-    points = np.flatnonzero(hashes & np.uint64(AVERAGE - 1) == 0) + WINDOW
-    starts = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))
-    return np.unique(starts[np.searchsorted(starts, points)])
+    found, after = [], len(data)  # the first character's start behind the block
+    for first in reversed(range(0, len(data) - WINDOW + 1, HASHED_BYTES)):
+        # A window's hash does not depend on its place, so blocks give the hashes of the whole.
+        sums, down = running(data[first : first + HASHED_BYTES + WINDOW - 1])
+        hashes = mix((sums[WINDOW:] - sums[:-WINDOW]) * down[: len(sums) - WINDOW])
+        points = np.flatnonzero(hashes & np.uint64(AVERAGE - 1) == 0)
+        ends = data[first + WINDOW : first + WINDOW + HASHED_BYTES]
+        starts = np.append(np.flatnonzero(ends & 0xC0 != 0x80) + first + WINDOW, after)
+        found.append(starts[np.searchsorted(starts, points + first + WINDOW)])
+        after = starts[0]
+    return np.unique(np.concatenate(found))
 
 
 def chunks(points: list[int], begin: int, end: int) -> Iterator[tuple[int, int]]:
@@ -145,13 +156,16 @@ def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     squeeze = ZstdCompressor(level=3).compress
     for batch in batches:
-        texts = [v.as_py() or b"" for v in batch.column(1)]
-        one, two = zip(*map(names_of, texts)) if texts else ((), ())
-        packed = pa.array(map(squeeze, texts), pa.binary())
-        yield pa.record_batch(
-            [batch.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), packed],
-            names=["doc_id", "k1", "k2", "packed"],
-        )
+        _, offsets = raw(batch.column(1))
+        for a, b in units(offsets, SLICE_BYTES):
+            part = batch.slice(a, b - a)
+            texts = [v or b"" for v in part.column(1).to_pylist()]
+            one, two = zip(*map(names_of, texts))
+            packed = pa.array(map(squeeze, texts), pa.binary())
+            yield pa.record_batch(
+                [part.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), packed],
+                names=["doc_id", "k1", "k2", "packed"],
+            )
 
 
 SPACES = b" \t\n\r\x0b\x0c"
@@ -184,33 +198,33 @@ def core_of(chunk: bytes) -> tuple[int, int, int, int] | None:
 
 
 def _cores(path: str | None):
-    """Rows (k1, k2, packed, start, size, h1, h2) to the chunks' encoded cores."""
+    """Rows (k1, k2, packed, chunks of start, size, h1, h2) to the chunks' encoded cores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zstandard import ZstdCompressor, ZstdDecompressor
 
         encode = word_encoder(path or tokenizer_path()).encode
         squeeze, unpack = ZstdCompressor(level=3).compress, ZstdDecompressor().decompress
-        held, text, done = None, b"", set()
+        held = None
         for batch in batches:
-            rows = []
-            for k1, k2, packed, start, size, h1, h2 in zip(*(c.to_pylist() for c in batch.columns)):
-                if held != (k1, k2):
-                    held, text, done = (k1, k2), unpack(packed), set()
-                if start in done:  # another row of the same id and text
-                    continue
-                done.add(start)
-                chunk = text[start : start + size]
-                if ends := core_of(chunk):
-                    p, p2, q2, q = ends
-                    parts = [encode(chunk[p:q]), encode(chunk[p:p2]), encode(chunk[q2:q])]
-                    head = np.array([p, p2, q2, q, *map(len, parts)], "<i4").tobytes()
-                    rows.append((h1, h2, squeeze(head + b"".join(parts))))
-            if rows:
-                yield pa.record_batch(
-                    [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))],
-                    names=["h1", "h2", "core"],
-                )
+            for part in slices(batch):
+                rows = []
+                for k1, k2, packed, wanted in zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "packed", "chunks"))):
+                    if held == (k1, k2):  # another row of the same id and text
+                        continue
+                    held, text = (k1, k2), unpack(packed)
+                    for c in wanted:
+                        chunk = text[c["start"] : c["start"] + c["size"]]
+                        if ends := core_of(chunk):
+                            p, p2, q2, q = ends
+                            parts = [encode(chunk[p:q]), encode(chunk[p:p2]), encode(chunk[q2:q])]
+                            head = np.array([p, p2, q2, q, *map(len, parts)], "<i4").tobytes()
+                            rows.append((c["h1"], c["h2"], squeeze(head + b"".join(parts))))
+                if rows:
+                    yield pa.record_batch(
+                        [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))],
+                        names=["h1", "h2", "core"],
+                    )
 
     return run
 
@@ -259,21 +273,30 @@ def _join_up(path: str | None):
         encode = word_encoder(path or tokenizer_path()).encode
         unpack = ZstdDecompressor().decompress
         held, ids = None, b""
+
+        def emit(docs: list[int | None], blobs: list[bytes]) -> pa.RecordBatch:
+            ends = np.cumsum([0, *(len(b) // 4 for b in blobs)])
+            values = pa.array(np.frombuffer(b"".join(blobs), "<i4"))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            return pa.record_batch([pa.array(docs, pa.int64()), lists], names=["doc_id", "ids"])
+
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS_OUT):
                 part = batch.slice(first, ROWS_OUT)
-                blobs = []
-                for k1, k2, packed, shared in zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "packed", "shared"))):
+                docs, blobs, size = [], [], 0
+                columns = (part.column(c).to_pylist() for c in ("doc_id", "k1", "k2", "packed", "shared"))
+                for doc, k1, k2, packed, shared in zip(*columns):
                     if held != (k1, k2):  # copies come one after another
                         cores = [Core(s["start"], unpack(s["core"])) for s in shared or ()]
                         held, ids = (k1, k2), assemble(unpack(packed), sorted(cores, key=lambda c: c.start), encode)
+                    docs.append(doc)
                     blobs.append(ids)
-                ends = np.cumsum([0, *(len(b) // 4 for b in blobs)])
-                values = pa.array(np.frombuffer(b"".join(blobs), "<i4"))
-                yield pa.record_batch(
-                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)],
-                    names=["doc_id", "ids"],
-                )
+                    size += len(ids)
+                    if size >= SLICE_BYTES:
+                        yield emit(docs, blobs)
+                        docs, blobs, size = [], [], 0
+                if docs:
+                    yield emit(docs, blobs)
 
     return run
 
@@ -281,7 +304,7 @@ def _join_up(path: str | None):
 def all_chunks(docs: DataFrame) -> DataFrame:
     """Rows of ``PIECES`` (doc_id, text binary): every chunk of every different text, with the text's smallest id."""
     return (
-        docs.mapInArrow(_cut, PIECES)
+        docs.mapInArrow(releasing(_cut), PIECES)
         .where(KEYS)
         .groupBy("k1", "k2", "start", "size", "h1", "h2")
         .agg(F.min("doc_id").alias("doc_id"))
@@ -293,7 +316,7 @@ def encode(
 ) -> DataFrame:
     """doc_id, ids (array of int) of every row; ``tokenizer`` is a file that every executor can open."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    texts = rows.mapInArrow(_pack_texts, DOCS).where("k1 IS NOT NULL AND k2 IS NOT NULL")
+    texts = rows.mapInArrow(releasing(_pack_texts), DOCS).where("k1 IS NOT NULL AND k2 IS NOT NULL")
     pieces = all_chunks(rows)
     place = F.struct("k1", "k2", "doc_id", "start", "size")
     owners = (
@@ -301,15 +324,17 @@ def encode(
         .agg(F.min(place).alias("owner"), F.max(F.struct("k1", "k2")).alias("other"))
         .where((F.col("owner.k1") != F.col("other.k1")) | (F.col("owner.k2") != F.col("other.k2")))
         .select("h1", "h2", "owner.*")
-        .withColumnsRenamed({"k1": "o_k1", "k2": "o_k2", "doc_id": "o_doc"})
+        # One row a text, so that a long one is not sent again with each of its chunks.
+        .groupBy(F.col("k1").alias("o_k1"), F.col("k2").alias("o_k2"), F.col("doc_id").alias("o_doc"))
+        .agg(F.collect_list(F.struct("start", "size", "h1", "h2")).alias("chunks"))
     )
     same_text = (F.col("k1") == F.col("o_k1")) & (F.col("k2") == F.col("o_k2"))
     # Compared after the join, not as a key of it: both joins of the texts are dealt by the text's hash alone.
     same_row = (F.col("doc_id").bitwiseXOR(F.col("o_doc")) == 0) | (F.col("doc_id").isNull() & F.col("o_doc").isNull())
     encoded = (
         texts.join(owners.hint("merge"), same_text & same_row)
-        .select("k1", "k2", "packed", "start", "size", "h1", "h2")
-        .mapInArrow(_cores(tokenizer), CORES)
+        .select("k1", "k2", "packed", "chunks")
+        .mapInArrow(releasing(_cores(tokenizer)), CORES)
         # Rows that repeat id and text may lie in two tasks; the join must meet one core. Grouped by more
         # than the join key, so that the join shuffles both sides and can split a hot chunk.
         .groupBy("h1", "h2", F.pmod("h1", F.lit(1)).alias("apart"))
@@ -326,15 +351,13 @@ def encode(
     return (
         texts.join(found.hint("merge"), same_list, "left")  # sorted, so copies are assembled once
         .select("doc_id", "k1", "k2", "packed", "shared")
-        .mapInArrow(_join_up(tokenizer), IDS)
+        .mapInArrow(releasing(_join_up(tokenizer)), IDS)
     )
 
 
 def decoder(path: str, skip_special_tokens: bool):
     """Lists of ids to texts. A tokenizer without a decoder joins its tokens by spaces, which Arrow does for all at once."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = tokenizer_at(path)
     size = tokenizer.get_vocab_size()
     tokens = pa.array([tokenizer.id_to_token(i) for i in range(size)], pa.string())
 
@@ -365,5 +388,5 @@ def decode(
                 yield pa.record_batch([*part.columns, back(part.column(1))], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", F.coalesce(ids, F.array().cast("array<int>")).alias("ids")).mapInArrow(
-        run, f"{IDS}, text string"
+        releasing(run), f"{IDS}, text string"
     )

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,17 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+@cache
+def tokenizer_at(path: str):
+    """The file's tokenizer, one per process: all that encode and decode by it share it, and never change it."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def byte_letters() -> dict[int, int]:
     """The tokenizer's letter for each byte: printable ones stand for themselves, others follow from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -66,13 +78,8 @@ class WordEncoder(dict):
     LETTERS = byte_letters()
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer_at(path)
         self.merge = self.tokenizer.model.tokenize
         self.cached = cached
 

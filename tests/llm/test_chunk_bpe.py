@@ -1,8 +1,11 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from helpers import AWKWARD, corpus, many, prose, table
 from tokenizers import Tokenizer
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from farescope.llm import chunk_bpe, packing
 
@@ -77,6 +80,78 @@ def test_cuts_depend_on_content_alone():
         assert len(one & two) >= len(one) - 2
 
 
+def test_hashes_are_held_by_blocks(monkeypatch):
+    """Blocks of any size cut alike, between characters, and a long text needs no arrays of its length."""
+    rng = random.Random(4)
+    text = "".join(rng.choice("abc dé𝒳") for _ in range(60_000)).encode()
+    for data in (text, text[:33], text[:97], text + b"\x80" * 300):  # the last one is no UTF-8
+        data, found = chunk_bpe.np.frombuffer(data, "u1"), []
+        for size in (1, 64, 1000, 1 << 16, 1 << 30)[len(data) > 97 :]:
+            monkeypatch.setattr(chunk_bpe, "HASHED_BYTES", size)
+            found.append(chunk_bpe.cut_points(data).tolist())
+        assert all(f == found[0] for f in found)
+        assert all(p == len(data) or data[p] & 0xC0 != 0x80 for p in found[0])
+    monkeypatch.undo()
+    data = chunk_bpe.np.frombuffer(text * 40, "u1")
+    tracemalloc.start()
+    chunk_bpe.cut_points(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * len(data)
+
+
+def test_a_batch_is_packed_in_parts():
+    rng = random.Random(6)
+    texts = [prose(rng, 9000).encode() for _ in range(40)] + [None, b"", b"x"]
+    batch = pa.record_batch([pa.array(range(43), pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    empty = batch.slice(0, 0)
+    parts = list(chunk_bpe._pack_texts(iter([empty, batch, empty, batch.slice(39)])))
+    unpack = ZstdDecompressor().decompress
+    plain = [[unpack(v) for v in p.column("packed").to_pylist()] for p in parts]
+    assert len(parts) > 3 and max(sum(map(len, p)) for p in plain) <= chunk_bpe.SLICE_BYTES
+    assert sum(plain, []) == [t or b"" for t in texts + texts[39:]]
+    assert [i for p in parts for i in p.column("doc_id").to_pylist()] == [*range(43), *range(39, 43)]
+
+
+def test_a_text_comes_once_with_all_its_chunks():
+    text = prose(random.Random(7), 400).encode()
+    chunks = [{"start": a, "size": 300, "h1": a, "h2": 7} for a in (0, 300, 900)]
+    packed = ZstdCompressor().compress(text)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]))
+    batch = pa.record_batch(
+        [pa.array([1, 1], pa.int64()), pa.array([2, 2], pa.int64()), pa.array([packed] * 2), pa.array([chunks] * 2, kind)],
+        names=["k1", "k2", "packed", "chunks"],
+    )
+    rows = [r for b in chunk_bpe._cores(None)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["h1"], r["h2"]) for r in rows] == [(0, 7), (300, 7), (900, 7)]  # the repeated row adds none
+    for r in rows:
+        got, want = chunk_bpe.Core(r["h1"], ZstdDecompressor().decompress(r["core"])), core(text, r["h1"], r["h1"] + 300)
+        assert (got.start, got.end, got.ids, got.first, got.last) == (want.start, want.end, want.ids, want.first, want.last)
+
+
+def test_long_results_leave_in_parts():
+    text = (prose(random.Random(8), 30_000)).encode()
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("core", pa.binary())]))
+    packed = ZstdCompressor().compress(text)
+    batch = pa.record_batch(
+        [pa.array([*range(9), None], pa.int64()), *[pa.array([3] * 10, pa.int64())] * 2, pa.array([packed] * 10), pa.nulls(10, kind)],
+        names=["doc_id", "k1", "k2", "packed", "shared"],
+    )
+    parts = list(chunk_bpe._join_up(None)(iter([batch])))
+    ids = ids_of(text.decode())
+    assert len(parts) > 1 and all(4 * len(ids) * (p.num_rows - 1) < chunk_bpe.SLICE_BYTES for p in parts)
+    assert [r for p in parts for r in p.to_pylist()] == [{"doc_id": i, "ids": ids} for i in [*range(9), None]]
+
+
+def test_workers_give_memory_back_and_share_a_tokenizer(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(chunk_bpe, "releasing", lambda run: seen.append(run.__qualname__) or run)
+    chunk_bpe.decode(chunk_bpe.encode(table(spark, [])))
+    assert sorted(q.split(".")[0] for q in seen) == ["_cores", "_cut", "_join_up", "_pack_texts", "decode"]
+    path = packing.tokenizer_path()
+    assert chunk_bpe.word_encoder(path).tokenizer is packing.tokenizer_at(path) is packing.encoder_for(path).tokenizer
+
+
 def encode(text):
     return chunk_bpe.word_encoder(packing.tokenizer_path()).encode(text)
 
